@@ -157,7 +157,7 @@ def _units(path: str, leaf_chars: int) -> Joined:
 
     def make(unit: str) -> bytes:
         if len(unit) <= leaf_chars:
-            return packed(code.encode(unit))
+            return code.packed(unit)
         parts = leaves(unit, code.special, leaf_chars)
         return packed(joined(tree, [(t, g, code.encode(t)) for t, g in parts]))
 

@@ -14,6 +14,7 @@ than the id and the text aren't read. Long texts are tokenized unit by unit.
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 from pyspark import TaskContext
@@ -137,12 +138,17 @@ class _Step:
         yield self.rows(powers_of_two(rest)) if self.last else self.rows([rest] if rest else [], loose=True)
 
 
+@functools.lru_cache(maxsize=2)
+def _units(path: str) -> TwoGenerations:
+    """Ids of units, kept for all tasks of a Python worker. The vocabulary drops white space: every space is a cut."""
+    code = coder(path)
+    return TwoGenerations(lambda u: code.packed(u) if u else b"", 1_000_000)
+
+
 class _Texts(_Step):
     def __init__(self, path: str, end: int | None, **k):
         super().__init__(**k)
-        code, self.end = coder(path), packed([end]) if end is not None else b""
-        # This vocabulary drops white space, so that texts may be cut at every space.
-        self.unit = TwoGenerations(lambda u: packed(code.encode(u)) if u else b"")
+        self.unit, self.end = _units(path), packed([end]) if end is not None else b""
 
     def __call__(self, rows: dict[str, list]):
         for doc, text in zip(rows["id"], rows["text"], strict=True):

@@ -12,11 +12,14 @@ import functools
 import json
 import os
 import re
+import sys
 from array import array
 
 from loomstead.llm.common import TwoGenerations
 
-PLAIN = re.compile("[\t\n\x20-\x7e\xa1-ɏ]*")
+PLAIN = re.compile("[\t\n\x20-\x7e\xa1-\u012f\u0131-\u024f]*")
+BIG = sys.byteorder == "big"
+POINTS = frozenset(".,;:!?")
 GAP = re.compile(r"\s ")
 
 
@@ -70,22 +73,30 @@ class Coder:
         rest = r"|[^\s\p{L}\p{N}]+" if mark else r"| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|" + words + rest)
         self.engine = tiktoken.Encoding("ranks", pat_str=r"\S+", mergeable_ranks=order, special_tokens={})._core_bpe
-        self.piece = TwoGenerations(self._piece, 200_000)
+        self.piece = TwoGenerations(self._piece, 500_000)
 
     def pieces(self, text: str) -> list[str]:
         """What the pre-tokenizer makes of plain text without special strings."""
         return self.pattern.findall(text.lower() if self.lower else text)
 
-    def _piece(self, piece: str) -> list[int]:
-        return [self.of_rank[r] for r in self.engine.encode_single_piece(piece.encode() + self.mark)]
+    def _piece(self, piece: str) -> bytes:
+        return packed(map(self.of_rank.__getitem__, self.engine.encode_single_piece(piece.encode() + self.mark)))
+
+    def packed(self, unit: str) -> bytes:
+        """The ids that the library gives for ``unit`` alone, as ``packed``: bytes cost the collector nothing."""
+        if unit:
+            head, tail = (unit[:-1], unit[-1]) if unit[-1] in POINTS else (unit, "")
+            if (head[1:].isalpha() and (head[0] == " " or head[0].isalpha()) or len(head) == 1 and head.isalpha()) and PLAIN.fullmatch(head):
+                # A word, and maybe a point after it: no pattern is needed.
+                word = self.piece[head.strip(" ").lower() if self.lower else head]
+                return word + self.piece[tail] if tail else word
+        if not PLAIN.fullmatch(unit) or "<|" in unit:
+            return packed(self.library.encode(unit, add_special_tokens=False).ids)
+        return b"".join([self.piece[p] for p in self.pieces(unit)])
 
     def encode(self, unit: str) -> list[int]:
         """The ids that the library gives for ``unit`` alone."""
-        if unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha()) and PLAIN.fullmatch(unit):
-            return self.piece[unit.strip(" ").lower() if self.lower else unit]
-        if not PLAIN.fullmatch(unit) or "<|" in unit:
-            return self.library.encode(unit, add_special_tokens=False).ids
-        return [i for p in self.pieces(unit) for i in self.piece[p]]
+        return unpacked(self.packed(unit))
 
     def encode_text(self, text: str) -> list[int]:
         return [i for u in units(text) for i in self.encode(u)]
@@ -104,14 +115,21 @@ def coder(path: str) -> Coder:
     return Coder(path)
 
 
-def packed(ids: list[int]) -> bytes:
+def packed(ids) -> bytes:
     """Ids as little-endian unsigned 32-bit numbers."""
     a = array("I", ids)
-    if array("H", [1]).tobytes() == b"\0\1":
+    if BIG:
         a.byteswap()
     return a.tobytes()
 
 
+def unpacked(raw: bytes) -> list[int]:
+    a = array("I", raw)
+    if BIG:
+        a.byteswap()
+    return a.tolist()
+
+
 class Joined:
     """What ``make`` gives for each unit of a text as bytes, joined; units come from bounded caches."""
 

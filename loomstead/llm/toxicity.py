@@ -233,25 +233,30 @@ def fit(texts: list[str], toxic: list[int], error: float = 0.05, least_odds: flo
     return out
 
 
-def sample(labelled: DataFrame, most_docs: int, most_chars: int) -> tuple[list[str], list[int]]:
-    """Texts and labels (id, text, toxic) within the bounds, in the order of a hash of the id."""
-    picked, chars = [], 0
-    sizes = labelled.select("id", "toxic", F.char_length("text").alias("n"), F.xxhash64(F.col("id").cast("string")).alias("h"))
+def sample(docs: DataFrame, labels: DataFrame, most_docs: int, most_chars: int) -> tuple[list[str], list[int]]:
+    """Texts and labels within the bounds, from docs (id, text) and labels (id, toxic), in the order of a hash of the id.
+
+    Only ids and sizes are joined; texts are read for the ids that were picked. Of several labels of an id the
+    largest counts, and of several texts each.
+    """
+    sizes = docs.select("id", F.char_length("text").alias("n")).join(labels.groupBy("id").agg(F.max("toxic").alias("toxic")), "id")
+    sizes = sizes.withColumn("h", F.xxhash64(F.col("id").cast("string")))
+    picked, chars = {}, 0
     for label in (1, 0):
         for r in sizes.where(F.col("toxic") == label).orderBy("h", "id").limit(most_docs).collect():
             if chars + r["n"] <= most_chars * (1 if label == 0 else 0.5):
                 chars += r["n"]
-                picked.append(r["id"])
+                picked[r["id"]] = label
     if not picked:
         return [], []
-    rows = labelled.where(F.col("id").isin(picked)).select("text", F.col("toxic").cast("int").alias("toxic")).limit(2 * len(picked)).collect()
-    return [r["text"] for r in rows], [r["toxic"] for r in rows]
+    rows = docs.where(F.col("id").isin(list(picked))).orderBy("id", "text").limit(len(picked)).collect()
+    return [r["text"] for r in rows], [picked[r["id"]] for r in rows]
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_docs: int = 600, most_chars: int = 12_000_000) -> Field:
     """A field from the labelled documents for which crc32(id) mod 5 is not 0; null labels don't count."""
     y = labels.select(col_of(labels, id_col).alias("id"), "toxic").where("toxic is not null and crc32(cast(id as string)) % 5 <> 0")
-    return fit(*sample(text_rows(docs, id_col, text_col).join(y, "id"), most_docs, most_chars))
+    return fit(*sample(text_rows(docs, id_col, text_col), y, most_docs, most_chars))
 
 
 def tag(df: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -1,6 +1,6 @@
 """WARC archives with an index first, and reads of selected records by coalesced byte ranges.
 
-Writing: each task writes one archive file below a folder, under a name of its own attempt, and returns one
+Writing: each task writes one archive file, a gzip member for each record, below a folder, under a name of its own attempt, and returns one
 index row for each record: file, offset, length, URL, payload digest. The index is a Parquet table, committed
 as a whole: a record of an attempt that was lost has no index row. Records with equal payloads are written
 once; the others are ``revisit`` records that name the response and have no payload.
@@ -17,8 +17,10 @@ one range of ``block`` bytes, or one record where that is larger, a task.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
+import zlib
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from loomstead.llm.common import per_batch, shared_dir
 
 INDEX = "file string, offset long, length long, id string, url string, digest string, record_type string, refers_to string"
+#: Compression of records: fast.
+LEVEL = 1
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -42,7 +46,7 @@ def digest_of(payload: bytes) -> str:
 
 
 def record(kind: str, name: str, url: str | None, payload: bytes, digest: str, size: int, refers_to: str | None) -> bytes:
-    """One record; ``payload`` is empty for a revisit, whose length is in a field of its own."""
+    """One record as a gzip member; ``payload`` is empty for a revisit, whose length is in a field of its own."""
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
@@ -55,11 +59,15 @@ def record(kind: str, name: str, url: str | None, payload: bytes, digest: str, s
         "Content-Type: text/html",
         f"Content-Length: {len(payload)}",
     ]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
+    return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n", LEVEL, mtime=0)
 
 
 def parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
     """Fields and payload of a record; ValueError if it is not one, or its payload has another digest."""
+    try:
+        raw = gzip.decompress(raw)
+    except (OSError, EOFError, zlib.error) as e:
+        raise ValueError("not a gzip member") from e
     head, mark, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if not mark or not lines[0].startswith("WARC/"):
@@ -102,7 +110,7 @@ class _Writer:
     def __init__(self, folder: str):
         context = TaskContext.get()
         self.files, path = opened(folder)
-        self.name = f"part-{context.partitionId():05d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:12]}.warc"
+        self.name = f"part-{context.partitionId():05d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:12]}.warc.gz"
         self.path, self.out, self.at = f"{path}/{self.name}", None, 0
 
     def __call__(self, rows: dict[str, list]):

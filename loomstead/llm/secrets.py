@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstead.llm.common import col_of, free_name, shared_dir, text_rows
+from loomstead.llm.common import col_of, free_name, kept, shared_dir, text_rows
 
 #: Kind, version, pattern (Java), group whose length counts, least length. The first three are
 #: the base rules, in the order in which ties are listed; the others are added by this operator. Runs of one
@@ -93,7 +93,9 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = text_rows(df, id_col, text_col).withColumn("digest", F.sha2("text", 256))
     ledger.scan(rows.select("digest", "text"), rules)
     current = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(r[1]).alias("version")) for k, r in enumerate(rules)))
+    # Written, so that the join below shuffles both sides itself and can split a hot content's rows.
     found = ledger.rows().where(F.size("spans") > 0).select("digest", F.filter("spans", lambda s: F.array_contains(current, F.struct(s["kind"].alias("kind"), s["version"].alias("version")))).alias("spans"))
+    found = kept(found, "findings")
     sorted_ = F.array_sort(F.transform(F.coalesce("spans", F.array().cast(SPAN)), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["version"].alias("version"))))
     return rows.select("id", "digest").join(found, "digest", "left").select(F.col("id").alias(id_col), sorted_.alias("spans"))
 
@@ -123,5 +125,5 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", ledger: Ledger | None
     ledger.scan(rows.select(F.col(digest).alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
     order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
     found = ledger.rows().where(F.size("spans") > 0).select(F.col("digest").alias(digest), order.alias(found_name))
-    out = rows.join(found, digest, "left")
+    out = rows.join(kept(found, "findings"), digest, "left")
     return out.select(*(F.when(F.col(found_name).isNotNull(), masked(F.col(c), F.col(found_name))).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns))

@@ -243,18 +243,15 @@ def content_slots(wrapper: tuple, figures: dict[tuple[str, ...], tuple], pages:
 
 
 def main_text(page: str, content: set[tuple[str, ...]] | None) -> str:
-    """Text of the content slots: white space as one space, blocks joined by one; without a wrapper, by the same rule."""
-    if content is None:
-        paths = {p for p, t, _ in walk(page) if t is not None and not no_content(p)}
+    """Text of the content slots: white space as one space, blocks joined by one.
+
+    A page that has none of its wrapper's slots, or has no wrapper, is taken by the wrapper's rule for itself.
+    """
+    tokens = list(walk(page))
+    if content is None or not any(t is not None and p in content for p, t, _ in tokens):
+        paths = {p for p, t, _ in tokens if t is not None and not no_content(p)}
         content = {p for p in paths if in_main(p)} or paths
-    parts: list[str] = []
-    for path, text, _ in walk(page):
-        if text is None:
-            parts.append("<")
-        elif path in content:
-            parts.append(text)
-        else:
-            parts.append("<")
+    parts = ["<" if text is None or path not in content else text for path, text, _ in tokens]
     blocks = (" ".join(entities.unescape(b).split()) for b in "".join(parts).split("<"))
     return " ".join(b for b in blocks if b)
 

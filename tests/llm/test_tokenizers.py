@@ -1,0 +1,161 @@
+"""Packing, token counts and BPE against the tokenizers library."""
+
+import hashlib
+import random
+import zlib
+from collections import defaultdict
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from loomstead.llm import bpe, packing, queries, tokens
+from loomstead.llm.packing import Packer, powers_of_two
+from loomstead.llm.units import coder, packed, units, unpacked
+
+BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+PARTS = ["a", "b", "the", "ing", "A", "é", "İ", "1", "22", "'s", "'re", "'", "!", "...", "漢", "字", "😀", "=", "-", "\n", "\n\n", "<|endoftext|>", "<|endof", "\t", "   ", " ", "\x1c", " "]
+SCHEMA = "doc_id long, text string, start string, ids string, spans int"
+CASES = ["", "  ", None, "One two, three.\nFour  five\n six", "don't we'LL <|endoftext|> x<|endoftext|>", "a" * 5000, "word " * 3000, "!!" * 900 + "'s", "x\n y\n  z ", "same text", "same text"]
+
+
+def texts(seed: int, n: int, size: int) -> list[str]:
+    r = random.Random(seed)
+    return ["".join(r.choice(sub) for _ in range(r.randint(0, size))) for sub in (r.sample(PARTS, r.randint(1, 8)) for _ in range(n))]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(k, t, "x", "y", 1) for k, t in enumerate(CASES)] + [(None, "no id", "x", "y", 1)], SCHEMA)
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_units_encode_as_the_library(path):
+    code, library = coder(path), Tokenizer.from_file(path)
+    for t in texts(1, 400, 40) + [c or "" for c in CASES]:
+        assert "".join(units(t)) == t
+        assert code.encode_text(t) == library.encode(t, add_special_tokens=False).ids
+
+
+def test_every_prefix_has_its_count():
+    counts, library = tokens.PrefixCounts(BYTES), Tokenizer.from_file(BYTES)
+    for t in texts(2, 150, 14) + ["don't <|endoftext|>!!<|endoftext|> we'll  x\n\n y", " 'll  '", "=" * 70]:
+        assert counts.counts(t) == [len(library.encode(t[: k + 1], add_special_tokens=False).ids) for k in range(len(t))]
+
+
+def test_prefix_table_answers_questions(spark, docs):
+    library = Tokenizer.from_file(BYTES)
+    got = tokens.prefix_counts(docs, BYTES).withColumn("at7", tokens.tokens_at(F.col("prefix_counts"), F.lit(7))).withColumn("within3", tokens.longest_within(F.col("prefix_counts"), F.lit(3)))
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert len(rows) == len(CASES) + 1
+    for k, t in enumerate(CASES):
+        t = t or ""
+        n = [0] + [len(library.encode(t[:j], add_special_tokens=False).ids) for j in range(1, min(len(t), 60) + 1)]
+        assert rows[k]["n_bytes"] == len(t.encode())
+        assert rows[k]["n_tokens"] == len(library.encode(t, add_special_tokens=False).ids)
+        assert rows[k]["at7"] == n[min(7, len(t))]
+        if len(t) < 60:
+            assert rows[k]["within3"] == max(j for j, x in enumerate(n) if x <= 3)
+    assert tokens.prefix_counts(docs.limit(0), BYTES).count() == 0
+
+
+def test_tree_concatenation_joins_exactly():
+    code, library = coder(BYTES), Tokenizer.from_file(BYTES)
+    for n, t in enumerate(texts(3, 300, 300)):
+        for leaf in (8, 40):
+            parts = bpe.leaves(t, code.special, leaf)
+            assert "".join(p[0] for p in parts) == t
+            got = bpe.joined(bpe.Tree(code, leaf, 4), [(x, g, code.encode(x)) for x, g in parts])
+            assert got == library.encode(t, add_special_tokens=False).ids, (n, leaf)
+    long = "abcdefgh" * 700
+    assert bpe.Tree(code, 16, 4).encode(long) == library.encode(long).ids
+
+
+@pytest.mark.parametrize("spread", [20, 65_536])
+def test_encode_and_decode(spark, docs, spread):
+    library = Tokenizer.from_file(BYTES)
+    more = docs.unionByName(spark.createDataFrame([(100 + k, t, "", "", 0) for k, t in enumerate(texts(4, 40, 120))], SCHEMA))
+    got = bpe.decode(bpe.encode(more, BYTES, leaf_chars=16, spread_chars=spread), BYTES)
+    rows = {r["doc_id"]: r for r in got.collect()}
+    wanted = {r["doc_id"]: r["text"] or "" for r in more.collect()}
+    assert rows.keys() == wanted.keys()
+    for k, t in wanted.items():
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert rows[k]["ids"] == ids
+        assert rows[k]["decoded"] == library.decode(ids, skip_special_tokens=False)
+    assert bpe.decode(bpe.encode(docs.limit(0), BYTES), BYTES).count() == 0
+    with pytest.raises(ValueError):
+        bpe.decode(bpe.encode(docs, BYTES), BYTES, out_col="ids")
+
+
+def check_packed(rows, wanted: dict, size: int) -> int:
+    """Pieces cover each document once, in sequences without gaps; the padding that is left."""
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r["doc_id"]].append(r)
+        sequences[r["sequence_id"]].append(r)
+    assert pieces.keys() == wanted.keys()
+    for k, many in wanted.items():
+        got = sorted(pieces[k], key=lambda r: r["start"])
+        for ids in many:  # repeated ids have equal texts here
+            at = 0
+            while at < len(ids):
+                r = next(x for x in got if x["start"] == at)
+                got.remove(r)
+                assert r["doc_tokens"] == len(ids)
+                assert r["ids_crc32"] == zlib.crc32(packed(ids[at : at + r["length"]]))
+                at += r["length"]
+            assert at == len(ids)
+        assert not got
+    padding = 0
+    for rs in sequences.values():
+        at = 0
+        for r in sorted(rs, key=lambda r: r["offset"]):
+            assert r["offset"] == at and r["length"] > 0
+            at += r["length"]
+        assert at <= size
+        padding += 0 if at & (at - 1) == 0 else size - at
+    return padding
+
+
+def test_pack(spark, docs):
+    library = Tokenizer.from_file(WORDS)
+    got = packing.pack(docs.repartition(3), WORDS, size=256, open_windows=4).collect()
+    wanted = {r["doc_id"]: [library.encode(r["text"] or "", add_special_tokens=False).ids + [1]] for r in docs.collect()}
+    assert check_packed(got, wanted, 256) == 0
+    assert packing.pack(docs.limit(0), WORDS).count() == 0
+
+
+def test_packer_keeps_few_windows_open():
+    r, packer, total = random.Random(5), Packer(32, 4), 0
+    for k in range(500):
+        n = r.randint(1, 70)
+        total += n
+        packer.add(k, 0, packed(range(n)), n)
+        assert len(packer.open) <= 4
+    emitted = len(packer.done)
+    assert all(sum(len(p[2]) // 4 for p in s) == 32 for s in packer.done)
+    rest = packer.merge()
+    assert len(packer.done) >= emitted
+    tail = powers_of_two(rest)
+    sizes = [sum(len(p[2]) // 4 for p in s) for s in tail]
+    assert all(n & (n - 1) == 0 for n in sizes) and sizes == sorted(set(sizes), reverse=True)
+    assert 32 * len(packer.done) + sum(sizes) == total
+    assert powers_of_two([]) == [] and unpacked(packed([1, 2])) == [1, 2]
+
+
+def test_queries_on_whole_tables(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()
+    words, library = Tokenizer.from_file(WORDS), Tokenizer.from_file(BYTES)
+    wanted = {r["doc_id"]: [words.encode(r["text"] or "", add_special_tokens=False).ids + [1]] for r in docs}
+    assert check_packed(queries.op1_packing(spark, d).collect(), wanted, 2048) == 0
+    counts = {r["doc_id"]: r for r in queries.op7_token_counts(spark, d).collect()}
+    codes = {r["doc_id"]: r for r in queries.op10_bpe(spark, d).collect()}
+    for r in docs:
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids
+        assert (counts[r["doc_id"]]["n_tokens"], counts[r["doc_id"]]["over_limit"]) == (len(ids), len(ids) > 1024)
+        assert codes[r["doc_id"]]["n_tokens"] == len(ids)
+        assert codes[r["doc_id"]]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert codes[r["doc_id"]]["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()

@@ -117,7 +117,7 @@ class _Writer:
         if not rows["id"]:
             return
         if self.out is None:
-            self.out = self.files.open_output_stream(self.path)
+            self.out = self.files.open_output_stream(self.path, compression=None)
         index: dict[str, list] = {c.split()[0]: [] for c in INDEX.split(", ")}
         for name, url, payload, size, sha1, revisit, refers_to in zip(*(rows[c] for c in ("id", "url", "payload", "size", "digest", "revisit", "refers_to")), strict=True):
             kind = "revisit" if revisit else "response"

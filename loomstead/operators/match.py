@@ -10,6 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Parts into which one side of a product is dealt; the other side goes to each.
+SALTS = 32
+
+
+def product(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """All pairs of rows, as their result is asked for: ``a`` dealt by a hash of ``keys``, ``b`` given to every part."""
+    dealt = a.withColumn("__part", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int"))
+    return dealt.join(b.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "__part").drop("__part")
+
+
 def containment_join(instances: DataFrame, requirements: DataFrame, inst_keys: list[str], req_keys: list[str], inst_props: str = "props", req_props: str = "props") -> DataFrame:
     """(instance keys, requirement keys) of all pairs where the requirement's properties are among the instance's.
 
@@ -26,7 +36,7 @@ def containment_join(instances: DataFrame, requirements: DataFrame, inst_keys: l
     met = by_have.join(by_need, "__p").groupBy("__have", "__need").agg(F.count("*").alias("__n")).where(F.col("__n") == F.size("__need")).select("__have", "__need")
     rows = inst.join(met, "__have").join(req, "__need")
     free = req.where(F.size("__need") == 0)
-    every = inst.withColumn("__all", F.lit(1)).join(free.withColumn("__all", F.lit(1)), "__all")
+    every = product(inst, free, [f"__i_{k}" for k in inst_keys])
     names = [*(F.col(f"__i_{k}").alias(k) for k in inst_keys), *(F.col(f"__r_{k}").alias(k) for k in req_keys)]
     return rows.select(*names).unionByName(every.select(*names))
 
@@ -100,8 +110,8 @@ def bindings_all(candidates_: DataFrame, requirements: int, scope: list[str] | N
         mine = candidates_.where(F.col("req_ix") == k)
         if pinned and k in pinned:
             mine = mine.where(F.col("id") == pinned[k])
-        mine = mine.select(*scope, *([] if scope else [F.lit(1).alias("__all")]), F.col("id").alias(f"b{k}"))
-        out = mine if out is None else out.join(mine, scope or "__all")
+        mine = mine.select(*scope, F.col("id").alias(f"b{k}"))
+        out = mine if out is None else out.join(mine, scope) if scope else product(out, mine, out.columns)
     if out is None:
         raise ValueError("a transform without requirements has no bindings")
     return out.select(*scope, *(f"b{k}" for k in range(requirements)))
@@ -128,10 +138,7 @@ def bindings_valid(candidates_: DataFrame, parent_ix: dict[int, list[int]], near
         if out is None:
             out = mine
         else:
-            if not on:
-                out, mine, on = out.withColumn("__all", F.lit(1)), mine.withColumn("__all", F.lit(1)), ["__all"]
-            out = out.join(mine, on)
+            out = out.join(mine, on) if on else product(out, mine, out.columns)
             for p in range(k):
                 out = out.where(F.col(f"b{p}") != F.col(f"b{k}"))
-            out = out.drop("__all")
     return out.select(*scope, *(f"b{k}" for k in range(requirements)))

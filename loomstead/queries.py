@@ -930,7 +930,8 @@ def register_transform(spark, d):
 @query("SELECT transform, n_requirements, n_products, (SELECT count(*) FROM documents) AS n_documents FROM (VALUES ('tokenize', 1, 1), ('detokenize', 1, 1), ('index', 2, 1)) t(transform, n_requirements, n_products)")
 def transform_catalog(spark, d):
     n = table(spark, d, "documents").agg(F.count("*").alias("n_documents"))
-    return TRANSFORMS.transform_catalog(spark).select("transform", F.col("n_requirements").cast("int").alias("n_requirements"), F.col("n_products").cast("int").alias("n_products")).crossJoin(n)
+    known = TRANSFORMS.transform_catalog(spark).select("transform", F.col("n_requirements").cast("int").alias("n_requirements"), F.col("n_products").cast("int").alias("n_products"))
+    return M.product(known, n, ["transform"])
 
 
 PROTOCOLS = TransformCatalog()

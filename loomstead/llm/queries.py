@@ -107,4 +107,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_warc, op3_media, op4_html, op5_toxicity, op6_quality, op7_token_counts, op8_simhash, op9_secrets, op10_bpe)} | {"pipeline": pipeline}
 
-ORACLES: dict[str, str] = {}
+BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(h, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - i % 4 * 5 AS BIGINT)) & 31) + 1, 1)), '')"
+
+ORACLES: dict[str, str] = {
+    "op2_warc": f"WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages), r AS (SELECT h, max(page_id) AS first FROM p GROUP BY h) "
+    f"SELECT page_id, n AS payload_bytes, {BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM p JOIN r USING (h)",
+}

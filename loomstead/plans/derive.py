@@ -111,7 +111,7 @@ def derive_closure(givens: DataFrame, requirements: DataFrame, products: DataFra
         new = settled(cycle_guard(made, seen))
         if new.isEmpty():
             return seen, applications
-        seen = settled(seen.unionByName(new))
+        seen = seen.unionByName(new)  # all parts are checkpointed
     raise RuntimeError(f"derivation did not end in {max_rounds} rounds")
 
 

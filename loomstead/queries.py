@@ -625,7 +625,7 @@ def _by_brand():
 @query("SELECT p.p_partkey, r.p_brand AS transform, r.p_type FROM part p JOIN (SELECT DISTINCT p_brand, p_type FROM part) r ON p.p_brand = r.p_brand AND p.p_type = r.p_type UNION ALL SELECT p_partkey, 'any', '' FROM part")
 def containment_join(spark, d):
     need = brand_types(spark, d).select("transform", "p_type", "props")
-    free = need.limit(1).select(F.lit("any").alias("transform"), F.lit("").alias("p_type"), F.array().cast("array<string>").alias("props"))
+    free = need.select(F.lit("any").alias("transform"), F.lit("").alias("p_type"), F.array().cast("array<string>").alias("props")).distinct()
     return M.containment_join(part_props(spark, d), need.unionByName(free), ["p_partkey"], ["transform", "p_type"])
 
 

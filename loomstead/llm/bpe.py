@@ -161,7 +161,7 @@ def _units(path: str, leaf_chars: int) -> Joined:
         parts = leaves(unit, code.special, leaf_chars)
         return packed(joined(tree, [(t, g, code.encode(t)) for t, g in parts]))
 
-    return Joined(make, 600_000)
+    return Joined(make, 400_000)
 
 
 def _lists(flat: list[bytes]) -> pa.ListArray:

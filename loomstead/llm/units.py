@@ -73,7 +73,7 @@ class Coder:
         rest = r"|[^\s\p{L}\p{N}]+" if mark else r"| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|" + words + rest)
         self.engine = tiktoken.Encoding("ranks", pat_str=r"\S+", mergeable_ranks=order, special_tokens={})._core_bpe
-        self.piece = TwoGenerations(self._piece, 500_000)
+        self.piece = TwoGenerations(self._piece, 300_000)
 
     def pieces(self, text: str) -> list[str]:
         """What the pre-tokenizer makes of plain text without special strings."""

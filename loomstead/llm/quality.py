@@ -4,12 +4,13 @@ A base verdict comes first (too few words, or too many in repeated windows). Bey
 documents whose metric reaches a cutoff. For each stratum and rule, cutoffs are tested from the mildest on a
 fixed grid: one is certified while the exact (Clopper-Pearson) upper bound of the rate at which it rejects
 documents labelled good stays within the rule's share of ``risk``, at a confidence split over all strata and
-rules (Bonferroni); testing stops at the first failure, so a rule's grid needs no further correction. The
-last certified cutoff is used; where none is, the rule rejects nothing in that stratum. With probability
-1 - ``error``, then, no stratum loses more than ``risk`` of its good documents to the rules.
+rules (Bonferroni); testing stops at the first failure, so a rule's grid needs no further correction, and all
+certified cutoffs hold at once. Of them the one is used that rejects most of the documents labelled bad, less
+``COST`` times the share of good ones; where none gains, the rule rejects nothing in that stratum. With
+probability 1 - ``error``, then, no stratum loses more than ``risk`` of its good documents to the rules.
 
-The rates use all labelled good rows that pass the base verdict, counted in Spark; only counts by stratum,
-rule and grid step come to the driver, for the ``most_strata`` strata with most labelled rows (the rest, and
+The rates use all labelled rows that pass the base verdict, counted in Spark; only counts by stratum, rule and
+grid step come to the driver, for the ``most_strata`` strata with most labelled rows (the rest, and
 null, is one stratum more).
 
 Null and empty texts have no words and fail the base verdict; every row has its own result; a document with
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 
 from loomstead.llm.common import col_of, kept, per_batch
 
+#: What rejecting a share of good documents costs against rejecting the same share of bad ones.
+COST = 10
 SYMBOLS, SPACE = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_marks long"
 #: Rule, metric as SQL over the counts, grid of cutoffs from mild to strict; a document is rejected from the cutoff on.
@@ -126,31 +129,35 @@ def upper_bound(k: int, n: int, error: float) -> float:
     return high
 
 
-def certified(counts: dict[tuple[str, str], tuple[int, list[int]]], risk: float, error: float) -> dict[tuple[str, str], float]:
-    """Cutoffs by (stratum, rule) from good rows n and, for each grid step, how many of them it rejects."""
+def certified(counts: dict[tuple[str, str], tuple[int, list[int], int, list[int]]], risk: float, error: float) -> dict[tuple[str, str], float]:
+    """Cutoffs by (stratum, rule) from good rows, how many of them each grid step rejects, and the same of bad rows."""
     share, grids = error / max(1, len(counts)), {r[0]: r[2] for r in RULES}
     out = {}
-    for (stratum, rule), (n, rejected) in counts.items():
-        for cutoff, k in zip(grids[rule], rejected, strict=True):
-            if upper_bound(k, n, share) > risk / len(RULES):
+    for (stratum, rule), (good, good_out, bad, bad_out) in counts.items():
+        most = 0.0
+        for cutoff, g, b in zip(grids[rule], good_out, bad_out, strict=True):
+            if upper_bound(g, good, share) > risk / len(RULES):
                 break
-            out[stratum, rule] = cutoff
+            gain = b / max(1, bad) - COST * g / max(1, good)
+            if gain > most:
+                most, out[stratum, rule] = gain, cutoff
     return out
 
 
 def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", risk: float = 0.05, error: float = 0.05, most_strata: int = 64) -> DataFrame:
-    """id, the counts, base_failed and kept for every row; ``labels`` has the id and quality (1: good)."""
+    """id, the counts, base_failed and kept for every row; ``labels`` has the id and quality (1: good, 0: bad)."""
     rows = kept(measures(df, id_col, text_col, stratum_col), "measures").withColumn("base_failed", base_failed())
-    good = labels.where("quality = 1").select(col_of(labels, id_col).alias("id"))
-    held = rows.where(~F.col("base_failed")).join(good, "id")
+    known = labels.where("quality in (0, 1)").select(col_of(labels, id_col).alias("id"), (F.col("quality") == 1).alias("good"))
+    held = rows.where(~F.col("base_failed")).join(known, "id")
     large = [r[0] for r in held.where("stratum is not null").groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(most_strata).collect()]
     named = F.when(F.col("stratum").isin(large), F.concat(F.lit("="), "stratum")).otherwise(F.lit("other")) if large else F.lit("other")
     steps = [F.count_if(F.expr(f"{metric} >= {cut!r}D")).alias(f"{rule}_{k}") for rule, metric, grid in RULES for k, cut in enumerate(grid)]
-    got = held.groupBy(named.alias("s")).agg(F.count("*").alias("n"), F.array(*steps).alias("k")).collect()
+    got = {(r["s"], r["good"]): r for r in held.groupBy(named.alias("s"), "good").agg(F.count("*").alias("n"), F.array(*steps).alias("k")).collect()}
     counts, at = {}, 0
     for rule, _, grid in RULES:
-        for r in got:
-            counts[r["s"], rule] = (r["n"], r["k"][at : at + len(grid)])
+        for s in {s for s, _ in got}:
+            of = [(got[s, g]["n"], got[s, g]["k"][at : at + len(grid)]) if (s, g) in got else (0, [0] * len(grid)) for g in (True, False)]
+            counts[s, rule] = (*of[0], *of[1])
         at += len(grid)
     cuts = certified(counts, risk, error)
     bad = F.lit(False)

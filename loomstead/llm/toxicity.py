@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -147,7 +148,7 @@ def train_field(sentences: list[list[str]], labels: list[list[int]], rounds: int
     rows = [(s[k : k + chunk], y[k : k + chunk]) for s, y in zip(sentences, labels, strict=True) for k in range(0, len(s), chunk)]
     n, width = len(rows), max((len(r[0]) for r in rows), default=1)
     of_word: dict[str, list[int]] = {}
-    who, what = [], []
+    who, what = array("q"), array("q")
     gold, real = np.zeros((n, width), np.int8), np.zeros((n, width), bool)
     for i, (words, y) in enumerate(rows):
         gold[i, : len(y)], real[i, : len(y)] = y, True
@@ -155,9 +156,9 @@ def train_field(sentences: list[list[str]], labels: list[list[int]], rounds: int
             ids = of_word.get(w)
             if ids is None:
                 ids = of_word[w] = [names[f] for f in features(w) if f in names]
-            who += [i * width + j] * len(ids)
-            what += ids
-    who, what = np.array(who, np.int64), np.array(what, np.int64)
+            who.extend([i * width + j] * len(ids))
+            what.extend(ids)
+    who, what = np.array(who, np.int64), np.array(what, np.int64)  # from compact arrays: no list of numbers stands beside
     theta, bias, trans = np.zeros(len(names)), -3.0, np.zeros((2, 2))
     sums = [np.full(len(names), 1e-8), 1e-8, np.full((2, 2), 1e-8)]
     lengths, total = real.sum(1), max(1, int(real.sum()))

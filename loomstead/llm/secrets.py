@@ -6,8 +6,8 @@ only contents and versions that aren't in it, appends its findings, and joins fi
 have the content. A ledger's batches are separate Parquet folders: a failed job leaves no half-written one.
 
 Spans are code points, the end exclusive. A rule's matches are leftmost and don't overlap; matches too short
-for the rule are dropped after matching, as they use up their text. The first place after the last match at
-which the matched string stands is where the match began, as a match there would have been found there.
+for the rule are dropped after matching, as they use up their text. The text is cut at the matches once; begins
+and ends are running sums of the lengths of gaps and matches, so work grows with a text, not with its square.
 
 Null texts are empty; repeated contents are scanned once; empty tables give no rows; other columns aren't
 read. A content is one row's text, however often it occurs; the join back is split where one content is hot.
@@ -16,6 +16,7 @@ read. A content is one row's text, however often it occurs; the join back is spl
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,26 +32,45 @@ RULES = [
     ("access", 1, r"AKIA[A-Z0-9]{12,}", 0, 0),
     ("hex", 1, r"[0-9a-f]{32,}", 0, 0),
     ("bearer", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
-    ("pem", 1, r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----", 0, 0),
+    ("pem", 2, r"-----BEGIN (?:[A-Z0-9 ]* )?PRIVATE KEY-----", 0, 0),
 ]
 BASE = 3
 SPAN = "array<struct<kind:int,version:int,start:int,end:int>>"
 LEDGER = f"digest string, versions array<string>, spans {SPAN}"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often it is named."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, together: Callable[[Column, Column], Column]) -> Column:
+    """Running totals of an array of longs, by doubling: as many passes as its size has bits."""
+    steps = F.when(F.size(values) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(values))).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+
+    def double(acc: Column, k: Column) -> Column:
+        back = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(acc, lambda x, i: F.when(i >= back, together(x, F.get(acc, i - back))).otherwise(x))
+
+    return F.aggregate(steps, values, double)
+
+
 def spans_of(text: Column, kind: int, rule: tuple) -> Column:
     """Spans of one rule in a text."""
     _, version, pattern, group, least = rule
-    start = F.struct(F.lit(1).alias("at"), F.array().cast(SPAN).alias("found"))
+    lengths = lambda parts: F.transform(parts, lambda p: F.char_length(p).cast("long"))
+    found = lambda g: F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(g))
+
+    def placed(n: Column) -> Column:
+        # Where the matches end; the part after the last match is of no use.
+        gaps = F.slice(lengths(F.split(text, pattern, -1)), F.lit(1), F.size(n))
+        return bound(F.zip_with(gaps, n, lambda g, k: g + k), lambda v: bound(running(v, lambda a, b: a + b), lambda ends: listed_(ends, n)))
 
-    def add(acc: Column, m: Column) -> Column:
-        begin = F.position(m, text, acc["at"])
-        end = begin + F.char_length(m)
-        more = F.array(F.struct(F.lit(kind).alias("kind"), F.lit(version).alias("version"), (begin - 1).alias("start"), (end - 1).alias("end")))
-        enough = F.char_length(F.regexp_extract(m, pattern, group)) >= least if group else F.lit(True)
-        return F.struct(end.alias("at"), F.when(enough, F.concat(acc["found"], more)).otherwise(acc["found"]).alias("found"))
+    def listed_(ends: Column, n: Column) -> Column:
+        rows = F.arrays_zip(ends.alias("end"), n.alias("n"), (lengths(found(1 + group)) if group else n).alias("enough"))
+        return F.transform(F.filter(rows, lambda r: r["enough"] >= least), lambda r: F.struct(F.lit(kind).alias("kind"), F.lit(version).alias("version"), (r["end"] - r["n"]).cast("int").alias("start"), r["end"].cast("int").alias("end")))
 
-    return F.aggregate(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), start, add, lambda acc: acc["found"])
+    return F.when(F.regexp_like(text, F.lit(pattern)), bound(lengths(found(1)), placed)).otherwise(F.array().cast(SPAN))
 
 
 def version_of(rule: tuple) -> str:
@@ -96,7 +116,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Written, so that the join below shuffles both sides itself and can split a hot content's rows.
     found = ledger.rows().where(F.size("spans") > 0).select("digest", F.filter("spans", lambda s: F.array_contains(current, F.struct(s["kind"].alias("kind"), s["version"].alias("version")))).alias("spans"))
     found = kept(found, "findings")
-    sorted_ = F.array_sort(F.transform(F.coalesce("spans", F.array().cast(SPAN)), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["version"].alias("version"))))
+    sorted_ = F.sort_array(F.transform(F.coalesce("spans", F.array().cast(SPAN)), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["version"].alias("version"))))
     return rows.select("id", "digest").join(found, "digest", "left").select(F.col("id").alias(id_col), sorted_.alias("spans"))
 
 
@@ -106,24 +126,39 @@ def listed(spans: Column, rules: list[tuple] = RULES) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def masked(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
-    """A text with its spans, sorted by start, replaced; overlapping spans by one mask."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def masked(text: Column, spans: Column, mask: str = "[SECRET]", block: int = 256) -> Column:
+    """A text with its spans, sorted by start, replaced; overlapping spans by one mask.
+
+    The text is cut into blocks, so that a part is found without a walk from the start.
+    """
+
+    def part(blocks: Column, a: Column, b: Column) -> Column:
+        """Code points a to b, the end exclusive."""
+        first, last = F.floor(a / block).cast("int"), F.floor(b / block).cast("int")
+        head, tail = F.coalesce(F.get(blocks, first), F.lit("")), F.coalesce(F.get(blocks, last), F.lit(""))
+        many = F.concat(F.substring(head, a % block + 1, F.lit(block)), F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.substring(tail, F.lit(1), b % block))
+        return F.when(first == last, F.substring(head, a % block + 1, b - a)).otherwise(many)
+
+    def replaced(blocks: Column) -> Column:
+        # A span that begins before the end of those before it continues their mask.
+        reach = bound(F.transform(spans, lambda s: s["end"].cast("long")), lambda v: running(v, F.greatest))
+        return bound(reach, lambda r: F.concat(F.array_join(F.transform(spans, lambda s, i: kept_part(blocks, s, r, i)), ""), part(blocks, F.element_at(r, -1).cast("int"), F.char_length(text))))
 
-    def add(acc: Column, s: Column) -> Column:
-        gap = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], gap).otherwise(acc["out"]).alias("out"))
+    def kept_part(blocks: Column, s: Column, reach: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.get(reach, i - 1)).otherwise(F.lit(0)).cast("int")
+        return F.when(s["start"] >= before, F.concat(part(blocks, before, s["start"]), F.lit(mask))).otherwise(F.lit(""))
 
-    return F.aggregate(spans, start, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+    return F.when(F.size(spans) == 0, text).otherwise(bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0)), replaced))
 
 
 def mask_secrets(docs: DataFrame, text_col: str = "text", ledger: Ledger | None = None) -> DataFrame:
     """``docs`` with every span masked in its text; null texts stay null. Findings join on the content."""
     ledger = ledger or Ledger(docs.sparkSession)
-    digest, found_name = free_name(docs, "digest"), free_name(docs, "spans")
-    rows = docs.withColumn(digest, F.sha2(F.coalesce(col_of(docs, text_col), F.lit("")), 256))
-    ledger.scan(rows.select(F.col(digest).alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
-    order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    digest, found_name, text = free_name(docs, "digest"), free_name(docs, "spans"), col_of(docs, text_col)
+    rows = docs.withColumn(digest, F.sha2(F.coalesce(text, F.lit("")), 256))
+    ledger.scan(rows.select(F.col(digest).alias("digest"), F.coalesce(col_of(rows, text_col), F.lit("")).alias("text")))
+    order = F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
     found = ledger.rows().where(F.size("spans") > 0).select(F.col("digest").alias(digest), order.alias(found_name))
     out = rows.join(kept(found, "findings"), digest, "left")
-    return out.select(*(F.when(F.col(found_name).isNotNull(), masked(F.col(c), F.col(found_name))).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    new = F.when(F.col(found_name).isNotNull(), masked(col_of(out, text_col), F.col(found_name))).otherwise(col_of(out, text_col))
+    return out.select(*((new if c == text_col else col_of(out, c)).alias(c) for c in docs.columns))

@@ -213,19 +213,20 @@ def test_near_duplicates_of_odd_rows(spark):
 # Secrets
 
 
-def naive_spans(text: str):
+def naive_spans(text: str, kinds: int = 3):
     out = []
     rules = [("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 8), ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16), ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 32)]
-    for k, (_, pattern, fits) in enumerate(rules):
+    rules += [("bearer", r"gh[pousr]_[A-Za-z0-9]{36,}", bool), ("pem", r"-----BEGIN (?:[A-Z0-9 ]* )?PRIVATE KEY-----", bool)]
+    for k, (_, pattern, fits) in enumerate(rules[:kinds]):
         out += [(m.start(), k, m.end()) for m in re.finditer(pattern, text, re.A) if fits(m)]
     return sorted(out)
 
 
-KINDS = ["assign", "access", "hex"]
+KINDS = ["assign", "access", "hex", "bearer", "pem"]
 SECRETS = [
     None, "", "nothing", "é漢😀 password = hunter2hunter2 and TOKEN:'abcdefgh'", "secret: api_key: longvalue123 ", "token=password=abcdefghijk", "passwd=short passwd=longenough1",
     "AKIAAAAA AKIA" + "A" * 12 + " AKIA" + "B" * 30, "f" * 31 + " " + "0" * 32 + "g" + "a1" * 40, "password=" + "ab" * 20, "x" * 3 + "token=12345678token=12345678", "Api_Key=\"A/b+c_d.e=f-g\" ghp_" + "a1B2" * 9,
-    "-----BEGIN RSA PRIVATE KEY-----", "tokeN = = abcdefgh", "secret:abcdefgh\nsecret:abcdefgh",
+    "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY----- -----BEGIN  A  PRIVATE KEY----- -----BEGIN XPRIVATE KEY-----", "tokeN = = abcdefgh", "secret:abcdefgh\nsecret:abcdefgh",
 ]
 
 
@@ -233,11 +234,20 @@ def test_spans_against_python(spark):
     df = docs_of(spark, list(enumerate(SECRETS)) + [(99, SECRETS[3])])
     got = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(df).collect()}
     for k, t in [*enumerate(SECRETS), (99, SECRETS[3])]:
-        assert [(s["start"], s["kind"], s["end"]) for s in got[k] if s["kind"] < 3] == naive_spans(t or ""), t
+        assert [(s["start"], s["kind"], s["end"]) for s in got[k]] == naive_spans(t or "", 5), t
     assert [s["kind"] for s in got[12]] == [4] and 3 in [s["kind"] for s in got[11]]
     assert secrets.find_secrets(df.limit(0)).count() == 0
 
 
+def test_texts_with_many_matches_or_long_runs(spark):
+    rows = [(1, "é password=abcdefgh1 " * 200_000), (2, "-----BEGIN " + "A " * 20_000), (3, "-----BEGIN " + "A " * 20_000 + "PRIVATE KEY-----"), (4, "secret" + " " * 100_000), (5, ("ab" * 20 + " token=x ") * 3_000)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(docs_of(spark, rows)).collect()}
+    for k, t in rows:
+        assert [(s["start"], s["kind"], s["end"]) for s in got[k]] == naive_spans(t, 5)
+    texts = {r["doc_id"]: r["text"] for r in secrets.mask_secrets(docs_of(spark, rows)).collect()}
+    assert texts[1] == "é [SECRET] " * 200_000 and texts[5] == "[SECRET] token=x " * 3_000 and texts[2] == rows[1][1]
+
+
 def test_ledger_scans_only_what_it_lacks(spark):
     ledger = secrets.Ledger(spark)
     one = docs_of(spark, [(1, "password=abcdefgh1"), (2, "password=abcdefgh1"), (3, "x")])
@@ -258,6 +268,26 @@ def test_masks(spark):
     df = docs_of(spark, [(1, "é password=abcdefgh1 end"), (2, None), (3, "clean"), (4, "password=" + "ab" * 20)])
     got = {r["doc_id"]: (r["text"], r["source"]) for r in secrets.mask_secrets(df).collect()}
     assert got == {1: ("é [SECRET] end", "s"), 2: (None, "s"), 3: ("clean", "s"), 4: ("[SECRET]", "s")}
+    odd = df.withColumnRenamed("source", "a.b").withColumnRenamed("text", "the text")
+    again = secrets.mask_secrets(odd, "the text")
+    assert again.columns == odd.columns and {r["doc_id"]: (r["the text"], r["a.b"]) for r in again.collect()} == got
+
+
+@pytest.mark.parametrize("block", [1, 3, 256])
+def test_masks_in_blocks(spark, block):
+    r = random.Random(8)
+    rows = []
+    for n in range(60):
+        text = "".join(r.choices("aé漢😀 ", k=r.randint(0, 30)))
+        spans = sorted((a, r.randint(a + 1, len(text))) for a in (r.randrange(len(text)) for _ in range(r.randint(0, 5) if text else 0)))
+        out, at = "", 0
+        for a, b in spans:
+            out += text[at:a] + "#" if a >= at else ""
+            at = max(at, b)
+        rows.append((n, text, [{"start": a, "end": b} for a, b in spans], out + text[at:]))
+    df = spark.createDataFrame(rows, "n int, text string, spans array<struct<start:int,end:int>>, want string")
+    for x in df.withColumn("got", secrets.masked(F.col("text"), F.col("spans"), "#", block)).collect():
+        assert x["got"] == x["want"], x
 
 
 def test_secrets_query(spark):
@@ -267,6 +297,7 @@ def test_secrets_query(spark):
         want = naive_spans(docs[r["doc_id"]])
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == n for _, k, _ in want) for n in range(3)]
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in want).encode()).hexdigest()
+        assert r["spans"] == ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in naive_spans(docs[r["doc_id"]], 5))
 
 
 def test_no_python_on_the_secret_path(spark):

@@ -1,24 +1,34 @@
 """Main text of pages by wrappers: union-free regular expressions inferred from pages of the same host.
 
-Pages become token streams of tags and text. Neighbouring repeats of a block of tokens fold into a repeated
-group; streams of one host are then aligned one after another, the common part staying as it is and what only
-one side has becoming an optional group, which may fold into a repeated one again: the host's wrapper. Text
-slots of a wrapper are known by the tags that are open around them. A slot is content if it is in the page's
-article or main element, outside of menus, asides, forms and the like; a wrapper without such an element takes
-as content the slots of blocks that hold much text, little of it links, and not the same text on every page.
-
-Many pages fold to the same stream: streams are counted by (host, stream) first, aligned in salted groups of a
-host, and the groups' wrappers are aligned last, so that a hot host is no single task's. Slot figures are sums.
-Wrappers go to tasks as a variable while they are few (``most_wrappers``), by a join on the host beyond.
+A page becomes a stream of tokens: block elements that begin or end, and text slots, which are known by the
+block elements around them. Neighbouring repeats of a run of tokens fold into a repeated group. The streams of
+a host are aligned: a longest common subsequence stays, what one side has alone becomes optional. The result
+is the host's wrapper, a sequence of tokens each with a mark for optional and for repeated; neighbours of equal
+marks are its groups (``regex_of`` writes them out).
+
+Every page is then matched with its host's wrapper, which gives each of its texts a slot. Slots are judged by
+what they hold over the host: a slot with one and the same text on all pages that have it, while those pages
+differ, is the template's; a slot in an element that never holds an article (menus, asides, footers, forms; or
+one whose class, id or role is exactly such a word, unless the article is inside it) is none; of what is left, the slots in an article or main element are content,
+and where the host has none, those of the smallest element that holds most of the host's varying text beside
+links, and its headings. A page with no text in its host's content slots is judged by its own slots alone.
+
+Equal streams of a host are counted first. Then groups of about ``GROUP`` streams are aligned, their number
+growing with the host's streams, level by level until a host has one wrapper: a hot host is a tree of tasks.
+Slot figures are sums, extremes and sketches. Wrappers go to tasks as a variable while all of them together
+are at most ``most_bytes`` long, by a join on the host beyond.
 
 Null, empty or tagless pages give the text without markup (none: empty); a null URL is a host of its own;
-repeated rows have their own results; other columns aren't read. Memory: one page, and one host's streams.
+repeated rows have their own results, and count once where the template is told from the rest; other columns
+aren't read. Pages are read in linear time; an unclosed tag, comment or script hides what follows, as in
+browsers. Memory: one page, one wrapper and the streams of one group.
 """
 
 from __future__ import annotations
 
 import functools
 import html as entities
+import json
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -29,316 +39,451 @@ from pyspark.sql import functions as F
 
 from loomstead.llm.common import col_of, kept, per_batch
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+#: The rest of a tag, with ``>`` inside quoted values; possessive, so that one failure costs one pass.
+REST = re.compile(r"""(?:[^=>]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])))*+>""")
 MARKED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 
-#: Fixed values of HTML: elements without an end, with raw text, that begin a block, and that close an open one.
+#: Fixed values of HTML: elements without an end, with raw text, that begin a block, that break a line, and
+#: that close an open one.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe svg math object select".split())
-BLOCK = set("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
-CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Elements, and words of class, id or role, that hold no part of the article.
-NO_CONTENT = set("nav aside footer form button dialog menu head".split()) | RAW
-NO_WORDS = set("ad ads advert adverts advertisement banner breadcrumb breadcrumbs byline comment comments cookie cookies consent disqus footer header masthead menu modal nav navbar navigation newsletter notice popup promo promoted promotion related replies reply share sharing sidebar social sponsor sponsored subscribe toolbar widget complementary contentinfo search".split())
+RAW = set("script style textarea title noscript iframe xmp noembed noframes".split())
+BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
+BREAK = {"br", "hr"}
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}} | {b: {"p"} for b in BLOCK - set("body caption head html li dt dd tr td th tbody thead tfoot option optgroup legend summary".split())}
+IN_HEAD = VOID | RAW | {"template"}
+#: Elements that never hold a part of the article, blocks and others; and the same said by a class, id or role.
+NO_CONTENT = set("nav aside footer form dialog menu head search".split())
+SKIPPED = set("button select datalist svg template".split())
+NO_WORDS = set("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies footer header masthead menu modal nav navbar navigation newsletter notice popup promo related search share sharing sidebar social sponsor sponsored subscribe toolbar".split())
 MAIN = {"article", "main"}
-SPLIT = re.compile(r"[^a-z]+")
-
-
-def walk(page: str):
-    """(tag path, text, link?) of every text and (path, None, block tag) where a block begins or ends.
-
-    A path is a tuple of open elements, a marked one as ``tag.words``.
-    """
-    stack: list[str] = []
-    names: list[str] = []
-    path: tuple[str, ...] = ()
-    skip = ""
-    for m in TOKEN.finditer(page):
-        name = m[2]
-        if name is None:
-            text = m[0]
-            if not skip and text[0] != "<" or text == "<" and not skip:
-                yield path, text, "a" in names
-            elif not skip and text.startswith("<![CDATA["):
-                yield path, text[9:].removesuffix("]]>").replace("&", "&amp;"), "a" in names
+HEADINGS = {"h1", "h2"}
+#: Elements of text that are not gone into when the one with most text is looked for; nor are those without blocks.
+LEAVES = set("p h1 h2 h3 h4 h5 h6 ul ol dl li dt dd table blockquote pre figure address details".split())
+LETTERS = re.compile(r"[^a-z]+")
+#: A slot remembers so many block elements from the outermost one; those further inside share the slot.
+DEPTH = 32
+GROUP = 16
+OPTIONAL, REPEATED = 1, 2
+
+
+def label(name: str, rest: str) -> str:
+    """An element as part of a slot's name: ``tag.words``; a ``!`` first if its marks say it holds no article."""
+    if not rest:
+        return name
+    words = [w for v in MARKED.findall(rest) for w in v.strip("\"'").lower().split()]
+    out = ".".join([name, *sorted({x for w in words for x in LETTERS.split(w) if x})])
+    return "!" + out if name not in ("html", "body") and not NO_WORDS.isdisjoint(words) else out
+
+
+def tokens_of(page: str) -> list[tuple[str, str, int]]:
+    """(token, text, code points in links) of a page: ``+tag``, ``-tag``, or ``#path`` with its text, undecoded."""
+    out: list[tuple[str, str, int]] = []
+    names, paths, solid, skips = [""], ["#"], [0], 0  # open elements, their slots, which are blocks, and how many are skipped
+    open_, held, links = Counter(), [], 0
+    at, n, plain = 0, len(page), False
+
+    def flush():
+        nonlocal links
+        if held:
+            text = "".join(held)
+            if text.strip():
+                out.append((paths[-1], text, links))
+            held.clear()
+            links = 0
+
+    def close(k: int):
+        """Ends the elements from the k-th on."""
+        nonlocal skips
+        while len(names) > k:
+            name = names[-1]
+            if solid[-1] == len(names) - 1 and len(solid) > 1:
+                flush()
+                solid.pop()
+                out.append(("-" + name, "", 0))
+            names.pop()
+            paths.pop()
+            open_[name] -= 1
+            skips -= name in SKIPPED
+
+    while at < n:
+        to = page.find("<", at)
+        if to != at:
+            to = n if to < 0 else to
+            if not skips:
+                held.append(page[at:to])
+                links += (to - at) * bool(open_["a"])
+            at = to
             continue
-        name = name.lower()
-        if skip:
-            if m[1] and name == skip:
-                skip = ""
+        m = NAME.match(page, at + 1)
+        if not m:
+            if page.startswith("<!--", at):
+                end = at + 4 if page.startswith(("<!-->", "<!--->"), at) else page.find("-->", at + 4)
+                at = n if end < 0 else page.index(">", end) + 1
+            elif page.startswith(("<!", "<?", "</"), at):
+                end = page.find(">", at)
+                at = n if end < 0 else end + 1
+            else:
+                if not skips:
+                    held.append("<")
+                at += 1
             continue
-        if m[1]:
-            if name in names:
-                while names:
-                    stack.pop()
-                    if names.pop() == name:
-                        break
-                path = tuple(stack)
-            if name in BLOCK:
-                yield path, None, name
+        name, begin = m[0].lower(), m.end()
+        rest = None if plain else REST.match(page, begin)
+        if rest:
+            end = rest.end() - 1
+        else:  # a quote that never ends: from here on, tags end at the next ">"
+            plain, end = True, page.find(">", begin)
+            if end < 0:
+                break
+        at = end + 1
+        if name[0] == "/":
+            name = name[1:]
+            if open_[name]:
+                k = len(names) - 1
+                while names[k] != name:
+                    k -= 1
+                close(k)
+            elif name in BREAK:
+                held.append(" ")
             continue
-        if name in RAW and not m[3].endswith("/"):
-            skip = name
+        if name in RAW:
+            found = _raw_end(name).search(page, at)
+            at = n if not found else found.start()
             continue
-        if name in BLOCK:
-            yield path, None, name
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID:
+            if name in BREAK:
+                held.append(" ")
             continue
-        closed = CLOSES.get(name)
-        if closed:
-            k = len(names) - 1
-            while k >= 0 and names[k] in INLINE:
-                k -= 1
-            if k >= 0 and names[k] in closed:
-                del names[k:], stack[k:]
-        words = sorted({w for v in MARKED.findall(m[3]) for w in SPLIT.split(v.lower()) if w}) if m[3] else []
-        names.append(name)
-        stack.append(".".join([name, *words]))
-        path = tuple(stack)
-
-
-def no_content(path: tuple[str, ...]) -> bool:
-    """Whether an open element holds no part of the article: a page header does not, an article's does."""
-    main = False
-    for element in path:
-        name, *words = element.split(".")
-        if name in NO_CONTENT or not NO_WORDS.isdisjoint(words) and name not in ("html", "body", *MAIN) or name == "header" and not main:
-            return True
-        main = main or name in MAIN
-    return False
-
-
-def in_main(path: tuple[str, ...]) -> bool:
-    return any(e.split(".")[0] in MAIN or e.split(".")[1:] == ["main"] for e in path)
-
-
-def fold(stream: tuple, longest: int = 24) -> tuple:
-    """Neighbouring equal blocks as one repeated group ("rep", block), the shortest first, until nothing changes."""
-    stream = list(stream)
-    size = 1
-    while size <= min(longest, len(stream) // 2):
-        out, k, changed = [], 0, False
-        while k < len(stream):
-            block = stream[k : k + size]
-            end = k + size
-            while stream[end : end + size] == block and len(block) == size:
-                end += size
-            if end > k + size:
-                group = block[0] if size == 1 and block[0][0] == "rep" else ("rep", tuple(b[1][0] if b[0] == "opt" and len(b[1]) == 1 and size == 1 else b for b in block))
-                out.append(group)
-                changed = True
-                k = end
-            else:
-                # A block before or after its own group is one more repetition.
-                if out and out[-1] == ("rep", tuple(block)) and len(block) == size:
-                    changed = True
-                    k += size
-                    continue
-                if k + size < len(stream) and len(block) == size and stream[k + size] == ("rep", tuple(block)):
-                    changed = True
-                    k += size
-                    continue
-                out.append(stream[k])
-                k += 1
-        stream = out
-        size = 1 if changed else size + 1
-    return tuple(stream)
-
-
-def align(a: tuple, b: tuple) -> tuple:
-    """The wrapper of two: their longest common subsequence, and optional groups for what one side has alone."""
-    if a == b:
-        return a
-    bare = lambda x: x[1] if x[0] == "opt" else (x,)
-    n, m = len(a), len(b)
-    same = lambda i, j: a[i] == b[j] or bare(a[i]) == bare(b[j])
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if same(i, j) else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    alone: list = []
-
-    def close():
-        """What one side has alone is optional: runs of tokens as one group, groups as they are."""
-        run: list = []
-        for x in [*alone, ("opt", ())]:
-            if x[0] in ("tag", "text"):
-                run.append(x)
-                continue
-            if run:
-                out.append(("opt", tuple(run)))
-                run = []
-            if x[1]:
-                out.append(x)
-        alone.clear()
-
-    while i < n or j < m:
-        if i < n and j < m and same(i, j) and best[i][j] == best[i + 1][j + 1] + 1:
-            close()
-            out.append(a[i] if a[i] == b[j] else a[i] if a[i][0] == "opt" else b[j])
-            i, j = i + 1, j + 1
-        elif j >= m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            alone.append(a[i])
-            i += 1
+        top = names[solid[-1]]
+        if top in CLOSES.get(name, ()) or top == "head" and name not in IN_HEAD:
+            close(solid[-1])
+            if name == "tr" and names[solid[-1]] == "tr":
+                close(solid[-1])
+        block = name in BLOCK
+        if block:
+            flush()
+            out.append(("+" + name, "", 0))
+            path = paths[-1]
+            solid.append(len(names))
+            paths.append(f"{path}/{label(name, page[begin:end])}" if len(solid) <= DEPTH + 1 else path)
         else:
-            alone.append(b[j])
-            j += 1
-    close()
-    return fold(tuple(out))
-
-
-folded = functools.lru_cache(maxsize=8192)(fold)
-
-
-def stream_of(page: str) -> tuple[tuple, dict[tuple[str, ...], list]]:
-    """A page's folded stream of block paths and text slots, and each slot's [chars, link chars, hash of its text]."""
-    stream, slots = [], defaultdict(lambda: [0, 0, 0])
-    for path, text, extra in walk(page):
-        if text is None:
-            stream.append(("tag", extra))
-        elif bare := text.strip():
-            if not stream or stream[-1] != ("text", path):
-                stream.append(("text", path))
-            slot = slots[path]
-            slot[0] += len(bare)
-            slot[1] += len(bare) * bool(extra)
-            slot[2] = zlib.crc32(bare.encode(), slot[2])
-    return folded(tuple(stream)), slots
-
-
-def slots_of(wrapper: tuple) -> set[tuple[str, ...]]:
-    """Paths of the text slots of a wrapper."""
-    out: set[tuple[str, ...]] = set()
-    todo = list(wrapper)
-    while todo:
-        kind, what = todo.pop()
-        if kind == "text":
-            out.add(what)
-        elif kind in ("opt", "rep"):
-            todo += what
+            paths.append(paths[-1])
+        names.append(name)
+        open_[name] += 1
+        skips += name in SKIPPED
+    flush()
     return out
 
 
-def content_slots(wrapper: tuple, figures: dict[tuple[str, ...], tuple], pages: int, least_chars: int = 40, most_links: float = 0.3) -> list[tuple[str, ...]]:
-    """The slots of a wrapper that hold the article; figures: [pages, chars, link chars, least hash, greatest hash]."""
-    slots = [p for p in slots_of(wrapper) if not no_content(p)]
-    inside = [p for p in slots if in_main(p)]
-    if inside:
-        return inside
-    block = lambda p: tuple(e for e in p if e.split(".")[0] not in INLINE)
-    sums: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0, 0, 0])
-    for p in slots:
-        n, chars, links, low, high = figures.get(p, (0, 0, 0, 0, 1))
-        if pages >= 3 and n >= pages and low == high:
-            continue  # the same on every page: the template's own text
-        s = sums[block(p)]
-        s[0] += n
-        s[1] += chars
-        s[2] += links
-    good = {b for b, (n, chars, links) in sums.items() if n and chars / n >= least_chars and links <= most_links * chars}
-    head = {b for b in sums if b and b[-1].split(".")[0] in ("h1", "h2", "h3", "h4", "h5", "h6") and any(g[: len(b) - 1] == b[:-1] for g in good)}
-    return [p for p in slots if block(p) in good | head and not (pages >= 3 and figures.get(p, (0,))[0] >= pages and figures[p][3] == figures[p][4])]
-
-
-def main_text(page: str, content: set[tuple[str, ...]] | None) -> str:
-    """Text of the content slots: white space as one space, blocks joined by one.
-
-    A page that has none of its wrapper's slots, or has no wrapper, is taken by the wrapper's rule for itself.
-    """
-    tokens = list(walk(page))
-    if content is None or not any(t is not None and p in content for p, t, _ in tokens):
-        paths = {p for p, t, _ in tokens if t is not None and not no_content(p)}
-        content = {p for p in paths if in_main(p)} or paths
-    parts = ["<" if text is None or path not in content else text for path, text, _ in tokens]
-    blocks = (" ".join(entities.unescape(b).split()) for b in "".join(parts).split("<"))
-    return " ".join(b for b in blocks if b)
-
+@functools.lru_cache(maxsize=64)
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(f"</{name}(?=[\\s/>])", re.I)
+
+
+def fold(tokens: list[str], longest: int = 24, passes: int = 6) -> tuple[list[str], list[int], list[list[int]]]:
+    """Tokens with neighbouring equal runs as one repeated run: tokens, marks, and where each was in ``tokens``."""
+    items = [(t, [[t, 0, [k]]]) for k, t in enumerate(tokens)]
+    for _ in range(passes):
+        before = len(items)
+        for size in range(1, min(longest, before // 2) + 1):
+            items = _folded(items, size)
+        if len(items) == before:
+            break
+    flat = [x for _, leaves in items for x in leaves]
+    return [x[0] for x in flat], [x[1] for x in flat], [x[2] for x in flat]
+
+
+def _folded(items: list, size: int) -> list:
+    keys, n = [x[0] for x in items], len(items)
+    out, k = [], 0
+    while k < n:
+        end = k + size
+        if end < n and keys[k] == keys[end]:
+            block = keys[k:end]
+            while end + size <= n and keys[end : end + size] == block:
+                end += size
+        if end == k + size:
+            out.append(items[k])
+            k += 1
+            continue
+        leaves = [x for item in items[k : k + size] for x in item[1]]
+        for again in range(k + size, end, size):
+            for mine, more in zip(leaves, (x for item in items[again : again + size] for x in item[1]), strict=True):
+                mine[2] += more[2]
+        for x in leaves:
+            x[1] = REPEATED
+        out.append((block[0] if size == 1 and isinstance(block[0], tuple) else tuple(block), leaves))
+        k = end
+    return out
 
-STREAMS = "host string, stream string, n long, slots array<struct<path:string,n:long,chars:long,links:long,low:long,high:long>>"
 
+def common(a: list[str], b: list[str], most_bits: int = 1 << 30) -> list[tuple[int, int]]:
+    """Index pairs of a longest common subsequence: rows of its table are bits of whole numbers.
 
-def wrappers(rows: DataFrame, salts: int = 16) -> DataFrame:
-    """host, pages, content (array of paths as text), from rows (id, url, html)."""
-    import ast
+    Beyond ``most_bits`` table cells only the common beginning and end are paired.
+    """
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    inner_a, inner_b = a[head : len(a) - tail], b[head : len(b) - tail]
+    pairs: list[tuple[int, int]] = []
+    if inner_a and inner_b and len(inner_a) * len(inner_b) <= most_bits:
+        places: dict[str, int] = defaultdict(int)
+        for k, t in enumerate(inner_b):
+            places[t] |= 1 << k
+        full = (1 << len(inner_b)) - 1
+        row, rows = full, []
+        for t in inner_a:
+            found = row & places.get(t, 0)
+            row = ((row + found) | (row - found)) & full
+            rows.append(row)
+        i, j = len(inner_a), len(inner_b)
+        while i and j:
+            if rows[i - 1] >> (j - 1) & 1:
+                j -= 1
+            else:
+                i -= 1
+                if i == 0 or rows[i - 1] >> (j - 1) & 1:
+                    j -= 1
+                    pairs.append((head + i, head + j))
+        pairs.reverse()
+    return [(k, k) for k in range(head)] + pairs + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+
+
+Wrapper = tuple[list[str], list[int]]
+
+
+def align(a: Wrapper, b: Wrapper) -> Wrapper:
+    """The wrapper of two: what both have, and, marked optional, what one has alone."""
+    tokens: list[str] = []
+    marks: list[int] = []
+    i = j = 0
+    for x, y in [*common(a[0], b[0]), (len(a[0]), len(b[0]))]:
+        tokens += a[0][i:x] + b[0][j:y]
+        marks += [m | OPTIONAL for m in a[1][i:x] + b[1][j:y]]
+        if x < len(a[0]):
+            tokens.append(a[0][x])
+            marks.append(a[1][x] | b[1][y])
+        i, j = x + 1, y + 1
+    return tokens, marks
+
+
+def regex_of(wrapper: Wrapper) -> str:
+    """A wrapper written out: groups with ``?``, ``+`` or ``*`` (optional and repeated); text slots as ``#``."""
+    out, k, (tokens, marks) = [], 0, wrapper
+    while k < len(tokens):
+        end = k
+        while end < len(tokens) and marks[end] == marks[k]:
+            end += 1
+        body = "".join("#" if t[0] == "#" else f"</{t[1:]}>" if t[0] == "-" else f"<{t[1:]}>" for t in tokens[k:end])
+        out.append(f"({body}){['', '?', '+', '*'][marks[k]]}" if marks[k] else body)
+        k = end
+    return "".join(out)
+
+
+def slots_of(stream: list[str], wrapper: list[str]) -> list[int]:
+    """For each token of a stream its place in the wrapper: by alignment, else the first place of an equal token, else -1."""
+    out = [-1] * len(stream)
+    for i, j in common(stream, wrapper):
+        out[i] = j
+    first: dict[str, int] = {}
+    for k, t in enumerate(wrapper):
+        first.setdefault(t, k)
+    return [first.get(t, -1) if k < 0 and t[0] == "#" else k for k, t in zip(out, stream, strict=True)]
+
+
+def no_content(path: list[str]) -> bool:
+    """Whether a slot's elements say that it holds no part of an article: marks outside of the article don't count."""
+    inner = next((k for k in range(len(path) - 1, -1, -1) if is_main(path[k])), -1)
+    names = [p.lstrip("!").split(".")[0] for p in path]
+    return any(p[0] == "!" for p in path[inner + 1 :]) or any(x in NO_CONTENT for x in names) or inner < 0 and "header" in names
+
+
+def is_main(element: str) -> bool:
+    """An article or main element that isn't marked as something else, such as a reader's comment."""
+    name, *words = element.split(".")
+    return name in MAIN or name[0] != "!" and words == ["main"]
+
+
+def content_slots(wrapper: list[str], figures: dict[int, tuple], share: float = 0.6) -> list[int]:
+    """The slots of a wrapper that hold the article; figures: slot -> (code points, of these in links, one text only?, differing pages).
+
+    A text that never varies is the template's where at least 3 differing pages have it, or 8 in an article element.
+    """
+    slots = {k: wrapper[k].split("/")[1:] for k in figures if wrapper[k][0] == "#"}
+    slots = {k: p for k, p in slots.items() if not no_content(p)}
+    inside = {k: p for k, p in slots.items() if any(map(is_main, p))}
+    fixed = lambda k, least: figures[k][2] and figures[k][3] >= least
+    if inside:
+        return sorted(k for k in inside if not fixed(k, 8)) or sorted(inside)
+    weight = {k: 0 if fixed(k, 3) else figures[k][0] - figures[k][1] for k in slots}
+    region: list[str] = []
+    while True:
+        below: dict[str, int] = defaultdict(int)
+        nested = set()
+        for k, p in slots.items():
+            if len(p) > len(region) and p[: len(region)] == region:
+                below[p[len(region)]] += weight[k]
+                if len(p) > len(region) + 1:
+                    nested.add(p[len(region)])
+        total = sum(w for k, w in weight.items() if slots[k][: len(region)] == region)
+        best = max(sorted(below), key=below.__getitem__, default="")
+        if best not in nested or below[best] < share * total or best.split(".")[0] in LEAVES:
+            break
+        region = [*region, best]
+    blocks: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    for k in slots:
+        blocks[wrapper[k]][0] += figures[k][0]
+        blocks[wrapper[k]][1] += figures[k][1]
+    linked = lambda k: blocks[wrapper[k]][1] > 0.5 * blocks[wrapper[k]][0]
+    inner = [k for k, p in slots.items() if p[: len(region)] == region or p[-1].split(".")[0] in HEADINGS]
+    return sorted(k for k in inner if not fixed(k, 3) and not linked(k)) or sorted(k for k in inner if not fixed(k, 3)) or sorted(inner)
+
+
+def text_of(texts: list[str]) -> str:
+    """Blocks decoded, white space as one space, joined by one."""
+    return " ".join(b for t in texts if (b := " ".join(entities.unescape(t).split())))
+
+
+class Pages:
+    """Pages as streams, matched with wrappers; streams and matches are kept for what repeats."""
+
+    def __init__(self, most: int = 4096):
+        self.folds = functools.lru_cache(most)(lambda tokens: fold(list(tokens)))
+        self.matches = functools.lru_cache(most)(lambda stream, wrapper: slots_of(list(stream), self.wrapper(wrapper)[0]))
+        self.wrapper = functools.lru_cache(256)(json.loads)
+
+    def stream(self, page: str) -> tuple[list, tuple[list[str], list[int], list[list[int]]]]:
+        tokens = tokens_of(page)
+        return tokens, self.folds(tuple(t[0] for t in tokens))
+
+    def slotted(self, page: str, wrapper: str) -> list[tuple[int, str, int]]:
+        """(slot, text, code points in links) of a page's texts, in its order."""
+        tokens, (stream, _, places) = self.stream(page)
+        slots = self.matches(tuple(stream), wrapper)
+        of = {k: slot for slot, at in zip(slots, places, strict=True) for k in at}
+        return [(of[k], text, links) for k, (t, text, links) in enumerate(tokens) if t[0] == "#"]
+
+    def main_text(self, page: str, wrapper: str, content: set[int], fixed: set[int]) -> str:
+        got = self.slotted(page, wrapper)
+        if not any(slot in content for slot, _, _ in got):
+            own: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+            for slot, text, links in got:
+                own[slot][0] += len(text)
+                own[slot][1] += links
+            content = set(content_slots(self.wrapper(wrapper)[0], {k: (*v, False, 1) for k, v in own.items() if k not in fixed}))
+        return text_of([text for slot, text, _ in got if slot in content])
+
+
+def wrappers(rows: DataFrame) -> DataFrame:
+    """(host, wrapper) from rows (host, html): one wrapper for each host, as JSON."""
 
     def make():
+        pages = Pages()
+
         def step(rows):
             counts: Counter = Counter()
-            slots: dict = {}
             for host, page in zip(rows["host"], rows["html"], strict=True):
-                stream, figures = stream_of(page)
-                key = host, repr(stream)
-                counts[key] += 1
-                for path, (chars, links, text) in figures.items():
-                    old = slots.setdefault(key, {}).get(path, (0, 0, 0, text, text))
-                    slots[key][path] = (old[0] + 1, old[1] + chars, old[2] + links, min(old[3], text), max(old[4], text))
-            keys = list(counts)
-            yield {"host": [k[0] for k in keys], "stream": [k[1] for k in keys], "n": [counts[k] for k in keys], "slots": [[dict(zip(("path", "n", "chars", "links", "low", "high"), (repr(p), *v), strict=True)) for p, v in slots.get(k, {}).items()] for k in keys]}
+                tokens, marks, _ = pages.stream(page)[1]
+                counts[host, json.dumps([tokens, marks])] += 1
+            yield {"host": [k[0] for k in counts], "wrapper": [k[1] for k in counts], "n": list(counts.values())}
 
         return step
 
-    streams = kept(per_batch(rows.select("host", "html"), make, STREAMS), "streams")
-
     def meet(group: pa.Table) -> pa.Table:
-        """One wrapper of the different streams of a group, the most frequent first."""
-        counts: Counter = Counter()
-        for r in group.to_pylist():
-            counts[r["stream"]] += r["n"]
-        out: tuple | None = None
-        for text, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
-            stream = ast.literal_eval(text)
-            out = stream if out is None else align(out, stream)
-        return pa.table({"host": [group["host"][0].as_py()], "stream": [repr(out)], "n": [sum(counts.values())]})
-
-    shape = "host string, stream string, n long"
-    one = streams.groupBy("host", "stream").agg(F.sum("n").alias("n"))
-    salted = one.withColumn("salt", F.pmod(F.xxhash64("stream"), F.lit(salts))).groupBy("host", "salt").applyInArrow(meet, shape)
-    whole = salted.groupBy("host").applyInArrow(meet, shape)
-    figures = streams.select("host", F.explode("slots").alias("s")).groupBy("host", "s.path").agg(F.sum("s.n").alias("n"), F.sum("s.chars").alias("chars"), F.sum("s.links").alias("links"), F.min("s.low").alias("low"), F.max("s.high").alias("high"))
-    by_host = figures.groupBy("host").agg(F.collect_list(F.struct("path", "n", "chars", "links", "low", "high")).alias("slots"))
+        """One wrapper of a group's, the most frequent first."""
+        rows = sorted(group.select(["host", "wrapper", "n"]).to_pylist(), key=lambda r: (-r["n"], r["wrapper"]))
+        out = functools.reduce(align, (json.loads(r["wrapper"]) for r in rows))
+        return pa.table({"host": [rows[0]["host"]], "wrapper": [json.dumps(out)], "n": [sum(r["n"] for r in rows)]})
+
+    shape = "host string, wrapper string, n long"
+    level = kept(per_batch(rows.select("host", "html"), make, shape).groupBy("host", "wrapper").agg(F.sum("n").alias("n")), "streams")
+    while True:
+        sizes = level.groupBy("host").agg(F.count("*").alias("size"))
+        if (sizes.agg(F.max("size")).first()[0] or 0) <= 1:
+            return level.select("host", "wrapper")
+        group = F.pmod(F.xxhash64("wrapper"), F.ceil(F.col("size") / GROUP))
+        level = kept(level.join(sizes, "host").withColumn("group", group).groupBy("host", "group").applyInArrow(meet, shape), "wrappers")
+
+
+class Known:
+    """A table by host that goes to tasks as a variable while it is small, by a join beyond."""
+
+    def __init__(self, found: DataFrame, most_bytes: int):
+        self.found, self.columns = found, [c for c in found.columns if c != "host"]
+        size = found.agg(F.sum(sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in found.columns), F.lit(0)))).first()[0] or 0
+        self.rows = {r["host"]: tuple(r[c] for c in self.columns) for r in found.collect()} if size <= most_bytes else None
+
+    def beside(self, rows: DataFrame) -> DataFrame:
+        return rows if self.rows is not None else rows.join(self.found, "host", "left")
+
+    def of(self, rows: dict[str, list]) -> list[tuple]:
+        return [self.rows[h] for h in rows["host"]] if self.rows is not None else list(zip(*(rows[c] for c in self.columns), strict=True))
+
+    def __getstate__(self):
+        return {"rows": self.rows, "columns": self.columns}
+
+
+def judged(rows: DataFrame, found: DataFrame, most_bytes: int) -> DataFrame:
+    """(host, wrapper, content, fixed): which slots of each wrapper hold the article, and which never vary."""
+    known = Known(found, most_bytes)
+
+    def make():
+        pages = Pages()
+
+        def step(rows):
+            out: dict[str, list] = {c: [] for c in ("host", "slot", "chars", "links", "text", "page")}
+            for host, page, (wrapper,) in zip(rows["host"], rows["html"], known.of(rows), strict=True):
+                sums: dict[int, list[int]] = {}
+                for slot, text, links in pages.slotted(page, wrapper):
+                    s = sums.setdefault(slot, [0, 0, 0])
+                    s[0] += len(text)
+                    s[1] += links
+                    s[2] = zlib.crc32(" ".join(text.split()).encode() + b"\n", s[2])
+                whole = zlib.crc32(repr(sorted((k, v[2]) for k, v in sums.items())).encode())
+                for slot, s in sums.items():
+                    for c, v in zip(out.values(), (host, slot, *s, whole), strict=True):
+                        c.append(v)
+            yield out
+
+        return step
+
+    shape = "host string, slot int, chars long, links long, text long, page long"
+    figures = per_batch(known.beside(rows.select("host", "html")), make, shape).groupBy("host", "slot").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"), (F.min("text") == F.max("text")).alias("one"), F.approx_count_distinct("page").alias("pages"))
+    by_host = figures.groupBy("host").agg(F.collect_list(F.struct("slot", "chars", "links", "one", "pages")).alias("slots"))
 
     def choose():
         def step(rows):
-            content = []
-            for stream, n, slots in zip(rows["stream"], rows["n"], rows["slots"], strict=True):
-                known = {ast.literal_eval(s["path"]): (s["n"], s["chars"], s["links"], s["low"], s["high"]) for s in slots or ()}
-                content.append([repr(p) for p in content_slots(ast.literal_eval(stream), known, n)])
-            yield {"host": rows["host"], "pages": rows["n"], "content": content, "wrapper": rows["stream"]}
+            content, fixed = [], []
+            for wrapper, slots in zip(rows["wrapper"], rows["slots"], strict=True):
+                of = {s["slot"]: (s["chars"], s["links"], s["one"], s["pages"]) for s in slots or ()}
+                content.append(content_slots(json.loads(wrapper)[0], of))
+                fixed.append(sorted(k for k, f in of.items() if f[2] and f[3] >= 3))
+            yield {"host": rows["host"], "wrapper": rows["wrapper"], "content": content, "fixed": fixed}
 
         return step
 
-    return per_batch(whole.join(by_host, "host", "left"), choose, "host string, pages long, content array<string>, wrapper string")
+    return kept(per_batch(found.join(by_host, "host", "left"), choose, "host string, wrapper string, content array<int>, fixed array<int>"), "judged")
 
 
-def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most_wrappers: int = 20_000) -> DataFrame:
+def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most_bytes: int = 16 << 20) -> DataFrame:
     """id, url and ``text``, the main text of every page."""
-    import ast
-
     host = F.coalesce(F.lower(F.regexp_extract(col_of(df, url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = df.select(col_of(df, id_col).alias("id"), col_of(df, url_col).alias("url"), host.alias("host"), F.coalesce(col_of(df, html_col), F.lit("")).alias("html"))
-    found = kept(wrappers(rows), "wrappers").select("host", "content")
+    known = Known(judged(rows, wrappers(rows), most_bytes), most_bytes)
     kind = rows.schema["id"].dataType.simpleString()
-    out = f"id {kind}, url string, text string"
-    few = found.count() <= most_wrappers
-    known = {r["host"]: r["content"] for r in found.collect()} if few else None
 
     def make():
-        cache: dict = {}
-
-        def content(host, paths):
-            if host not in cache:
-                if len(cache) > 10_000:
-                    cache.clear()
-                cache[host] = {ast.literal_eval(p) for p in paths} if paths else None
-            return cache[host]
+        pages, sets = Pages(), functools.lru_cache(256)(lambda *x: set(x))
 
         def step(rows):
-            of = rows["content"] if known is None else map(known.get, rows["host"])
-            yield {"id": rows["id"], "url": rows["url"], "text": [main_text(p, content(h, c)) for h, c, p in zip(rows["host"], of, rows["html"], strict=True)]}
+            texts = [pages.main_text(page, wrapper, sets(*content), sets(*fixed)) for page, (wrapper, content, fixed) in zip(rows["html"], known.of(rows), strict=True)]
+            yield {"id": rows["id"], "url": rows["url"], "text": texts}
 
         return step
 
-    pages = rows if few else rows.join(found, "host", "left")
-    return per_batch(pages, make, out).withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
+    return per_batch(known.beside(rows), make, f"id {kind}, url string, text string").withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)

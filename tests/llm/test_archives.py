@@ -1,10 +1,16 @@
 """WARC archives, media columns and HTML extraction."""
 
 import base64
+import functools
 import gzip
 import hashlib
+import itertools
+import json
+import random
 import struct
+import time
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -140,10 +146,115 @@ def test_article_is_extracted(spark):
 
 def test_wrappers_by_join_are_the_same(spark):
     rows = [(k, f"http://h{k % 3}/{k}", ARTICLE.replace("One", f"One {k}")) for k in range(9)]
-    few, many = (sorted((r["page_id"], r["text"]) for r in html.extract(pages_of(spark, rows), most_wrappers=m).collect()) for m in (100, 0))
+    few, many = (sorted((r["page_id"], r["text"]) for r in html.extract(pages_of(spark, rows), most_bytes=m).collect()) for m in (1 << 20, 0))
     assert few == many and few[4][1] == "Head & line One 4. Two three <x>."
 
 
+def by_wrapper(pages: list[str], join=html.align) -> tuple[str, list[str]]:
+    """Wrapper and texts of one host's pages, in plain Python."""
+    own = html.Pages()
+    streams = sorted({json.dumps(own.stream(p)[1][:2]) for p in pages})
+    wrapper = json.dumps(functools.reduce(join, map(json.loads, streams)))
+    slots = defaultdict(list)
+    for p in pages:
+        got = own.slotted(p, wrapper)
+        for slot in {s for s, _, _ in got}:
+            mine = [(t, n) for s, t, n in got if s == slot]
+            slots[slot].append((tuple(" ".join(t.split()) for t, _ in mine), sum(len(t) for t, _ in mine), sum(n for _, n in mine), tuple((s, t) for s, t, _ in got)))
+    figures = {s: (sum(x[1] for x in v), sum(x[2] for x in v), len({x[0] for x in v}) == 1, len({x[3] for x in v})) for s, v in slots.items()}
+    content = set(html.content_slots(json.loads(wrapper)[0], figures))
+    fixed = {s for s, f in figures.items() if f[2] and f[3] >= 3}
+    return html.regex_of(json.loads(wrapper)), [own.main_text(p, wrapper, content, fixed) for p in pages]
+
+
+NOTICE = "<div>All rights are with the house.</div>"
+LAYOUTS = [
+    "<body><div class='box'>{n}<h3>Head {k}</h3><p>Short {k}.</p></div></body>",
+    "<body><div class='box'>{n}<p>One {k}.</p><p>Two {k}.</p><ul><li>point {k}</li><li>more {k}</li></ul></div></body>",
+    "<body><div class='box'>{n}<h3>Head {k}</h3><blockquote>Quote {k}</blockquote></div></body>",
+]
+
+
+def layouts(n: int = 9) -> tuple[list[str], list[str]]:
+    pages = [LAYOUTS[k % 3].format(n=NOTICE, k=k) for k in range(n)]
+    return pages, [[f"Head {k} Short {k}.", f"One {k}. Two {k}. point {k} more {k}", f"Head {k} Quote {k}"][k % 3] for k in range(n)]
+
+
+def test_alignment_decides(spark):
+    pages, want = layouts()
+    regex, got = by_wrapper(pages)
+    assert got == want
+    assert "(<p>#</p>)*" in regex and "(<h3>#</h3><blockquote>#</blockquote>)?" in regex
+    rows = [(k, "http://h/x", p) for k, p in enumerate(pages)]
+    spread = {r["page_id"]: r["text"] for r in html.extract(pages_of(spark, rows).repartition(4)).collect()}
+    assert spread == dict(enumerate(want))
+    # Without alignment, a host's wrapper has the slots of one layout only, and the others lose text.
+    assert by_wrapper(pages, lambda a, b: a)[1] != want
+
+
+def test_what_repeats_on_different_pages_is_the_template(spark):
+    pages, want = layouts()
+    same = [(k, "http://one/x", pages[0]) for k in range(6)]  # repeated rows are one page: nothing is known to be the template's
+    got = {r["text"] for r in html.extract(pages_of(spark, same)).collect()}
+    assert got == {"All rights are with the house. " + want[0]}
+
+
+def test_many_layouts_of_a_hot_host_meet_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(html, "GROUP", 4)
+    tags = ["p", "ul", "h3", "blockquote", "pre", "table", "h4", "section"]
+    bodies = ["".join(f"<{tags[b]}>text {k} {b}</{tags[b]}>" for b in range(8) if k >> b & 1) for k in range(1, 64)]
+    rows = [(k, "http://h/x", f"<body><nav>menu</nav><article>{b}</article></body>") for k, b in enumerate(bodies)]
+    assert html.wrappers(pages_of(spark, rows).select(F.col("url").alias("host"), "html")).count() == 1
+    for r in html.extract(pages_of(spark, rows)).collect():
+        k = r["page_id"] + 1
+        assert r["text"] == " ".join(f"text {k} {b}" for b in range(8) if k >> b & 1)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div class="container with-sidebar"><article><p>x y</p></article></div>', "x y"),
+        ('<main><section id="search-engines"><p>abc</p></section></main>', "abc"),
+        ('<article><p>a</p><section class="social-history"><p>b</p></section></article>', "a b"),
+        ("<article><object data=x><p>one</p></article><footer>z</footer>", "one"),
+        ("<article><script src=/js/>var x=1;</script>ok</article>", "ok"),
+        ('<article>ok<script src="a.js"/>y</script><p>more</article>', "ok more"),
+        ('<p title=">">x', "x"),
+        ("a < b <! c> d <?x y?> e <!--> f", "a < b d e f"),
+        ("<head><title>T</title><p>said &amp;lt; so", "said &lt; so"),
+        ("<article><p>one <a href=/x/>two</a> three<select><option>no</select></p><article class=comment>reader</article></article>", "one two three"),
+        ("<ul><li>one<li>two</ul><table><tr><td>a<td>b<tr><td>c</table>", "one two a b c"),
+    ],
+)
+def test_single_pages(page, text):
+    assert by_wrapper([page])[1] == [text]
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div>", "<b>x", "<!--", "<a b=\"", "<p>x</p>", "<script>", '<a b=">" ', "<ul><li>x", "</b>", "<"])
+def test_long_pages_are_read_in_linear_time(part):
+    times = []
+    for n in (250_000, 1_000_000):
+        page = part * (n // len(part))
+        begin = time.process_time()
+        html.tokens_of(page)
+        times.append(time.process_time() - begin)
+    assert times[1] < 4 and times[1] < 10 * times[0] + 0.5
+
+
+def test_common_subsequences_are_longest():
+    r = random.Random(7)
+    for _ in range(500):
+        a, b = ("".join(r.choices("abc", k=r.randint(0, 10))) for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        pairs = html.common(list(a), list(b))
+        assert len(pairs) == best[-1][-1] and all(a[i] == b[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in itertools.pairwise(pairs))
+    assert html.common(list("abxc"), list("abyyc"), most_bits=0) == [(0, 0), (1, 1), (3, 4)]
+
+
 def test_hosts_without_an_article(spark):
     page = '<html><body><div class="menu"><a>Home</a></div><div id="top">Welcome to our site, the home of all good things and news</div><div id="story"><h2>Title {0}</h2><p>{1}</p><p>{1} again</p></div><ul><li><a>link one here</a></li><li><a>link two here</a></li></ul></body></html>'
     rows = [(k, f"http://h/{k}", page.format(k, f"sentence number {k} that goes on for quite a while so that it is text")) for k in range(5)]
@@ -154,14 +265,18 @@ def test_hosts_without_an_article(spark):
 
 
 def test_fold_and_align():
-    t = lambda s: tuple(("tag", c) for c in s)
-    assert html.fold(t("aaab")) == (("rep", t("a")), ("tag", "b"))
-    assert html.fold(t("xabababy")) == (("tag", "x"), ("rep", t("ab")), ("tag", "y"))
-    assert html.align(t("abc"), t("ac")) == (("tag", "a"), ("opt", t("b")), ("tag", "c"))
-    assert html.align(t("abc"), t("abc")) == t("abc")
-    both = html.align(html.fold(t("xpqz")), html.fold(t("xpqpqz")))
-    assert html.slots_of((("opt", (("text", ("a",)), ("rep", (("text", ("b",)),)))),)) == {("a",), ("b",)}
-    assert both[0] == ("tag", "x") and both[-1] == ("tag", "z")
+    fold = lambda s: html.fold(list(s))[:2]
+    assert html.fold(list("aaab")) == (["a", "b"], [2, 0], [[0, 1, 2], [3]])
+    assert html.fold(list("xabababy")) == (list("xaby"), [0, 2, 2, 0], [[0], [1, 3, 5], [2, 4, 6], [7]])
+    assert html.fold(list("aabaab"))[2] == [[0, 1, 3, 4], [2, 5]]
+    assert html.align(fold("abc"), fold("ac")) == (list("abc"), [0, 1, 0])
+    assert html.align(fold("xpqz"), fold("xpqpqz")) == (list("xpqz"), [0, 2, 2, 0])
+    assert html.regex_of((["+p", "#p", "-p", "+i"], [2, 2, 2, 3])) == "(<p>#</p>)+(<i>)*"
+    r = random.Random(6)
+    for _ in range(200):
+        tokens = r.choices("abc", k=r.randint(0, 30))
+        places = html.fold(tokens)[2]
+        assert sorted(k for p in places for k in p) == list(range(len(tokens)))
 
 
 def test_html_query(spark):
@@ -177,3 +292,12 @@ def test_html_query(spark):
         article = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
         blocks = re.sub(r"</?b>", "", article)
         assert texts[r["page_id"]] == " ".join(x for b in re.split(r"<[^>]*>", blocks) if (x := " ".join(entities.unescape(b).split())))
+
+
+def test_articles_without_their_element(spark):
+    """The given pages with every article in a plain element: the region with most of the varying text is found."""
+    d = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    plain = d.withColumn("html", F.regexp_replace(F.regexp_replace("html", "<article>", '<div class="story">'), "</article>", "</div>"))
+    want = {r["page_id"]: r["text"] for r in html.extract(d).collect()}
+    got = {r["page_id"]: r["text"] for r in html.extract(plain).collect()}
+    assert sum(got[k] == t for k, t in want.items()) >= 0.97 * len(want)

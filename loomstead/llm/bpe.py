@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding; long unsplit text by tree concatenation.
 
-Texts are encoded unit by unit from a bounded cache. A unit of more than ``leaf_chars`` code points without a
-place to cut is halved until its parts are small; the parts are encoded and joined pairwise: a window around
-the join is encoded again and grows until, at either edge, its tokens agree with those of the side exactly,
-which holds where the edge is a place that no piece crosses, or where the token there is the same inside one
-run of equal kind, as every two neighbouring tokens of a piece are then merge-valid.
+A text of more than ``leaf_chars`` code points is cut into leaves of equal length, wherever that falls. Leaves
+are encoded alone, unit by unit from a bounded cache, and joined pairwise: a window around the join is encoded
+again and grows until, at either edge, its tokens agree with those of the side exactly, which holds where the
+edge is a place that no piece crosses, or where the token there is the same inside one run of equal kind, as
+every two neighbouring tokens of a piece are then merge-valid. Special strings stand alone in any case, so
+the stretches between them are encoded each as such a tree.
 
 Texts of more than ``spread_chars`` code points are dealt out as leaf rows, so that many tasks encode one
 text; the leaves of a text (equal texts once) meet by its digest and are joined as the same tree.
@@ -16,19 +17,21 @@ read. Memory: the ids of one text and a bounded cache.
 from __future__ import annotations
 
 import functools
-import re
+import itertools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstead.llm.common import ROWS, per_batch, text_rows
-from loomstead.llm.units import Coder, Joined, coder, packed, units
+from loomstead.llm.common import parts, per_batch, text_rows
+from loomstead.llm.units import Coder, Joined, coder, packed, unpacked
 
 LEAF_CHARS, SPREAD_CHARS = 1024, 65_536
 
 
+@functools.lru_cache(maxsize=1 << 16)
 def kind_of(c: str) -> str:
     """Letter, number, space or other, as the pre-tokenizer tells them apart."""
     import regex
@@ -44,124 +47,131 @@ def free_cut(text: str, at: int) -> bool:
 
 
 class Tree:
-    """Encodes text without special strings by halves; offsets are in bytes."""
-
-    def __init__(self, code: Coder, leaf_chars: int = LEAF_CHARS, window: int = 32):
-        self.code, self.leaf, self.window = code, leaf_chars, window
-
-    def encode(self, text: str) -> list[int]:
-        if len(text) <= self.leaf:
-            return self.code.encode_text(text)
-        half = len(text) // 2
-        return self.join(self.encode(text[:half]), self.encode(text[half:]), text, half)
-
-    def _edges(self, ids: list[int]) -> np.ndarray:
-        return np.cumsum([0, *(len(self.code.bytes_of[i]) for i in ids)])
-
-    def join(self, left: list[int], right: list[int], text: str, seam: int) -> list[int]:
-        """The ids of ``text`` from those of ``text[:seam]`` and ``text[seam:]``."""
+    """Encodes texts by halves; ids are packed, as little-endian 32-bit numbers.
+
+    ``leaf`` gives the ids of a short text. Nothing but the ids is looked at: they say what they stand for.
+    """
+
+    def __init__(self, code: Coder, leaf: Callable[[str], bytes], leaf_chars: int = LEAF_CHARS, window: int = 32):
+        self.code, self.leaf, self.leaf_chars, self.window, self.joins = code, leaf, leaf_chars, window, 0
+        self.token = code.bytes_of
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a whole text: special strings stand alone, the text between them is halved."""
+        parts = self.code.split_special(text)
+        if len(parts) == 1:
+            return self.halves(text)
+        return b"".join(packed([self.code.special[t]]) if n % 2 else self.halves(t) for n, t in enumerate(parts))
+
+    def halves(self, text: str) -> bytes:
+        if len(text) <= self.leaf_chars:
+            return self.leaf(text)
+        # Leaves of equal length, joined pairwise.
+        n = -(-len(text) // self.leaf_chars)
+        edges = [len(text) * k // n for k in range(n + 1)]
+        return self.together([self.leaf(text[a:b]) for a, b in itertools.pairwise(edges)])
+
+    def together(self, ids: list[bytes]) -> bytes:
+        """The ids of neighbouring parts of a text as those of the whole."""
+        while len(ids) > 1:
+            ids = [self.join(*ids[k : k + 2]) if k + 1 < len(ids) else ids[k] for k in range(0, len(ids), 2)]
+        return ids[0] if ids else b""
+
+    def join(self, left: bytes, right: bytes) -> bytes:
+        """A window around the seam is encoded again, and grows until both sides agree with it."""
         if not left or not right:
             return left or right
-        raw = text.encode()
-        at = len(text[:seam].encode())
-        le, re_ = self._edges(left), at + self._edges(right)
-        is_start = lambda p: p == len(raw) or raw[p] & 0xC0 != 0x80
-        size = self.window
+        self.joins += 1
+        n, m, size = len(left) // 4, len(right) // 4, self.window
         while True:
-            i = int(np.searchsorted(le, at - size, "right")) - 1 if at > size else 0
-            while i and not is_start(le[i]):
-                i -= 1
-            j = int(np.searchsorted(re_, at + size)) if at + size < len(raw) else len(right)
-            while j < len(right) and not is_start(re_[j]):
-                j += 1
-            lo, hi = int(le[i]), int(re_[j])
-            ids = self.code.encode_text(raw[lo:hi].decode())
-            if self._agrees_left(raw, lo, i, left, ids) and self._agrees_right(raw, hi, j, right, ids, int(re_[j - 1])):
-                return left[:i] + ids + right[j:]
+            i, before = self._back(left, n, size)
+            j, after = self._ahead(right, m, size)
+            ids = self.leaf((before + after).decode())
+            if self._agrees_left(left, i, ids) and self._agrees_right(right, j, m, ids):
+                return left[: 4 * i] + ids + right[4 * j :]
             size *= 2
 
-    @staticmethod
-    def _around(raw: bytes, lo: int, hi: int) -> tuple[str, int, int]:
-        """The text of ``raw[lo:hi]`` with up to four code points on both sides, and where they begin and end in it."""
-        before, after = raw[max(0, lo - 32) : lo].decode("utf-8", "ignore")[-4:], raw[hi : hi + 32].decode("utf-8", "ignore")[:4]
-        return before + raw[lo:hi].decode() + after, len(before), len(after)
-
-    def _same_run(self, raw: bytes, lo: int, hi: int) -> bool:
-        """Whether ``raw[lo:hi]`` and four code points on either side are a run of one kind without an apostrophe."""
+    def _bytes(self, ids: bytes, a: int, b: int) -> bytes:
+        return b"".join([self.token[t] for t in unpacked(ids[4 * a : 4 * b])])
+
+    def _back(self, ids: bytes, n: int, size: int) -> tuple[int, bytes]:
+        """The last tokens with at least ``size`` bytes that begin with a whole character: their first place, and their bytes."""
+        i = max(0, n - size - 16)
+        known = [self.token[t] for t in unpacked(ids[4 * i :])]
+        held, whole, spaced = 0, -1, -1
+        for k in range(len(known) - 1, 0, -1):
+            held += len(known[k])
+            if held >= size and known[k][0] & 0xC0 != 0x80:
+                whole = k if whole < 0 else whole
+                if known[k][0] == 32 and 32 < known[k - 1][-1] < 127:
+                    spaced = k  # before a space, after what is none: no piece crosses
+                    break
+        k = spaced if spaced >= 0 else whole
+        if k < 0:  # all of it; where there is more, it may only not begin with a whole character
+            if i:
+                return self._back(ids, n, 2 * size)
+            k = 0
+        return i + k, b"".join(known[k:])
+
+    def _ahead(self, ids: bytes, m: int, size: int) -> tuple[int, bytes]:
+        """The first tokens of the kind, after which a whole character begins: the place after them, and their bytes."""
+        j = min(m, size + 16)
+        known = [self.token[t] for t in unpacked(ids[: 4 * j])]
+        held, whole, spaced = 0, -1, -1
+        for k in range(1, len(known)):
+            held += len(known[k - 1])
+            if held >= size and known[k][0] & 0xC0 != 0x80:
+                whole = k if whole < 0 else whole
+                if known[k][0] == 32 and 32 < known[k - 1][-1] < 127:
+                    spaced = k
+                    break
+        k = spaced if spaced >= 0 else whole
+        if k < 0:
+            if j < m:
+                return self._ahead(ids, m, 2 * size)
+            k = m
+        return k, b"".join(known[:k])
+
+    def _near(self, ids: bytes, a: int, b: int, n: int) -> tuple[str, int, int]:
+        """The text of tokens a to b with up to four code points on both sides, and how many there are on each."""
+        before = self._bytes(ids, max(0, a - 16), a).decode("utf-8", "ignore")[-4:]
+        after = self._bytes(ids, b, min(n, b + 16)).decode("utf-8", "ignore")[:4]
+        return before + self._bytes(ids, a, b).decode() + after, len(before), len(after)
+
+    def _same_run(self, ids: bytes, k: int, n: int) -> bool:
+        """Whether token k and four code points on either side are a run of one kind without an apostrophe."""
         try:
-            text, before, after = self._around(raw, lo, hi)
+            text, before, after = self._near(ids, k, k + 1, n)
         except UnicodeDecodeError:
             return False
         return before == 4 and after == 4 and "'" not in text and len({kind_of(c) for c in text}) == 1
 
-    def _agrees_left(self, raw: bytes, lo: int, i: int, left: list[int], ids: list[int]) -> bool:
+    def _agrees_left(self, left: bytes, i: int, ids: bytes) -> bool:
         if i == 0:
             return True
-        near, before, _ = self._around(raw, lo, lo)
-        if free_cut(near, before):
-            return True
-        return bool(ids) and ids[0] == left[i] and self._same_run(raw, lo, lo + len(self.code.bytes_of[ids[0]]))
+        near, before, _ = self._near(left, i, i, len(left) // 4)
+        return free_cut(near, before) or ids[:4] == left[4 * i : 4 * i + 4] and self._same_run(left, i, len(left) // 4)
 
-    def _agrees_right(self, raw: bytes, hi: int, j: int, right: list[int], ids: list[int], start: int) -> bool:
-        if j == len(right):
-            return True
-        near, before, _ = self._around(raw, hi, hi)
-        if free_cut(near, before):
+    def _agrees_right(self, right: bytes, j: int, m: int, ids: bytes) -> bool:
+        if j == m:
             return True
-        return bool(ids) and j > 0 and ids[-1] == right[j - 1] and self._same_run(raw, start, hi)
-
-
-def leaves(text: str, special: dict[str, int], leaf_chars: int) -> list[tuple[str, bool]]:
-    """Parts of a text of about ``leaf_chars`` code points, and whether a part must be joined to the one before it."""
-    out: list[tuple[str, bool]] = []
-    for n, part in enumerate(re.split("(" + "|".join(map(re.escape, special)) + ")", text) if special else [text]):
-        if n % 2:
-            out.append((part, False))
-            continue
-        held: list[str] = []
-        for unit in units(part):
-            if held and sum(map(len, held)) + len(unit) > leaf_chars:
-                out.append(("".join(held), False))
-                held = []
-            if len(unit) > leaf_chars:
-                if held:
-                    out.append(("".join(held), False))
-                    held = []
-                out += [(unit[k : k + leaf_chars], k > 0) for k in range(0, len(unit), leaf_chars)]
-            elif unit:
-                held.append(unit)
-        if held:
-            out.append(("".join(held), False))
-    return out
-
-
-def joined(tree: Tree, parts: list[tuple[str, bool, list[int]]]) -> list[int]:
-    """Encoded leaves in order: those that belong together as a tree, all in a row."""
-    ids: list[int] = []
-    run: list[tuple[str, list[int]]] = []
-    for k, (text, glued, of) in enumerate(parts):
-        run.append((text, of))
-        if k + 1 == len(parts) or not parts[k + 1][1]:
-            while len(run) > 1:
-                pairs = [run[n : n + 2] for n in range(0, len(run), 2)]
-                run = [(p[0][0] + p[1][0], tree.join(p[0][1], p[1][1], p[0][0] + p[1][0], len(p[0][0]))) if len(p) == 2 else p[0] for p in pairs]
-            ids += run[0][1]
-            run = []
-    return ids
+        near, before, _ = self._near(right, j, j, m)
+        return free_cut(near, before) or ids[-4:] == right[4 * j - 4 : 4 * j] and self._same_run(right, j - 1, m)
 
 
 @functools.lru_cache(maxsize=2)
-def _units(path: str, leaf_chars: int) -> Joined:
+def tree_of(path: str, leaf_chars: int) -> Tree:
+    """One tree coder for each vocabulary and Python worker; its leaves are encoded unit by unit from bounded caches."""
     code = coder(path)
-    tree = Tree(code, leaf_chars)
+    return Tree(code, Joined(code.packed), leaf_chars)
+
 
-    def make(unit: str) -> bytes:
-        if len(unit) <= leaf_chars:
-            return code.packed(unit)
-        parts = leaves(unit, code.special, leaf_chars)
-        return packed(joined(tree, [(t, g, code.encode(t)) for t, g in parts]))
+def leaves(text: str, code: Coder, chars: int) -> list[tuple[str, int]]:
+    """Parts of a text of at most ``chars`` code points, and the stretch between special strings that each is part of.
 
-    return Joined(make, 400_000)
+    A special string is a stretch of its own, with an odd number.
+    """
+    return [(t, n) if n % 2 else (t[k : k + chars], n) for n, t in enumerate(code.split_special(text)) for k in range(0, len(t), len(t) if n % 2 else chars)]
 
 
 def _lists(flat: list[bytes]) -> pa.ListArray:
@@ -175,39 +185,39 @@ def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     kind = rows.schema["id"].dataType.simpleString()
 
     def short(batches):
-        ids_of = _units(tokenizer, leaf_chars)
+        ids_of = tree_of(tokenizer, leaf_chars).encode
         for batch in batches:
-            for part in (batch.slice(k, ROWS) for k in range(0, batch.num_rows, ROWS)):
+            for part in parts(batch):
                 yield pa.RecordBatch.from_arrays([part.column(0), _lists([ids_of(t) for t in part.column(1).to_pylist()])], names=["id", "ids"])
 
     def spread():
-        special = coder(tokenizer).special
+        code = coder(tokenizer)
 
         def step(rows):
             for key, text in zip(rows["key"], rows["text"], strict=True):
-                parts = leaves(text, special, max(leaf_chars, spread_chars // 8))
-                yield {"key": [key] * len(parts), "at": list(range(len(parts))), "leaf": [p[0] for p in parts], "glued": [p[1] for p in parts]}
+                cut = leaves(text, code, max(leaf_chars, spread_chars // 8))
+                yield {"key": [key] * len(cut), "at": list(range(len(cut))), "leaf": [p[0] for p in cut], "stretch": [p[1] for p in cut]}
 
         return step
 
     def leaf_ids():
-        ids_of = _units(tokenizer, leaf_chars)
+        ids_of = tree_of(tokenizer, leaf_chars).encode
 
         def step(rows):
-            yield rows | {"ids": [ids_of(t) for t in rows["leaf"]]}
+            yield {"key": rows["key"], "at": rows["at"], "stretch": rows["stretch"], "ids": [ids_of(t) for t in rows["leaf"]]}
 
         return step
 
     def meet(part: pa.Table) -> pa.Table:
-        code = coder(tokenizer)
-        got = sorted(part.to_pylist(), key=lambda r: r["at"])
-        ids = joined(Tree(code, leaf_chars), [(r["leaf"] if r["glued"] or n + 1 < len(got) and got[n + 1]["glued"] else "", r["glued"], np.frombuffer(r["ids"], "<u4").tolist()) for n, r in enumerate(got)])
-        return pa.table({"key": pa.array([got[0]["key"]]), "ids": pa.array([ids], pa.list_(pa.int32()))})
+        tree = tree_of(tokenizer, leaf_chars)
+        got = sorted(zip(*(part[c].to_pylist() for c in ("at", "stretch", "ids")), strict=True))
+        ids = b"".join(tree.together([x[2] for x in run]) for _, run in itertools.groupby(got, key=lambda x: x[1]))
+        return pa.table({"key": part["key"][:1], "ids": _lists([ids])})
 
     few = rows.where(F.char_length("text") <= spread_chars).mapInArrow(short, f"id {kind}, ids array<int>")
     long = rows.where(F.char_length("text") > spread_chars).withColumn("key", F.sha2("text", 256))
-    dealt = per_batch(long.select("key", "text").distinct(), spread, "key string, at int, leaf string, glued boolean").repartition("key", "at")
-    whole = per_batch(dealt, leaf_ids, "key string, at int, leaf string, glued boolean, ids binary").groupBy("key").applyInArrow(meet, "key string, ids array<int>")
+    dealt = per_batch(long.select("key", "text").distinct(), spread, "key string, at int, leaf string, stretch int").repartition("key", "at")
+    whole = per_batch(dealt, leaf_ids, "key string, at int, stretch int, ids binary").groupBy("key").applyInArrow(meet, "key string, ids array<int>")
     return few.unionByName(long.select("id", "key").join(whole, "key").select("id", "ids")).withColumnRenamed("id", id_col)
 
 
@@ -222,7 +232,7 @@ def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str = "
         token = coder(tokenizer).bytes_of
         get = [token.get(i, b"") for i in range(max(token) + 1)].__getitem__
         for batch in batches:
-            for part in (batch.slice(k, ROWS) for k in range(0, batch.num_rows, ROWS)):
+            for part in parts(batch):
                 lists = part.column(at)
                 ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
                 texts = [b"".join(map(get, flat[a:b].tolist())).decode("utf-8", "replace") if ok else None for a, b, ok in zip(ends, ends[1:], lists.is_valid().to_pylist())]  # noqa: B905

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from sys import getsizeof
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A new folder name below the folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in tests, a temporary folder is made and set.
+    Where the session names none, a temporary folder is made if all run on this machine, as in tests; on a
+    cluster that is refused, as it would lose what other machines need.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="loomstead-")
-        spark.sparkContext.setCheckpointDir(base)
+        context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
@@ -68,7 +76,7 @@ def per_batch(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], Iter
         step = make()
         pack = lambda out: pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
         for batch in batches:
-            for rows in (batch.slice(k, ROWS) for k in range(0, batch.num_rows, ROWS)):
+            for rows in parts(batch):
                 for out in step({n: c.to_pylist() for n, c in zip(rows.schema.names, rows.columns, strict=True)}):
                     yield pack(out)
         for out in step.finish() if hasattr(step, "finish") else ():
@@ -77,23 +85,54 @@ def per_batch(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], Iter
     return df.mapInArrow(run, schema)
 
 
-#: Rows of an Arrow batch that are Python objects at a time.
-ROWS = 1000
+#: Rows of an Arrow batch that are Python objects at a time, and bytes of their texts and lists.
+ROWS, BYTES = 1000, 4 << 20
+
+
+def parts(batch: pa.RecordBatch, rows: int = ROWS, most_bytes: int = BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most ``rows`` rows and ``most_bytes`` of variable data, or one row where that has more."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+            sizes += pc.binary_length(c).fill_null(0).to_numpy(zero_copy_only=False)
+        elif pa.types.is_list(c.type):
+            sizes += 8 * pc.list_value_length(c).fill_null(0).to_numpy(zero_copy_only=False)
+    begin, held = 0, 0
+    for k, size in enumerate(sizes.tolist()):
+        if k > begin and (held + size > most_bytes or k - begin >= rows):
+            yield batch.slice(begin, k - begin)
+            begin, held = k, 0
+        held += size
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
 
 
 class TwoGenerations(dict):
-    """A dict bounded by dropping its older half: entries that are used again move to the newer one."""
+    """A cache of at most ``most_bytes``: its older half is dropped; entries that are used again move to the newer one.
+
+    Keys of more than ``longest`` code points are made anew each time. What an entry holds is taken as its key,
+    its value (with ``each`` bytes for every member of a list or tuple) and ``ENTRY`` bytes of the tables.
+    """
+
+    ENTRY = 130
 
-    def __init__(self, make: Callable[[str], object], most: int = 400_000):
+    def __init__(self, make: Callable[[str], object], most_bytes: int, longest: int = 64, each: int = 60):
         super().__init__()
-        self.make, self.most, self.old = make, most // 2, {}
+        self.make, self.most, self.longest, self.each = make, most_bytes // 2, longest, each
+        self.old, self.held = {}, 0
 
     def __missing__(self, key: str) -> object:
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
+            if len(key) > self.longest:
+                return value
+        size = self.ENTRY + getsizeof(key) + getsizeof(value)
+        if value.__class__ in (list, tuple):
+            size += self.each * len(value)
+        if self.held + size > self.most:
+            self.old, self.held = dict(self), 0
             self.clear()
+        self.held += size
         self[key] = value
         return value

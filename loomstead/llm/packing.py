@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstead.llm.common import kept, per_batch, text_rows
-from loomstead.llm.units import TwoGenerations, coder, packed
+from loomstead.llm.units import UNIT_BYTES, TwoGenerations, coder, packed
 
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 #: Leftovers of so many partitions meet in one task of the second round.
@@ -142,7 +142,7 @@ class _Step:
 def _units(path: str) -> TwoGenerations:
     """Ids of units, kept for all tasks of a Python worker. The vocabulary drops white space: every space is a cut."""
     code = coder(path)
-    return TwoGenerations(lambda u: code.packed(u) if u else b"", 1_000_000)
+    return TwoGenerations(lambda u: code.packed(u) if u else b"", UNIT_BYTES)
 
 
 class _Texts(_Step):
@@ -176,6 +176,8 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     first = kept(per_batch(rows, lambda: _Texts(tokenizer, end_id, size=size, open_windows=open_windows, base=0, last=False), schema), "packed")
     loose = first.where("ids is not null")
     tasks = -(-loose.select("source").distinct().count() // MERGED) or 1
-    merged = per_batch(loose.repartition(tasks, "source"), lambda: _Pieces(size=size, open_windows=open_windows, base=1 << 60, last=True), schema)
-    out = first.where("ids is null").unionByName(merged)
+    # In one order, and written: a task that runs again packs the same sequences.
+    dealt = loose.repartition(tasks, "source").sortWithinPartitions("source", "id", "start", "ids_crc32", "offset")
+    merged = per_batch(dealt, lambda: _Pieces(size=size, open_windows=open_windows, base=1 << 60, last=True), schema)
+    out = first.where("ids is null").unionByName(kept(merged, "merged"))
     return out.select(F.col("id").alias(id_col), *(c.split()[0] for c in PIECE.split(", ")))

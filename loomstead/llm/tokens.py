@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstead.llm.common import per_batch, text_rows
-from loomstead.llm.units import PLAIN, Joined, TwoGenerations, coder
+from loomstead.llm.units import PIECE_BYTES, PLAIN, Joined, TwoGenerations, coder
 
 
 class PrefixCounts:
@@ -41,12 +41,12 @@ class PrefixCounts:
         self.endings.make_automaton()
         #: Whether the second token may follow the first; bounded by being emptied.
         self.valid: dict[int, bool] = {}
-        self.piece = TwoGenerations(self._piece, 100_000)
+        self.piece = TwoGenerations(self._piece, PIECE_BYTES, each=32)
 
     def _valid(self, pair: int) -> bool:
         left, right = pair >> 20, pair & 0xFFFFF
         merged = self.coder.engine.encode_single_piece(self.coder.bytes_of[left] + self.coder.bytes_of[right])
-        if len(self.valid) >= 2_000_000:
+        if len(self.valid) >= 500_000:
             self.valid.clear()
         self.valid[pair] = answer = [self.coder.of_rank[r] for r in merged] == [left, right]
         return answer
@@ -105,13 +105,15 @@ class PrefixCounts:
 
     def counts(self, text: str) -> list[int]:
         """The number of tokens of ``text[:k]`` for k = 1, 2, ..."""
-        for special in self.coder.special:
-            head, found, tail = text.partition(special)
-            if found:
-                inside = self._plain(head + special[:-1])
-                whole = (self._plain(head)[-1] if head else 0) + 1
-                return [*inside, whole, *(whole + n for n in self.counts(tail))]
-        return self._plain(text)
+        out: list[int] = []
+        base = 0
+        parts = self.coder.split_special(text)
+        for head, special in zip(parts[::2], parts[1::2], strict=False):
+            # Until its last character a special string is plain text.
+            out += [base + n for n in self._plain(head + special[:-1])]
+            base += (self._plain(head)[-1] if head else 0) + 1
+            out.append(base)
+        return out + [base + n for n in self._plain(parts[-1])]
 
     def changes(self, text: str) -> bytes:
         single = text[1:].isalpha() and text[0] == " " and PLAIN.fullmatch(text)
@@ -121,7 +123,7 @@ class PrefixCounts:
 
 @functools.lru_cache(maxsize=2)
 def _changes(path: str) -> Joined:
-    return Joined(PrefixCounts(path).changes, 800_000)
+    return Joined(PrefixCounts(path).changes)
 
 
 def prefix_counts(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -36,6 +36,7 @@ from loomstead.llm.common import TwoGenerations, col_of, per_batch, text_rows
 
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS, ENDING, MARGIN = (4, 5, 6), 4, 0.5
+CACHE_BYTES = 120 << 20
 FOUND = "score double, spans array<struct<start:int,end:int>>"
 
 
@@ -273,7 +274,7 @@ def tag(df: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "te
                     hits.append((n - 1, s, m.start(), m.end()))
             return (n, hits) if hits else n
 
-        cache = TwoGenerations(value, 600_000)
+        cache = TwoGenerations(value, CACHE_BYTES, each=300)
 
         def one(text: str):
             units = text.split(" ")

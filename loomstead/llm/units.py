@@ -21,6 +21,8 @@ PLAIN = re.compile("[\t\n\x20-\x7e\xa1-\u012f\u0131-\u024f]*")
 BIG = sys.byteorder == "big"
 POINTS = frozenset(".,;:!?")
 GAP = re.compile(r"\s ")
+#: Bounds of caches in bytes, each for one Python worker: pieces, and units of a whole.
+PIECE_BYTES, UNIT_BYTES = 40 << 20, 120 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -73,7 +75,12 @@ class Coder:
         rest = r"|[^\s\p{L}\p{N}]+" if mark else r"| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|" + words + rest)
         self.engine = tiktoken.Encoding("ranks", pat_str=r"\S+", mergeable_ranks=order, special_tokens={})._core_bpe
-        self.piece = TwoGenerations(self._piece, 300_000)
+        self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        self.piece = TwoGenerations(self._piece, PIECE_BYTES)
+
+    def split_special(self, text: str) -> list[str]:
+        """A text cut at its special strings, the leftmost and of these the longest first: text, special, text, ..."""
+        return self.specials.split(text) if self.special else [text]
 
     def pieces(self, text: str) -> list[str]:
         """What the pre-tokenizer makes of plain text without special strings."""
@@ -98,8 +105,11 @@ class Coder:
         """The ids that the library gives for ``unit`` alone."""
         return unpacked(self.packed(unit))
 
+    def packed_text(self, text: str) -> bytes:
+        return b"".join([self.packed(u) for u in units(text)])
+
     def encode_text(self, text: str) -> list[int]:
-        return [i for u in units(text) for i in self.encode(u)]
+        return unpacked(self.packed_text(text))
 
     def __reduce__(self):
         raise TypeError("a coder stays in its worker; send the path")
@@ -131,11 +141,11 @@ def unpacked(raw: bytes) -> list[int]:
 
 
 class Joined:
-    """What ``make`` gives for each unit of a text as bytes, joined; units come from bounded caches."""
+    """What ``make`` gives for each unit of a text as bytes, joined; units come from caches of bounded bytes."""
 
-    def __init__(self, make, most: int = 300_000):
-        self.whole = TwoGenerations(make, most // 4)
-        self.after = TwoGenerations(lambda u: None if not u or u[-1].isspace() else make(" " + u), most)
+    def __init__(self, make, most_bytes: int = UNIT_BYTES):
+        self.whole = TwoGenerations(make, most_bytes // 4)
+        self.after = TwoGenerations(lambda u: None if not u or u[-1].isspace() else make(" " + u), most_bytes // 4 * 3)
 
     def __call__(self, text: str) -> bytes:
         first, *rest = text.split(" ")

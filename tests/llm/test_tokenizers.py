@@ -1,6 +1,7 @@
 """Packing, token counts and BPE against the tokenizers library."""
 
 import hashlib
+import itertools
 import random
 import zlib
 from collections import defaultdict
@@ -60,16 +61,74 @@ def test_prefix_table_answers_questions(spark, docs):
     assert tokens.prefix_counts(docs.limit(0), BYTES).count() == 0
 
 
+def test_many_special_strings():
+    counts, library, tree = tokens.PrefixCounts(BYTES), Tokenizer.from_file(BYTES), bpe.tree_of(BYTES, 64)
+    text = "<|endoftext|>" * 100_000 + "x"
+    assert counts.counts(text)[-1] == 100_001
+    for t in ("<|endoftext|>" * 300, "a <|endoftext|><|endof<|endoftext|> text|>" * 50):
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert unpacked(tree.encode(t)) == ids and counts.counts(t)[-1] == len(ids)
+    assert len(tree.encode(text)) == 4 * 100_001
+
+
 def test_tree_concatenation_joins_exactly():
     code, library = coder(BYTES), Tokenizer.from_file(BYTES)
     for n, t in enumerate(texts(3, 300, 300)):
         for leaf in (8, 40):
-            parts = bpe.leaves(t, code.special, leaf)
-            assert "".join(p[0] for p in parts) == t
-            got = bpe.joined(bpe.Tree(code, leaf, 4), [(x, g, code.encode(x)) for x, g in parts])
-            assert got == library.encode(t, add_special_tokens=False).ids, (n, leaf)
-    long = "abcdefgh" * 700
-    assert bpe.Tree(code, 16, 4).encode(long) == library.encode(long).ids
+            tree = bpe.Tree(code, code.packed_text, leaf, 4)
+            ids = library.encode(t, add_special_tokens=False).ids
+            assert unpacked(tree.encode(t)) == ids, (n, leaf)
+            cut = bpe.leaves(t, code, leaf)
+            assert "".join(p[0] for p in cut) == t
+            runs = itertools.groupby(((code.packed_text(x), s) for x, s in cut), key=lambda x: x[1])
+            assert unpacked(b"".join(tree.together([x[0] for x in run]) for _, run in runs)) == ids, (n, leaf)
+    for long in ("abcdefgh" * 700, "漢字かな" * 900, "=" * 5000, " " * 3000, "it's" * 999, "12345" * 700):
+        assert unpacked(bpe.tree_of(BYTES, 16).encode(long)) == library.encode(long).ids
+
+
+def test_given_texts_are_joined_from_halves(spark):
+    """On the given table, too, longer texts come from joins; none is encoded as a whole."""
+    library, tree = Tokenizer.from_file(BYTES), bpe.tree_of(BYTES, bpe.LEAF_CHARS)
+    rows = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for t in rows:
+        before = tree.joins
+        assert unpacked(tree.encode(t)) == library.encode(t, add_special_tokens=False).ids
+        assert tree.joins - before == max(0, -(-len(t) // bpe.LEAF_CHARS) - 1)
+
+
+def test_caches_are_bounded_by_bytes():
+    import tracemalloc
+
+    from loomstead.llm.common import TwoGenerations
+
+    r = random.Random(9)
+    made = []
+    cache = TwoGenerations(lambda u: made.append(u) or packed(map(ord, u)), 4 << 20)
+    tracemalloc.start()
+    for k in range(30_000):
+        cache["".join(chr(0x4E00 + r.randrange(5000)) for _ in range(r.randint(1, 64))) + str(k)]
+    assert tracemalloc.get_traced_memory()[0] < 12 << 20  # ``made`` keeps the keys alive: about 6 MB of it
+    tracemalloc.stop()
+    assert cache["a" * 65] == packed(map(ord, "a" * 65)) and "a" * 65 not in cache
+    tree = bpe.tree_of(BYTES, bpe.LEAF_CHARS)
+    library = Tokenizer.from_file(BYTES)
+    before = sum(len(c) + len(c.old) for c in (tree.leaf.whole, tree.leaf.after, tree.code.piece))
+    for k in range(50):
+        t = "".join(chr(0x4E00 + r.randrange(5000)) for _ in range(3000))
+        assert unpacked(tree.encode(t)) == library.encode(t).ids
+    held = sum(len(c) + len(c.old) for c in (tree.leaf.whole, tree.leaf.after, tree.code.piece)) - before
+    assert held <= 50 * 3 * 3  # only short windows around joins are kept
+
+
+def test_batches_are_cut_by_bytes():
+    import pyarrow as pa
+
+    from loomstead.llm.common import parts
+
+    texts_ = ["x" * n for n in (5, 100, 0, 50, 60, 3, 3, 3)] + [None]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(9)), "t": pa.array(texts_), "l": pa.array([[1]] * 8 + [None])})
+    got = [p.column(0).to_pylist() for p in parts(batch.slice(1), rows=3, most_bytes=120)]
+    assert got == [[1, 2], [3], [4, 5, 6], [7, 8]] and not list(parts(batch.slice(0, 0)))
 
 
 @pytest.mark.parametrize("spread", [20, 65_536])

@@ -1,21 +1,28 @@
-"""Quality rules whose cutoffs are certified on labelled holdouts, by exact binomial bounds for each stratum.
-
-A base verdict comes first (too few words, or too many in repeated windows). Beyond it each rule rejects
-documents whose metric reaches a cutoff. For each stratum and rule, cutoffs are tested from the mildest on a
-fixed grid: one is certified while the exact (Clopper-Pearson) upper bound of the rate at which it rejects
-documents labelled good stays within the rule's share of ``risk``, at a confidence split over all strata and
-rules (Bonferroni); testing stops at the first failure, so a rule's grid needs no further correction, and all
-certified cutoffs hold at once. Of them the one is used that rejects most of the documents labelled bad, less
-``COST`` times the share of good ones; where none gains, the rule rejects nothing in that stratum. With
-probability 1 - ``error``, then, no stratum loses more than ``risk`` of its good documents to the rules.
-
-The rates use all labelled rows that pass the base verdict, counted in Spark; only counts by stratum, rule and
-grid step come to the driver, for the ``most_strata`` strata with most labelled rows (the rest, and
-null, is one stratum more).
-
-Null and empty texts have no words and fail the base verdict; every row has its own result; a document with
-several labels counts once for each; ids missing from the labels are judged like others; an empty label
-table certifies nothing, so that all that pass the base verdict are kept. Memory: one text a task.
+"""Quality of documents: one score whose cutoffs are certified on labelled holdouts, by exact binomial bounds.
+
+A base verdict comes first (too few words, or too many in repeated windows). Beyond it each document has one
+score: a logistic function of shares counted in its text (symbols, marks, capitals, repeated lines and words,
+length of words), fitted on a part of the labelled documents, drawn by a hash of the id and bounded by
+``most_fit`` rows, the only rows that come to the driver.
+
+The other labelled documents certify. In each stratum cutoffs are tested from the mildest on a fixed grid: one
+is certified while the exact (Clopper-Pearson) upper bound of the rate at which it rejects documents labelled
+good stays within ``risk``, at confidence 1 - ``error`` / strata (Bonferroni); testing stops at the first
+failure, so the grid needs no further correction, and all certified cutoffs of all strata hold at once: with
+probability 1 - ``error`` no stratum loses more than ``risk`` of its good documents. About 90 good labels that
+stay certify a cutoff where there are four strata.
+
+Of a stratum's certified cutoffs the one is used that gains most over all strata's labels: the share of bad
+documents rejected less ``cost`` times the share of good ones. ``cost`` is a preference, not part of the
+guarantee: a lost good document weighs as ten kept bad ones do. Where none gains, nothing is rejected.
+
+Certifying counts are made in Spark over all labelled rows, and only counts by stratum and grid step come to
+the driver, for the ``most_strata`` strata with most labelled rows (the rest, and null, is one stratum more).
+
+Null and empty texts have no words and fail the base verdict; every row has its own result, repeated and null
+ids too; a document with several labels counts once for each; ids missing from the labels are judged like
+others; an empty label table certifies nothing, so that all that pass the base verdict are kept; other columns
+pass through ``keep_good`` as they are. Memory: one text a task.
 """
 
 from __future__ import annotations
@@ -26,21 +33,23 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstead.llm.common import col_of, kept, per_batch
+from loomstead.llm.common import beside, col_of, kept
 
-#: What rejecting a share of good documents costs against rejecting the same share of bad ones.
-COST = 10
 SYMBOLS, SPACE = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_marks long"
-#: Rule, metric as SQL over the counts, grid of cutoffs from mild to strict; a document is rejected from the cutoff on.
-RULES = [
-    ("symbols", "n_symbols / greatest(word_chars, 1)", [k / 200 for k in range(100, 4, -1)]),
-    ("duplicate_lines", "n_dup_lines / greatest(n_lines, 1)", [k / 100 for k in range(100, 9, -1)]),
-    ("repeated_words", "n_repeat_words / greatest(n_words, 1)", [k / 200 for k in range(40, 3, -1)]),
-    ("upper_case", "n_upper / greatest(word_chars, 1)", [k / 100 for k in range(100, 19, -1)]),
-    ("marks", "n_marks / greatest(word_chars, 1)", [k / 200 for k in range(100, 9, -1)]),
-    ("long_words", "word_chars / greatest(n_words, 1)", [k / 2 for k in range(120, 19, -1)]),
-]
+#: What the score is made of, as SQL over the counts; all lie between 0 and 1.
+PARTS = {
+    "symbols": "least(1, 4 * n_symbols / greatest(word_chars, 1))",
+    "any_symbols": "least(1, 40 * n_symbols / greatest(word_chars, 1))",
+    "marks": "least(1, 4 * n_marks / greatest(word_chars, 1))",
+    "any_marks": "least(1, 20 * n_marks / greatest(word_chars, 1))",
+    "upper_case": "least(1, 2 * n_upper / greatest(word_chars, 1))",
+    "duplicate_lines": "n_dup_lines / greatest(n_lines, 1)",
+    "repeated_words": "least(1, 5 * n_repeat_words / greatest(n_words, 1))",
+    "long_words": "least(1, word_chars / greatest(n_words, 1) / 40)",
+}
+#: Cutoffs of the score from mild to strict; a document is rejected from the cutoff on.
+GRID = [k / 200 for k in range(199, 9, -1)]
 
 
 def repeated_words(words: list[bytes], size: int = 5) -> int:
@@ -79,20 +88,20 @@ def counted(text: str) -> tuple[int, ...]:
     return len(words), len(text) - (len(raw) - len(bare)), len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words), len(lines), upper, len(bare) - len(plain)
 
 
-def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """id, stratum and the counts of every row."""
+def _counter():
+    names = [c.split()[0] for c in COUNTS.split(", ")]
 
-    def make():
-        names = [c.split()[0] for c in COUNTS.split(", ")]
+    def step(rows):
+        got = list(zip(*(counted(t or "") for t in rows["text"]), strict=True)) or [()] * len(names)
+        return dict(zip(names, map(list, got), strict=True))
 
-        def step(rows):
-            got = list(zip(*map(counted, rows["text"]), strict=True)) or [()] * len(names)
-            yield {"id": rows["id"], "stratum": rows["stratum"], **dict(zip(names, map(list, got), strict=True))}
+    return step
 
-        return step
 
-    rows = df.select(col_of(df, id_col).alias("id"), col_of(df, stratum_col).cast("string").alias("stratum"), F.coalesce(col_of(df, text_col), F.lit("")).alias("text"))
-    return per_batch(rows, make, f"id {rows.schema['id'].dataType.simpleString()}, stratum string, {COUNTS}")
+def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+    """id, stratum and the counts of every row."""
+    rows = df.select(col_of(df, id_col).alias("id"), col_of(df, stratum_col).cast("string").alias("stratum"), col_of(df, text_col).alias("text"))
+    return beside(rows, {"text": "text"}, _counter, COUNTS).drop("text")
 
 
 def base_failed() -> Column:
@@ -129,47 +138,76 @@ def upper_bound(k: int, n: int, error: float) -> float:
     return high
 
 
-def certified(counts: dict[tuple[str, str], tuple[int, list[int], int, list[int]]], risk: float, error: float) -> dict[tuple[str, str], float]:
-    """Cutoffs by (stratum, rule) from good rows, how many of them each grid step rejects, and the same of bad rows."""
-    share, grids = error / max(1, len(counts)), {r[0]: r[2] for r in RULES}
-    out = {}
-    for (stratum, rule), (good, good_out, bad, bad_out) in counts.items():
-        most = 0.0
-        for cutoff, g, b in zip(grids[rule], good_out, bad_out, strict=True):
-            if upper_bound(g, good, share) > risk / len(RULES):
-                break
-            gain = b / max(1, bad) - COST * g / max(1, good)
-            if gain > most:
-                most, out[stratum, rule] = gain, cutoff
-    return out
+def certified(good: int, good_out: list[int], risk: float, error: float) -> int:
+    """How many steps of the grid are certified, from how many good rows there are and how many each step rejects."""
+    n = 0
+    while n < len(good_out) and upper_bound(good_out[n], good, error) <= risk:
+        n += 1
+    return n
+
+
+def fitted(rows: list[tuple[bool, list[float]]], ridge: float = 1.0, rounds: int = 30) -> list[float]:
+    """Weights (the constant first) of a logistic regression of "bad" on the parts, both classes weighted alike."""
+    bad = np.array([not good for good, _ in rows], float)
+    if len(set(bad.tolist())) < 2:
+        return [-20.0, *[0.0] * len(PARTS)]
+    x = np.array([[1.0, *parts] for _, parts in rows])
+    weight = np.where(bad == 1, 0.5 / bad.sum(), 0.5 / (1 - bad).sum()) * len(bad)
+    w, shrink = np.zeros(x.shape[1]), np.diag([1e-6, *[ridge] * len(PARTS)])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + shrink, x.T @ (weight * (p - bad)) + shrink @ w)
+        w = w - step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w.tolist()
 
 
-def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", risk: float = 0.05, error: float = 0.05, most_strata: int = 64) -> DataFrame:
-    """id, the counts, base_failed and kept for every row; ``labels`` has the id and quality (1: good, 0: bad)."""
-    rows = kept(measures(df, id_col, text_col, stratum_col), "measures").withColumn("base_failed", base_failed())
+def score(weights: list[float]) -> Column:
+    """The score of counts, 0 to 1, rounded so that equal counts compare equal anywhere."""
+    total = F.lit(weights[0])
+    for w, part in zip(weights[1:], PARTS.values(), strict=True):
+        total = total + F.lit(w) * F.expr(part)
+    return F.round(1 / (1 + F.exp(-total)), 9)
+
+
+def verdicts(rows: DataFrame, labels: DataFrame, id_col: str, risk: float, error: float, cost: float, most_strata: int, most_fit: int) -> Column:
+    """Whether a row of counts (id, stratum, base_failed) is kept, learned from those of ``rows`` that are labelled."""
     known = labels.where("quality in (0, 1)").select(col_of(labels, id_col).alias("id"), (F.col("quality") == 1).alias("good"))
-    held = rows.where(~F.col("base_failed")).join(known, "id")
+    held = kept(rows.where(~F.col("base_failed")).select("id", "stratum", *(c.split()[0] for c in COUNTS.split(", "))).join(known, "id"), "labelled")
+    order = F.xxhash64(F.col("id").cast("string"))
+    to_fit = F.pmod(order, F.lit(4)) == 0
+    fit = held.where(to_fit).select("good", F.array(*(F.expr(p).cast("double") for p in PARTS.values())).alias("parts"), order.alias("order")).orderBy("order", "good", "parts").limit(most_fit)
+    scored = held.withColumn("score", score(weights := fitted([(r["good"], r["parts"]) for r in fit.collect()])))
     large = [r[0] for r in held.where("stratum is not null").groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(most_strata).collect()]
     named = F.when(F.col("stratum").isin(large), F.concat(F.lit("="), "stratum")).otherwise(F.lit("other")) if large else F.lit("other")
-    steps = [F.count_if(F.expr(f"{metric} >= {cut!r}D")).alias(f"{rule}_{k}") for rule, metric, grid in RULES for k, cut in enumerate(grid)]
-    got = {(r["s"], r["good"]): r for r in held.groupBy(named.alias("s"), "good").agg(F.count("*").alias("n"), F.array(*steps).alias("k")).collect()}
-    counts, at = {}, 0
-    for rule, _, grid in RULES:
-        for s in {s for s, _ in got}:
-            of = [(got[s, g]["n"], got[s, g]["k"][at : at + len(grid)]) if (s, g) in got else (0, [0] * len(grid)) for g in (True, False)]
-            counts[s, rule] = (*of[0], *of[1])
-        at += len(grid)
-    cuts = certified(counts, risk, error)
+    steps = [F.count_if(F.col("score") >= cut) for cut in GRID]
+    counts = scored.groupBy(named.alias("s"), "good", to_fit.alias("fit")).agg(F.count("*").alias("n"), F.array(*steps).alias("out")).collect()
+    gain = np.zeros(len(GRID))
+    for good, sign in ((True, -cost), (False, 1.0)):
+        of = [r for r in counts if r["good"] == good]
+        gain += sign * np.sum([r["out"] for r in of], axis=0, initial=0) / max(1, sum(r["n"] for r in of)) if of else 0
+    strata = {r["s"] for r in counts}
     bad = F.lit(False)
-    for (stratum, rule), cut in cuts.items():
-        metric = next(m for r, m, _ in RULES if r == rule)
-        bad = bad | ((named == stratum) & F.expr(f"{metric} >= {cut!r}D"))
-    verdict = F.when(F.col("base_failed"), False).otherwise(~bad)
-    return rows.withColumn("kept", verdict).withColumnRenamed("id", id_col)
-
-
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **k) -> DataFrame:
-    """``docs`` without the rows whose id is rejected; rows with a null id are rejected if their text fails alone."""
-    verdicts = judge(docs, labels, id_col, **k)
-    out = verdicts.where("not kept").select(F.col(id_col).alias("__out")).distinct()
-    return docs.join(out, docs[id_col].eqNullSafe(out["__out"]), "left_anti")
+    for r in counts:
+        if r["good"] and not r["fit"]:
+            n = certified(r["n"], r["out"], risk, error / len(strata))
+            if n and gain[:n].max() > 0:
+                bad = bad | ((named == r["s"]) & (score(weights) >= GRID[int(gain[:n].argmax())]))
+    return F.when(F.col("base_failed"), False).otherwise(~bad)
+
+
+def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", risk: float = 0.05, error: float = 0.05, cost: float = 10.0, most_strata: int = 64, most_fit: int = 20_000) -> DataFrame:
+    """id, the counts, base_failed and kept for every row; ``labels`` has the id and quality (1: good, 0: bad)."""
+    rows = kept(measures(df, id_col, text_col, stratum_col), "measures").withColumn("base_failed", base_failed())
+    return rows.withColumn("kept", verdicts(rows, labels, id_col, risk, error, cost, most_strata, most_fit)).withColumnRenamed("id", id_col)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", risk: float = 0.05, error: float = 0.05, cost: float = 10.0, most_strata: int = 64, most_fit: int = 20_000) -> DataFrame:
+    """``docs`` without the rows that are rejected, each by its own text; columns stay as they are."""
+    plain = [f"c{k}" for k in range(len(docs.columns))]  # names that clash with none of the counts
+    of = {c: col_of(docs, c) for c in docs.columns}
+    rows = docs.select(*(of[c].alias(n) for c, n in zip(docs.columns, plain, strict=True)), of[id_col].alias("id"), of[stratum_col].cast("string").alias("stratum"))
+    rows = kept(beside(rows, {"text": plain[docs.columns.index(text_col)]}, _counter, COUNTS), "measured").withColumn("base_failed", base_failed())
+    good = rows.where(verdicts(rows, labels, id_col, risk, error, cost, most_strata, most_fit))
+    return good.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, plain, strict=True)))

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -74,9 +75,10 @@ def test_offsets_of_offending_tokens(spark):
 def brute_counts(text: str) -> tuple:
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
-    in_repeat = {k + j for k, w in enumerate(windows) if windows.count(w) > 1 for j in range(5)}
+    times = Counter(windows)
+    in_repeat = {k + j for k, w in enumerate(windows) if times[w] > 1 for j in range(5)}
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-    dup = sum(x in lines[:k] for k, x in enumerate(lines))
+    dup = len(lines) - len(set(lines))
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(in_repeat)
 
 
@@ -115,14 +117,67 @@ def test_thresholds_hold_the_risk(spark):
     assert not left & {k for k, _ in bad} and len(left) >= 1400
 
 
-def test_quality_query_counts(spark):
-    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
-    for r in queries.op6_quality(spark, "/root/testdata/sf0.001").collect():
-        words = docs[r["doc_id"]].encode().split()
-        if len(words) < 1500:
-            want = brute_counts(docs[r["doc_id"]])
-            assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
-            assert r["base_failed"] == (want[0] < 10 or 100 * want[4] > 20 * want[0])
+def test_quality_decides_rows(spark):
+    """Verdicts are of rows: rows with one id, or none, have their own; columns may have any name."""
+    rows = [(None, "one two three four five six seven eight nine ten"), (None, "bad"), (7, "bad"), (7, "one two three four five six seven eight nine ten")]
+    docs = docs_of(spark, rows).withColumnRenamed("fp", "n_words").withColumnRenamed("spans", "a.b")
+    got = quality.keep_good(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, len(r["text"].split())) for r in got.collect()) == [(0, 10), (7, 10)]
+
+
+def naive_verdicts(docs: dict, labels: list) -> dict:
+    """doc_id -> kept, in plain Python: docs by id (text, lang), labels (doc_id, quality)."""
+    import xxhash
+
+    h = lambda k: xxhash.xxh64_intdigest(str(k).encode(), 42)
+    counts, scores = {}, {}
+    for k, (text, _) in docs.items():
+        words, chars, symbols, dup, repeat = brute_counts(text)
+        lines = len([x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)])
+        upper, marks = sum(c.isupper() for c in text), sum(c in "!?;:=~^@{}[]()\\/_-+\"'`" for c in text)
+        over = lambda a, b: a / max(1, b)
+        parts = [4 * over(symbols, chars), 40 * over(symbols, chars), 4 * over(marks, chars), 20 * over(marks, chars), 2 * over(upper, chars), over(dup, lines), 5 * over(repeat, words), over(chars, words) / 40]
+        counts[k] = words < 10 or 100 * repeat > 20 * words, [min(1.0, x) for x in parts]
+    held = [(k, q) for k, q in labels if k in docs and not counts[k][0]]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    fit = [(k, q) for k, q in held if signed(h(k)) % 4 == 0]
+    weights = quality.fitted([(bool(q), counts[k][1]) for k, q in sorted(fit, key=lambda x: signed(h(x[0])))])
+    for k, (_, parts) in counts.items():
+        scores[k] = round(1 / (1 + math.exp(-sum(w * x for w, x in zip(weights, [1.0, *parts], strict=True)))), 9)
+    share = lambda of, cut: sum(scores[k] >= cut for k in of) / max(1, len(of))
+    gain = [share([k for k, q in held if not q], c) - 10 * share([k for k, q in held if q], c) for c in quality.GRID]
+    cuts = {}
+    strata = {docs[k][1] for k, _ in held}
+    for s in strata:
+        good = [k for k, q in held if q and docs[k][1] == s and signed(h(k)) % 4]
+        n = 0
+        for cut in quality.GRID:
+            out = sum(scores[k] >= cut for k in good)
+            tail = sum(math.comb(len(good), j) * 0.05**j * 0.95 ** (len(good) - j) for j in range(out + 1))
+            if tail > 0.05 / len(strata):
+                break
+            n += 1
+        if n and max(gain[:n]) > 0:
+            cuts[s] = quality.GRID[gain.index(max(gain[:n]))]
+    return {k: not failed and not scores[k] >= cuts.get(docs[k][1], 2) for k, (failed, _) in counts.items()}
+
+
+def test_quality_query_against_brute_force(spark):
+    d = "/root/testdata/sf0.1"
+    docs = {r["doc_id"]: (r["text"] or "", r["lang"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    labels = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{d}/labels.parquet").collect()]
+    want = naive_verdicts(docs, labels)
+    rows = queries.op6_quality(spark, d).collect()
+    for r in rows:
+        counts = brute_counts(docs[r["doc_id"]][0])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == counts
+        assert r["base_failed"] == (counts[0] < 10 or 100 * counts[4] > 20 * counts[0])
+    assert {r["doc_id"]: r["kept"] for r in rows} == want
+    failed = {r["doc_id"] for r in rows if r["base_failed"]}
+    for lang in ("en", "de", "es", "fr"):
+        good, bad = ([k for k, q in labels if q == y and docs[k][1] == lang and k not in failed] for y in (1, 0))
+        assert sum(not want[k] for k in bad) > 0.8 * len(bad) and sum(not want[k] for k in good) <= 0.05 * len(good), lang
 
 
 # Near-duplicates

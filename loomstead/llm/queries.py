@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstead.llm import bpe, html, media, packing, quality, secrets, simhash, tokens, toxicity, warc
-from loomstead.llm.common import col_of, table
+from loomstead.llm.common import table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,10 +72,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below one half."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    bad = toxicity.tag(docs, model).where("score >= 0.5").select(F.col("doc_id").alias("__out")).distinct()
-    return docs.join(bad, col_of(docs, "doc_id").eqNullSafe(bad["__out"]), "left_anti")
+    """Documents whose toxicity score is below one half; the field is trained on those labelled among ``docs``."""
+    return toxicity.keep_civil(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,27 +27,75 @@ def docs_of(spark, rows):
 
 
 def test_marginals_are_those_of_all_paths():
-    f = toxicity.Field({"=bad": 3.0}, -1.5, np.array([[0.4, -0.3], [-0.2, 0.7]]))
-    for words in (["bad"], ["a", "b", "bad"], ["bad", "a", "a", "a", "bad", "b"], ["a", "bad", "bad"]):
-        scores = [f.word(w) for w in words]
-        at = [k for k, s in enumerate(scores) if s > f.bias]
-        weights = {}
+    """Of the trained scores, evidence against included: by enumeration, with the background's scores in full."""
+    f = toxicity.Field({"=bad": 3.0, "=a": -1.2, "b*": 9.0, "bad*": 0.3}, -1.5, np.array([[0.4, -0.3], [-0.2, 0.7]]))
+    for words in (["bad"], ["a", "b", "bad"], ["bad", "a", "a", "c", "bad", "b"], ["a", "bad", "bad"], ["c", "c", "badly", "d", "a"]):
+        weight = [f.bias + sum(f.weights.get(x, 0.0) for x in toxicity.features(w)) for w in words]
+        paths = {}
         for path in itertools.product((0, 1), repeat=len(words)):
-            s = sum(scores[k] for k, y in enumerate(path) if y) + sum(f.transition[a, b] for a, b in itertools.pairwise(path))
-            weights[path] = math.exp(s)
-        total = sum(weights.values())
-        want = [sum(w for p, w in weights.items() if p[k]) / total for k in at]
-        assert np.allclose(f.marginals(len(words), at, [scores[k] for k in at]), want)
+            s = sum(weight[k] for k, y in enumerate(path) if y) + sum(f.transition[a, b] for a, b in itertools.pairwise(path))
+            paths[path] = math.exp(s)
+        at, got = f.read(words)
+        assert at == [k for k, w in enumerate(words) if w in ("bad", "badly", "a")]
+        assert np.allclose(got, [sum(w for p, w in paths.items() if p[k]) / sum(paths.values()) for k in at])
+
+
+def test_score_against_plain_forward_backward(spark):
+    """Scores of the query's operator are those of the field over every word, one step a word."""
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{D}/labels.parquet"))
+    step = np.exp(model.transition)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in toxicity.tag(docs, model).collect():
+        places = [(m.start(), m.end(), m[0].lower()) for m in toxicity.WORD.finditer(texts[r["doc_id"]])]
+        own = [model.word(w) for _, _, w in places]
+        emit = [np.array([1.0, math.exp(model.bias if s is None else s)]) for s in own]
+        ahead, back = [], [np.ones(2)]
+        for k, e in enumerate(emit):
+            v = e if not k else ahead[-1] @ step * e
+            ahead.append(v / v.sum())
+        for e in emit[:0:-1]:
+            v = step @ (e * back[-1])
+            back.append(v / v.sum())
+        post = [x * y for x, y in zip(ahead, back[::-1], strict=True)] if places else []
+        m = np.array([p[1] / p.sum() for p, s in zip(post, own, strict=True) if s is not None])
+        top, mass = (m.max(), m.sum()) if len(m) else (0.0, 0.0)
+        total = np.dot(model.document, [1.0, top, math.log1p(mass), math.log1p(100 * mass / (len(places) + 20))])
+        assert abs(r["score"] - 1 / (1 + math.exp(-total))) < 1e-6
+        found = [(a, b) for (a, b, _), p, s in zip(places, post, own, strict=True) if s is not None and p[1] / p.sum() >= 0.5]
+        assert [(s["start"], s["end"]) for s in r["spans"]] == found
 
 
 def test_held_out_accuracy(spark):
-    got = queries.op5_toxicity(spark, D).join(spark.read.parquet(f"{D}/labels.parquet"), "doc_id").collect()
+    """Recall on held-out rows by language where ten or more toxic documents are labelled; some are junk without a toxic word."""
+    d = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang")
+    got = queries.op5_toxicity(spark, d).join(docs, "doc_id").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
     held = [r for r in got if r["held_out"]]
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
-    toxic, clean = [r for r in held if r["toxic"]], [r for r in held if not r["toxic"]]
-    assert sum(r["predicted"] for r in toxic) >= 0.6 * len(toxic)
-    assert sum(r["predicted"] for r in clean) <= 0.02 * len(clean)
+    for lang in ("en", "de", "es", "fr"):
+        toxic, clean = ([r["predicted"] for r in held if r["lang"] == lang and r["toxic"] == y] for y in (1, 0))
+        assert sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.02 * len(clean), lang
+
+
+def test_sample_is_whole_for_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "c"), (None, "d"), (3, "e" * 50)], "id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 0), (9, 1)], "id long, toxic int")
+    got = sorted(zip(*toxicity.sample(docs, labels, 10, 40), strict=True))
+    assert got == [("a", 1), ("b", 1), ("c", 0)]
+    assert toxicity.sample(docs, labels.limit(0), 10, 40) == ([], [])
+
+
+def test_cues_of_one_group():
+    r = random.Random(11)
+    clean = [{"the", "of", r.choice(["bomb", "bone", "born"]), f"x{k}"} for k in range(60)]
+    toxic = [{"the", "of", "bomente" + r.choice("abcdef"), f"y{k}"} for k in range(20)]
+    found = toxicity.cues(clean + toxic, [0] * 60 + [1] * 20, 0.05, 8.0)
+    assert found == {"bomente*"}
+    assert toxicity.cues(clean, [0] * 60, 0.05, 8.0) == set()
+    groups = toxicity.clusters([{"le", "la", f"a{k}"} for k in range(9)] + [{"the", "of", f"b{k}"} for k in range(9)], groups=2)
+    assert len(set(groups[:9].tolist())) == len(set(groups[9:].tolist())) == 1 and groups[0] != groups[9]
 
 
 def test_offsets_of_offending_tokens(spark):
@@ -65,6 +113,9 @@ def test_offsets_of_offending_tokens(spark):
     assert [(s["start"], s["end"]) for s in by[5]["spans"]] == [(100_000, 100_009)]
     assert by[1]["score"] >= 0.5 > by[2]["score"] and by[3]["score"] == by[4]["score"] < 0.5 and by[None]["score"] >= 0.5
     assert toxicity.tag(new.limit(0), model).count() == 0 and len(got) == 7
+    named = new.withColumnRenamed("score", "a.b")
+    left = toxicity.keep_civil(named, model)
+    assert left.columns == named.columns and sorted(r["text"] or "" for r in left.collect()) == ["", "", "x y"]
     none = toxicity.train(docs_of(spark, rows), labels.limit(0))
     assert all(r["score"] < 1e-9 for r in toxicity.tag(new, none).collect())
 

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstead.llm.common import kept, per_batch, text_rows
+from loomstead.llm.common import col_of, kept, per_batch, text_rows
 
 UNIT = 576
 SIDE = 24
@@ -162,7 +162,7 @@ def media_tiles(df: DataFrame, media_col: str, id_col: str = "doc_id", side: int
 
         return step
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
+    rows = df.select(col_of(df, id_col).alias("id"), col_of(df, media_col).alias("media"))
     return per_batch(rows, make, f"id {rows.schema['id'].dataType.simpleString()}, height int, width int, tiles binary").withColumnRenamed("id", id_col)
 
 
@@ -204,7 +204,7 @@ def stored_features(stored: DataFrame, tiles_col: str = "tiles", id_col: str = "
 
         return step
 
-    rows = stored.select(F.col(id_col).alias("id"), *carry, F.col(tiles_col).alias("tiles"))
+    rows = stored.select(col_of(stored, id_col).alias("id"), *carry, col_of(stored, tiles_col).alias("tiles"))
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in carry)
     schema = f"id {rows.schema['id'].dataType.simpleString()}, {kinds}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return per_batch(rows, make, schema).withColumnRenamed("id", id_col)

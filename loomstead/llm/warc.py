@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstead.llm.common import per_batch, shared_dir
+from loomstead.llm.common import col_of, per_batch, shared_dir
 
 INDEX = "file string, offset long, length long, id string, url string, digest string, record_type string, refers_to string"
 #: Compression of records: fast.
@@ -84,13 +84,15 @@ def write_archive(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
 
     Of rows with equal payloads of at least ``least_bytes``, that with the largest id is the response.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload")).withColumn("digest", F.sha1("payload"))
-    large = F.length("payload") >= least_bytes
-    first = rows.where(large).groupBy("digest").agg(F.max("id").alias("first"))
+    payload = F.coalesce(col_of(df, payload_col).cast("binary"), F.lit(b""))
+    rows = df.select(col_of(df, id_col).alias("id"), col_of(df, url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("same", F.sha2("payload", 256)).withColumn("size", F.length("payload"))
+    large = F.col("size") >= least_bytes
+    # Payloads are equal if their length and both digests are: a known SHA-1 collision is not enough.
+    first = rows.where(large).groupBy("digest", "same", "size").agg(F.max("id").alias("first"))
     # Only the digests decide; the payloads move once, to the join that writes them.
-    out = rows.join(first, "digest", "left")
+    out = rows.join(first, ["digest", "same", "size"], "left")
     here = large & ~F.col("first").eqNullSafe(F.col("id"))
-    out = out.select(F.col("id").cast("string").alias("id"), "url", F.when(here, F.lit(b"")).otherwise(F.col("payload")).alias("payload"), F.length("payload").alias("size"), "digest", F.when(here, F.col("first").cast("string")).alias("refers_to"), here.alias("revisit"))
+    out = out.select(F.col("id").cast("string").alias("id"), "url", F.when(here, F.lit(b"")).otherwise(F.col("payload")).alias("payload"), "size", "digest", F.when(here, F.col("first").cast("string")).alias("refers_to"), here.alias("revisit"))
     data = f"{folder}/archive"
     files, path = opened(data)
     files.create_dir(path, recursive=True)

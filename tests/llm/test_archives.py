@@ -4,6 +4,7 @@ import base64
 import functools
 import gzip
 import hashlib
+import io
 import itertools
 import json
 import random
@@ -45,6 +46,12 @@ def test_archive_round_trip(spark, tmp_path):
     assert archive.count(b"WARC/1.1\r\nWARC-Type: ") == len(rows)
 
 
+def test_columns_of_any_name(spark, tmp_path):
+    pages = pages_of(spark, [(1, "http://a/1", "x")]).withColumnRenamed("html", "the.html").withColumnRenamed("page_id", "page id")
+    index = warc.write_archive(pages, tmp_path.as_uri(), "page id", "url", "the.html")
+    assert [r["payload_bytes"] for r in warc.read_records(index, tmp_path.as_uri()).collect()] == [1]
+
+
 def test_small_payloads_are_all_responses(spark, tmp_path):
     index = warc.write_archive(pages_of(spark, [(1, "a", "x"), (2, "b", "x")]), tmp_path.as_uri(), least_bytes=2)
     assert {r["record_type"] for r in index.collect()} == {"response"}
@@ -133,6 +140,26 @@ def test_text_media(spark):
     assert media.stored_features(media.text_tiles(df.limit(0))).count() == 0
 
 
+def test_media_query(spark):
+    """Every column of the query from the texts alone, the difference hash by means over exact areas."""
+    d = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    for r in queries.op3_media(spark, d).collect():
+        raw = texts[r["doc_id"]].encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        image = np.frombuffer(payload, np.uint8).reshape(-1, 24)
+        tiles = np.stack([image[k : k + 24] for k in range(0, len(image), 24)])
+        stored = io.BytesIO()
+        np.save(stored, tiles)
+        high = len(image)
+        rows = np.stack([sum((min(k + 1, (j + 1) * high / 8) - max(k, j * high / 8)) * image[k].astype(float) for k in range(high) if min(k + 1, (j + 1) * high / 8) > max(k, j * high / 8)) for j in range(8)]) / (high / 8)
+        small = np.stack([sum((min(k + 1, (j + 1) * 24 / 9) - max(k, j * 24 / 9)) * rows[:, k] for k in range(24) if min(k + 1, (j + 1) * 24 / 9) > max(k, j * 24 / 9)) for j in range(9)], 1) / (24 / 9)
+        small = small.round(6)
+        want = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored.getvalue()), hashlib.sha256(stored.getvalue()).hexdigest())
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == want
+        assert r["feature"] == np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
+
+
 ARTICLE = '<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";x(1)</script></head><body><header>Top</header><nav><ul><li><a href="/a">A</a></li><li><a href="/b">B</a></li></ul></nav><!-- c --><div class="ad">Buy</div><article><h1>Head &amp; line</h1><p><b>One.<br><p>Two\n  three &lt;x&gt;.</p><aside>See also</aside><form><p>Name</p></form><div class="comments"><p>First!</p></div></article><footer>&copy; x</footer>'
 
 

@@ -313,6 +313,8 @@ def test_near_duplicates_of_odd_rows(spark):
     assert got == sorted([(False, 5, 3), (False, 3, 3), (False, 9, 3), (False, 2, 2), (False, 8, 2), (False, 8, 2), (True, None, None)], key=str)
     kept = simhash.first_of_each(docs_of(spark, rows)).collect()
     assert sorted((r["doc_id"] for r in kept), key=str) == [2, 3, None] and kept[0]["source"] == "s"
+    twice = simhash.first_of_each(docs_of(spark, [(2, "t u v w"), (2, "t u v w"), (3, "t u v w"), (2, "x y z q")]).withColumnRenamed("fp", "a.b"))
+    assert sorted((r["doc_id"], r["text"]) for r in twice.collect()) == [(2, "t u v w"), (2, "x y z q")] and twice.columns[5] == "a.b"
     assert simhash.near_duplicates(docs_of(spark, [])).count() == 0
 
 

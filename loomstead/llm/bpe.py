@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding; long unsplit text by tree concatenation.
 
 A text of more than ``leaf_chars`` code points is cut into leaves of equal length, wherever that falls. Leaves
-are encoded alone, unit by unit from a bounded cache, and joined pairwise: a window around the join is encoded
+are encoded alone and joined pairwise: a window around the join is encoded
 again and grows until, at either edge, its tokens agree with those of the side exactly, which holds where the
 edge is a place that no piece crosses, or where the token there is the same inside one run of equal kind, as
 every two neighbouring tokens of a piece are then merge-valid. Special strings stand alone in any case, so
@@ -11,7 +11,7 @@ Texts of more than ``spread_chars`` code points are dealt out as leaf rows, so t
 text; the leaves of a text (equal texts once) meet by its digest and are joined as the same tree.
 
 Null texts encode as empty; every row has its own result; empty tables give no rows; other columns aren't
-read. Memory: the ids of one text and a bounded cache.
+read. Memory: one text and its ids, and a cache of pieces of bounded bytes.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstead.llm.common import parts, per_batch, text_rows
-from loomstead.llm.units import Coder, Joined, coder, packed, unpacked
+from loomstead.llm.units import Coder, coder, packed, unpacked
 
 LEAF_CHARS, SPREAD_CHARS = 1024, 65_536
 
@@ -84,18 +84,18 @@ class Tree:
         self.joins += 1
         n, m, size = len(left) // 4, len(right) // 4, self.window
         while True:
-            i, before = self._back(left, n, size)
-            j, after = self._ahead(right, m, size)
+            i, before, free_left = self._back(left, n, size)
+            j, after, free_right = self._ahead(right, m, size)
             ids = self.leaf((before + after).decode())
-            if self._agrees_left(left, i, ids) and self._agrees_right(right, j, m, ids):
+            if (free_left or self._agrees_left(left, i, ids)) and (free_right or self._agrees_right(right, j, m, ids)):
                 return left[: 4 * i] + ids + right[4 * j :]
             size *= 2
 
     def _bytes(self, ids: bytes, a: int, b: int) -> bytes:
         return b"".join([self.token[t] for t in unpacked(ids[4 * a : 4 * b])])
 
-    def _back(self, ids: bytes, n: int, size: int) -> tuple[int, bytes]:
-        """The last tokens with at least ``size`` bytes that begin with a whole character: their first place, and their bytes."""
+    def _back(self, ids: bytes, n: int, size: int) -> tuple[int, bytes, bool]:
+        """The last tokens with at least ``size`` bytes that begin with a whole character: their first place, their bytes, and whether no piece crosses there."""
         i = max(0, n - size - 16)
         known = [self.token[t] for t in unpacked(ids[4 * i :])]
         held, whole, spaced = 0, -1, -1
@@ -111,10 +111,10 @@ class Tree:
             if i:
                 return self._back(ids, n, 2 * size)
             k = 0
-        return i + k, b"".join(known[k:])
+        return i + k, b"".join(known[k:]), spaced >= 0
 
-    def _ahead(self, ids: bytes, m: int, size: int) -> tuple[int, bytes]:
-        """The first tokens of the kind, after which a whole character begins: the place after them, and their bytes."""
+    def _ahead(self, ids: bytes, m: int, size: int) -> tuple[int, bytes, bool]:
+        """The first tokens of the kind, after which a whole character begins: the place after them, and the same."""
         j = min(m, size + 16)
         known = [self.token[t] for t in unpacked(ids[: 4 * j])]
         held, whole, spaced = 0, -1, -1
@@ -130,7 +130,7 @@ class Tree:
             if j < m:
                 return self._ahead(ids, m, 2 * size)
             k = m
-        return k, b"".join(known[:k])
+        return k, b"".join(known[:k]), spaced >= 0
 
     def _near(self, ids: bytes, a: int, b: int, n: int) -> tuple[str, int, int]:
         """The text of tokens a to b with up to four code points on both sides, and how many there are on each."""
@@ -161,9 +161,9 @@ class Tree:
 
 @functools.lru_cache(maxsize=2)
 def tree_of(path: str, leaf_chars: int) -> Tree:
-    """One tree coder for each vocabulary and Python worker; its leaves are encoded unit by unit from bounded caches."""
+    """One tree coder for each vocabulary and Python worker."""
     code = coder(path)
-    return Tree(code, Joined(code.packed), leaf_chars)
+    return Tree(code, code.packed_text, leaf_chars)
 
 
 def leaves(text: str, code: Coder, chars: int) -> list[tuple[str, int]]:

@@ -41,7 +41,7 @@ from loomstead.llm.common import TwoGenerations, beside, col_of, text_rows
 
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (3, 4, 5, 6, 7)
-CACHE_BYTES = 120 << 20
+CACHE_BYTES = 96 << 20
 FOUND = "score double, spans array<struct<start:int,end:int>>"
 
 

@@ -15,14 +15,19 @@ import re
 import sys
 from array import array
 
+import numpy as np
+
 from loomstead.llm.common import TwoGenerations
 
 PLAIN = re.compile("[\t\n\x20-\x7e\xa1-\u012f\u0131-\u024f]*")
 BIG = sys.byteorder == "big"
+#: What pre-tokenizers cut text into, byte-level and with an end-of-word mark.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 POINTS = frozenset(".,;:!?")
 GAP = re.compile(r"\s ")
 #: Bounds of caches in bytes, each for one Python worker: pieces, and units of a whole.
-PIECE_BYTES, UNIT_BYTES = 40 << 20, 120 << 20
+PIECE_BYTES, UNIT_BYTES = 24 << 20, 96 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -71,9 +76,10 @@ class Coder:
         for b in joined:
             order.setdefault(b, len(order))
         self.of_rank = {n: self.ids.get(b, -1) for b, n in order.items()}
-        words = r"\p{L}+|\p{N}" if mark else r" ?\p{L}+| ?\p{N}+"
-        rest = r"|[^\s\p{L}\p{N}]+" if mark else r"| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|" + words + rest)
+        self.pattern = regex.compile(WORD_PIECES if mark else PIECES)
+        #: For whole plain texts; with an end-of-word mark there are only pieces.
+        self.texts = None if mark else tiktoken.Encoding("texts", pat_str=PIECES, mergeable_ranks=order, special_tokens={})._core_bpe
+        self.id_of_rank = np.array([self.of_rank[n] for n in range(len(order))], "<i4")
         self.engine = tiktoken.Encoding("ranks", pat_str=r"\S+", mergeable_ranks=order, special_tokens={})._core_bpe
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.piece = TwoGenerations(self._piece, PIECE_BYTES)
@@ -106,6 +112,10 @@ class Coder:
         return unpacked(self.packed(unit))
 
     def packed_text(self, text: str) -> bytes:
+        """The ids of a text, as ``packed``: plain ones as a whole, others unit by unit."""
+        if self.texts and "<|" not in text and PLAIN.fullmatch(text):
+            ranks = np.frombuffer(self.texts.encode_to_tiktoken_buffer(text, set()), "u4")
+            return self.id_of_rank[ranks].tobytes()
         return b"".join([self.packed(u) for u in units(text)])
 
     def encode_text(self, text: str) -> list[int]:

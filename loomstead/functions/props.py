@@ -60,6 +60,12 @@ def add_property(props: Column, key: Column, value: Column) -> Column:
     return F.when(F.assert_true(~F.coalesce(listed, F.lit(False)), "a list of values can't hold a key").isNull(), props_sorted(F.array_union(props, F.array(encode_pair(key, value)))))
 
 
+def add_value(props: Column, value: Column) -> Column:
+    """The set with one more value in list form. A set in key form is refused."""
+    keyed = F.exists(props, lambda p: p.startswith("{"))
+    return F.when(F.assert_true(~F.coalesce(keyed, F.lit(False)), "a set of keys can't hold a bare value").isNull(), props_sorted(F.array_union(props, F.array(encode_value(value)))))
+
+
 def props_union(a: Column, b: Column) -> Column:
     return props_sorted(F.array_union(a, b))
 
@@ -81,13 +87,22 @@ def content_key(text: Column, length: int = 8) -> Column:
     """``length`` base-62 digits of SHA-256, most significant first; lengths to 8 stay within a long."""
     if not 1 <= length <= 8:
         raise ValueError("a key has 1 to 8 digits")
-    size = 62**length
-    raw = F.unhex(F.sha2(text, 256))
-    bytes_ = F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: F.conv(F.hex(F.substring(raw, i, 1)), 16, 10).cast("long"))
-    number = F.aggregate(bytes_, F.lit(0).cast("long"), lambda acc, b: (acc * 256 + b) % size)
-    places = F.array(*(F.lit(62**k).cast("long") for k in range(length - 1, -1, -1)))
-    # The place's digit is exact in doubles: 62^8 is less than 2^53.
-    return F.array_join(F.transform(places, lambda p: F.substring(F.lit(DIGITS), (((number - number % p) / p).cast("long") % 62 + 1).cast("int"), F.lit(1))), "")
+    size, chunk = 62**length, 12
+    wide = lambda x: F.lit(str(x)).cast("decimal(18,0)")
+
+    def number(digest: Column) -> Column:
+        # Chunks of hexadecimal digits, each by its place's remainder; their sum has at most 30 digits.
+        parts = [(F.conv(F.substring(digest, at + 1, min(chunk, 64 - at)), 16, 10).cast("decimal(18,0)"), pow(16, max(0, 64 - at - chunk), size)) for at in range(0, 64, chunk)]
+        total = None
+        for value, place in parts:
+            term = (value * wide(place)).cast("decimal(38,0)")
+            total = term if total is None else total + term
+        return (total.cast("decimal(38,0)") % wide(size)).cast("long")
+
+    digits = lambda n: F.concat(*(F.substring(F.lit(DIGITS), (F.call_function("div", n, F.lit(62**k)) % 62 + 1).cast("int"), F.lit(1)) for k in range(length - 1, -1, -1)))
+    # Both are named many times and evaluated once.
+    once = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    return once(F.sha2(text, 256), lambda digest: once(number(digest), digits))
 
 
 def instance_key(path: Column, type_key: Column, type_name: Column, library_key: Column) -> Column:

@@ -29,12 +29,18 @@ def transfer_validate(transfers: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def transfer_batches(valid: DataFrame) -> DataFrame:
-    """(dominant, src_endpoint, dest_endpoint, n, bytes of addresses): one session's work for each pair of endpoints.
+    """(dominant, src_endpoint, dest_endpoint, n): one session's work for each pair of endpoints; ``batch_contents`` has its transfers."""
+    return with_batch(valid).groupBy("dominant", "src_endpoint", "dest_endpoint").agg(F.count("*").alias("n"))
+
 
-    A batch may hold a third of all transfers, so it is summed, not collected; its rows are those of ``valid``
-    with the same endpoints (see ``with_batch``).
+def batch_contents(valid: DataFrame) -> DataFrame:
+    """(dominant, src_endpoint, dest_endpoint, src_address, dest_address, ...): each transfer in its batch.
+
+    A batch may hold a third of all transfers, so its transfers stay rows and are not gathered into a list.
     """
-    return with_batch(valid).groupBy("dominant", "src_endpoint", "dest_endpoint").agg(F.count("*").alias("n"))
+    rows = with_batch(valid)
+    first = ["dominant", "src_endpoint", "dest_endpoint", "src_address", "dest_address"]
+    return rows.select(*first, *(c for c in rows.columns if c not in first))
 
 
 def with_batch(valid: DataFrame) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Endpoints are given instances and what applications of transforms produce. Each carries ``anc``, the given ids
 and transforms above it, ``above``, its ancestor endpoints in the order in which they were added, and ``apps``,
-the applications of its derivation. The closure is semi-naive: a round makes the bindings that use something
-new, applies them, and keeps what has a new (root, transform, product, anc). A transform doesn't apply where
+the applications of its derivation. A round matches with requirements only what the last one made, binds only
+transforms that gained an input in a root, there in bindings that use something new, applies them, and keeps
+what has a new (root, transform, product, anc). A transform doesn't apply where
 it is above one of its inputs, so there are finitely many of these keys and cyclic transforms end.
 
 Of endpoints with the same key the one with the fewest applications, then the smallest id, stays; sums of
@@ -22,6 +23,9 @@ from pyspark.sql import functions as F
 from loomstead.operators.match import containment_join
 from loomstead.plans.rounds import settled
 
+FIT = ["root", "transform", "req_ix", "id", "anc", "above", "apps"]
+#: More links between requirements than this aren't declarations but data, and aren't collected.
+MOST_LINKS = 100_000
 ENDPOINT = ["root", "id", "transform", "prod_ix", "props", "anc", "above", "apps", "round"]
 
 
@@ -36,18 +40,26 @@ def given_endpoints(givens: DataFrame) -> DataFrame:
     return givens.select("root", "id", none.alias("transform"), F.lit(None).cast("int").alias("prod_ix"), "props", _merged(F.array("id"), parents).alias("anc"), parents.alias("above"), F.array().cast("array<string>").alias("apps"), F.lit(0).alias("round"))
 
 
-def bindings(endpoints: DataFrame, requirements: DataFrame, links: list[tuple[str, int, int]], depth: int, since: int) -> DataFrame:
-    """(root, transform, uses, anc, above, apps): bindings of every transform that use an endpoint of round ``since``."""
+def fitting(endpoints: DataFrame, requirements: DataFrame) -> DataFrame:
+    """(root, transform, req_ix, id, anc, above, apps): which endpoints meet which requirements."""
     fits = containment_join(endpoints, requirements, ["root", "id"], ["transform", "req_ix"])
-    allowed = fits.join(endpoints.select("root", "id", "anc", "above", "apps", (F.col("round") >= since).alias("fresh")), ["root", "id"]).where(~F.array_contains("anc", F.concat(F.lit("@"), "transform")))
+    return fits.join(endpoints.select("root", "id", "anc", "above", "apps"), ["root", "id"]).select(*FIT)
+
+
+def bindings(fits: DataFrame, requirements: DataFrame, links: list[tuple[str, int, int]], depth: int) -> DataFrame:
+    """(root, transform, uses, anc, above, apps): bindings of every transform that use a row of ``fits`` that is ``fresh``.
+
+    ``fits`` is ``fitting`` of all endpoints with the mark; only transforms that have a fresh row in a root are bound there.
+    """
+    allowed = fits.where(~F.array_contains("anc", F.concat(F.lit("@"), "transform")))
     # A transform with a requirement that nothing in the root meets has no bindings there.
     need = requirements.groupBy("transform").agg(F.count("*").alias("need"))
     full = allowed.groupBy("root", "transform").agg(F.count_distinct("req_ix").alias("met"), F.max("fresh").alias("any")).join(need, "transform").where("met = need and any").select("root", "transform", "need")
     rows = settled(allowed.join(full, ["root", "transform"]))
     near = None
     if links:
-        spark = endpoints.sparkSession
-        linked = F.broadcast(spark.createDataFrame(links, "transform string, req_ix int, parent_ix int"))  # as many as declared links
+        spark = fits.sparkSession
+        linked = spark.createDataFrame(links, "transform string, req_ix int, parent_ix int")
         up = rows.join(linked, ["transform", "req_ix"]).select("root", "transform", "req_ix", "parent_ix", "id", F.posexplode("above").alias("ord", "ancestor"))
         meets = fits.select("root", "transform", F.col("req_ix").alias("parent_ix"), F.col("id").alias("ancestor"))
         near = up.join(meets, ["root", "transform", "parent_ix", "ancestor"]).groupBy("root", "transform", "req_ix", "parent_ix", "id").agg(F.max_by("ancestor", "ord").alias("ancestor"))
@@ -98,20 +110,25 @@ def derive_closure(givens: DataFrame, requirements: DataFrame, products: DataFra
 
     Transforms are few: their links and the number of requirements are read on the driver.
     """
-    links = [(r["transform"], r["req_ix"], p) for r in requirements.where(F.size("parent_ix") > 0).select("transform", "req_ix", "parent_ix").collect() for p in r["parent_ix"]]
+    linked = requirements.select("transform", "req_ix", F.explode("parent_ix")).limit(MOST_LINKS + 1).collect()
+    if len(linked) > MOST_LINKS:
+        raise ValueError(f"there are more than {MOST_LINKS} links between requirements")
+    links = [tuple(r) for r in linked]
     depth = requirements.agg(F.max("req_ix")).first()[0]
-    seen = settled(given_endpoints(givens))
-    applications = None
+    seen = new = settled(given_endpoints(givens))
+    applications = known = None
     if depth is None:
         return seen, seen.limit(0).select("root", F.col("id").alias("app"), "transform", F.col("above").alias("uses"), "round")
     for n in range(1, max_rounds + 1):
-        made, apps = apply_transform_rows(bindings(seen, requirements, links, depth + 1, n - 1), products, n)
-        apps = settled(apps)
+        fresh = settled(fitting(new, requirements)).withColumn("fresh", F.lit(True))
+        fits = fresh if known is None else known.unionByName(fresh)
+        made, apps = apply_transform_rows(settled(bindings(fits, requirements, links, depth + 1)), products, n)
+        known = fits.withColumn("fresh", F.lit(False))
         applications = apps if applications is None else applications.unionByName(apps)
         new = settled(cycle_guard(made, seen))
         if new.isEmpty():
             return seen, applications
-        seen = seen.unionByName(new)  # all parts are checkpointed
+        seen = seen.unionByName(new)  # all parts are checkpointed, as are those of the fits
     raise RuntimeError(f"derivation did not end in {max_rounds} rounds")
 
 

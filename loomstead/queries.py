@@ -81,11 +81,21 @@ def postings(spark, d):
     return out
 
 
+def declared(spark, d):
+    """Links as declared, checked against the tables' schemas; no data are read."""
+    rows = []
+    for name, (_, indexes) in FOREIGN.items():
+        columns = table(spark, d, name).columns
+        for index, (column, target) in indexes.items():
+            if column not in columns or target not in ("part", *FOREIGN, "region"):
+                raise ValueError(f"the link {index} has no column {column} or no table {target}")
+            rows.append((name, column, index, target, len(rows)))
+    return spark.createDataFrame(rows, "table_name string, column string, si_name string, target string, ord int")
+
+
 def links(spark, d):
-    """Links that the postings show."""
-    targets = [(n, t, k) for k, (n, t) in enumerate((n, t) for _, i in FOREIGN.values() for n, (_, t) in i.items())]
-    named = spark.createDataFrame(targets, "si_name string, target string, ord int")
-    return postings(spark, d).select("table_name", "si_name").distinct().join(named, "si_name")
+    """Declared links that have postings in the data."""
+    return declared(spark, d).join(postings(spark, d).select("table_name", "si_name").distinct(), ["table_name", "si_name"])
 
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS key, CAST(json_object('c_custkey', c_custkey, 'c_name', c_name, 'c_nationkey', c_nationkey, 'c_mktsegment', c_mktsegment) AS VARCHAR) AS json FROM customer")
@@ -274,7 +284,7 @@ def trace_one_hop(spark, d):
 
 
 def traced(spark, d, source, target, via=None):
-    path = R.trace_path(links(spark, d), source, target, via)
+    path = R.trace_path(declared(spark, d), source, target, via)
     return postings(spark, d), path
 
 
@@ -374,6 +384,12 @@ for _name, _f, _sql in (
     ORACLES[_name] = f"SELECT p_partkey, array_to_string({_sql}, '|') AS props FROM part"
 
 
+@query("""SELECT p_partkey, array_to_string(list_sort(list_distinct(list_concat(list_transform(string_split(p_name, ' '), lambda w: '["' || w || '"]'), ['["' || p_brand || '"]']))), '|') AS props FROM part""")
+def add_property_value(spark, d):
+    part = table(spark, d, "part")
+    return part.select("p_partkey", F.array_join(P.add_value(P.props_encode_list(F.split("p_name", " ")), F.col("p_brand")), "|").alias("props"))
+
+
 @query(f"""SELECT p_partkey, list_has_all({PROPS}, ['{{"brand":"Brand#1"}}']) AS fits, true AS any_fits FROM part""")
 def is_a(spark, d):
     need = F.array(F.lit('{"brand":"Brand#1"}'))
@@ -804,7 +820,7 @@ def apply_transform_rows(spark, d):
     """One round of tokenizing every document."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("root"), F.col("doc_id").cast("string").alias("id"), F.array(F.lit('{"data":"text"}')).alias("props"))
     start, need = D.given_endpoints(docs), TRANSFORMS.requirements(spark).where("transform = 'tokenize'")
-    made, _ = D.apply_transform_rows(D.bindings(start, need, [], 1, 0), TRANSFORMS.products(spark), 1)
+    made, _ = D.apply_transform_rows(D.bindings(D.fitting(start, need).withColumn("fresh", F.lit(True)), need, [], 1), TRANSFORMS.products(spark), 1)
     return made.groupBy("root").agg(F.count("*").cast("int").alias("produced"))
 
 
@@ -850,6 +866,11 @@ def transfer_batches(spark, d):
     return V.transfer_batches(V.transfer_validate(transfers(spark, d))[0])
 
 
+@query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'HTTP' WHEN 1 THEN 'GLOBUS' ELSE 'SSH' END AS dominant, CASE page_id % 5 WHEN 0 THEN regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) WHEN 1 THEN 'ep1' ELSE 'host1' END AS src_endpoint, CASE page_id % 5 WHEN 1 THEN 'ep9' ELSE '' END AS dest_endpoint, CASE page_id % 5 WHEN 1 THEN 'globus://ep9:/in/' || page_id ELSE '/in/' || page_id END AS dest_address FROM pages WHERE page_id % 5 IN (0, 1, 3)")
+def batch_contents(spark, d):
+    return V.batch_contents(V.transfer_validate(transfers(spark, d))[0]).select("page_id", "dominant", "src_endpoint", "dest_endpoint", "dest_address")
+
+
 @query("SELECT CASE page_id % 5 WHEN 0 THEN 'HTTP' WHEN 1 THEN 'GLOBUS' ELSE 'SSH' END AS dominant, count(*) AS n FROM pages WHERE page_id % 5 IN (0, 1, 3) GROUP BY 1")
 def transfers_by_type(spark, d):
     return V.transfers_by_type(V.transfer_validate(transfers(spark, d))[0])

@@ -272,3 +272,61 @@ def test_bindings(spark):
     assert pairs(M.bindings_valid(c, {1: [0]}, near, 2)) == [("b", "c")]
     with pytest.raises(ValueError):
         M.bindings_valid(c, {0: [1]}, near, 2)
+
+
+def test_value_only_properties(spark):
+    df = spark.createDataFrame([(["[\"b\"]"],), ([],)], "props array<string>")
+    assert [r[0] for r in df.select(P.add_value(F.col("props"), F.lit("a"))).collect()] == [['["a"]', '["b"]'], ['["a"]']]
+    with pytest.raises(Exception, match="bare value"):
+        spark.createDataFrame([(['{"k":"v"}'],)], "props array<string>").select(P.add_value(F.col("props"), F.lit("a"))).collect()
+
+
+@pytest.mark.parametrize("length", [1, 3, 8])
+def test_content_keys_by_whole_numbers(spark, length):
+    texts = ["", "a", "é漢", *(f"text {k}" for k in range(200))]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(P.content_key(F.col("t"), length)).collect()]
+    for t, key in zip(texts, got, strict=True):
+        n, want = int(hashlib.sha256(t.encode()).hexdigest(), 16) % 62**length, ""
+        for _ in range(length):
+            n, k = divmod(n, 62)
+            want = P.DIGITS[k] + want
+        assert key == want
+
+
+def test_batches_keep_their_transfers(spark):
+    rows = [("ssh://a:/x/1", "SSH", "/in/1", "DIRECT"), ("ssh://a:/x/2", "SSH", "/in/2", "DIRECT"), ("ssh://b:/x/3", "SSH", "/in/3", "DIRECT")]
+    valid, _ = V.transfer_validate(spark.createDataFrame(rows, "src_address string, src_type string, dest_address string, dest_type string"))
+    got = V.batch_contents(valid)
+    assert got.columns[:5] == ["dominant", "src_endpoint", "dest_endpoint", "src_address", "dest_address"]
+    assert sorted((r["src_endpoint"], r["src_address"]) for r in got.collect()) == [("a", "ssh://a:/x/1"), ("a", "ssh://a:/x/2"), ("b", "ssh://b:/x/3")]
+    assert sorted((r["src_endpoint"], r["n"]) for r in V.transfer_batches(valid).collect()) == [("a", 2), ("b", 1)]
+
+
+def test_fan_out_of_256(spark):
+    """256 givens of one kind below one root, each with a linked reference: every given is derived on its own."""
+    n = 256
+    givens = [("r", f"ref{k}", ["ref"], []) for k in range(2)] + [("r", f"read{k:03}", ["reads"], [f"ref{k % 2}"]) for k in range(n)]
+    requirements = [("map", 0, ["ref"], []), ("map", 1, ["reads"], [0]), ("call", 0, ["mapped"], [])]
+    products = [("map", 0, ["mapped"], "m"), ("call", 0, ["calls"], "c")]
+    endpoints, _ = D.derive_closure(
+        spark.createDataFrame(givens, "root string, id string, props array<string>, parents array<string>"),
+        spark.createDataFrame(requirements, "transform string, req_ix int, props array<string>, parent_ix array<int>"),
+        spark.createDataFrame(products, "transform string, prod_ix int, props array<string>, out_path string"),
+    )
+    got = endpoints.where("transform = 'call'").select("anc", F.size("apps").alias("n")).collect()
+    assert len(got) == n and {r["n"] for r in got} == {2}
+    assert {tuple(x for x in r["anc"] if x[0] != "@") for r in got} == {(f"read{k:03}", f"ref{k % 2}") for k in range(n)}
+
+
+def test_batch_of_1000_roots(spark):
+    n = 1000
+    givens = [(f"g{k}", f"contigs{k}", ["contigs", f"id{k}"]) for k in range(n)]
+    requirements = [("orfs", 0, ["contigs"], []), ("hits", 0, ["faa"], [])]
+    products = [("orfs", 0, ["faa"], "a"), ("hits", 0, ["table"], "b")]
+    best = D.batch_derivation(
+        spark.createDataFrame(givens, "root string, id string, props array<string>"),
+        spark.createDataFrame(requirements, "transform string, req_ix int, props array<string>, parent_ix array<int>"),
+        spark.createDataFrame(products, "transform string, prod_ix int, props array<string>, out_path string"),
+        ["table"],
+    )
+    assert sorted((r["root"], r["n_steps"]) for r in best.collect()) == sorted((f"g{k}", 2) for k in range(n))

@@ -20,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders that this process has named, in order.
+SCRATCH: list[str] = []
+
+
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A new folder name below the folder that driver and executors share (``spark.checkpoint.dir``).
 
@@ -33,7 +37,16 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="loomstead-")
         context.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    SCRATCH.append(f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}")
+    return SCRATCH[-1]
+
+
+def clear(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders of ``SCRATCH`` that nothing needs any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        SCRATCH.remove(path)
 
 
 def kept(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:

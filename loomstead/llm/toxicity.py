@@ -80,15 +80,17 @@ def cues(docs: list[set[str]], toxic: list[int], error: float, least_odds: float
     nt, nc = sum(toxic), len(docs) - sum(toxic)
     if not nt or not nc:
         return set()
+    times = Counter(f for k, d in enumerate(docs) if toxic[k] for f in {f for w in d for f in features(w)})
+    frequent = {f for f, n in times.items() if n >= least_docs}
+    del times
     #: feature -> document -> how many of its words have it, for toxic documents and for others
     inside: tuple[dict[str, Counter], dict[str, Counter]] = (defaultdict(Counter), defaultdict(Counter))
     for k, d in enumerate(docs):
         if toxic[k]:
             for w in d:
                 for f in features(w):
-                    inside[0][f][k] += 1
-    for f in [f for f, of in inside[0].items() if len(of) < least_docs]:
-        del inside[0][f]
+                    if f in frequent:
+                        inside[0][f][k] += 1
     words: dict[str, set[str]] = defaultdict(set)
     for k, d in enumerate(docs):
         for w in d:
@@ -328,7 +330,7 @@ def sample(docs: DataFrame, labels: DataFrame, most_docs: int, most_chars: int)
     return [r["text"] for r in rows], [picked[r["id"]] for r in rows]
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_docs: int = 1000, most_chars: int = 8_000_000) -> Field:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_docs: int = 800, most_chars: int = 6_000_000) -> Field:
     """A field from the labelled documents for which crc32(id) mod 5 is not 0; null labels don't count."""
     y = labels.select(col_of(labels, id_col).alias("id"), "toxic").where("toxic is not null and crc32(cast(id as string)) % 5 <> 0")
     return fit(*sample(text_rows(docs, id_col, text_col), y, most_docs, most_chars))

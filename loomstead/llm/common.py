@@ -6,7 +6,6 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -146,29 +145,28 @@ def parts(batch: pa.RecordBatch, rows: int = ROWS, most_bytes: int = BYTES) -> I
 class TwoGenerations(dict):
     """A cache of at most ``most_bytes``: its older half is dropped; entries that are used again move to the newer one.
 
-    Keys of more than ``longest`` code points are made anew each time. What an entry holds is taken as its key,
-    its value (with ``each`` bytes for every member of a list or tuple) and ``ENTRY`` bytes of the tables.
+    Keys of more than ``longest`` code points are made anew each time, as are values that are None. What an entry
+    holds is taken as ``entry`` bytes for its objects and their place in the table, four for each code point of
+    its key, and ``each`` for every member of its value (0: ``entry`` has the value, too).
     """
 
-    ENTRY = 130
-
-    def __init__(self, make: Callable[[str], object], most_bytes: int, longest: int = 64, each: int = 60):
+    def __init__(self, make: Callable[[str], object], most_bytes: int, longest: int = 64, each: int = 1, entry: int = 190):
         super().__init__()
-        self.make, self.most, self.longest, self.each = make, most_bytes // 2, longest, each
+        self.make, self.most, self.longest, self.each, self.entry = make, most_bytes // 2, longest, each, entry
         self.old, self.held = {}, 0
 
     def __missing__(self, key: str) -> object:
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-            if len(key) > self.longest:
+            if value is None or len(key) > self.longest:
                 return value
-        size = self.ENTRY + getsizeof(key) + getsizeof(value)
-        if value.__class__ in (list, tuple):
-            size += self.each * len(value)
-        if self.held + size > self.most:
-            self.old, self.held = dict(self), 0
+        held = self.held + self.entry + 4 * len(key)
+        if self.each:
+            held += self.each * len(value)
+        if held > self.most:
+            self.old, held = dict(self), 0
             self.clear()
-        self.held += size
+        self.held = held
         self[key] = value
         return value

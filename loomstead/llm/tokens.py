@@ -41,7 +41,7 @@ class PrefixCounts:
         self.endings.make_automaton()
         #: Whether the second token may follow the first; bounded by being emptied.
         self.valid: dict[int, bool] = {}
-        self.piece = TwoGenerations(self._piece, PIECE_BYTES, each=32)
+        self.piece = TwoGenerations(self._piece, PIECE_BYTES, each=40)
 
     def _valid(self, pair: int) -> bool:
         left, right = pair >> 20, pair & 0xFFFFF

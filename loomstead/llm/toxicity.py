@@ -346,7 +346,7 @@ def _scorer(model: Field, threshold: float):
                 hits.append((n - 1, s, m.start(), m.end()))
         return (n, hits) if hits else n
 
-    cache = TwoGenerations(value, CACHE_BYTES, each=300)
+    cache = TwoGenerations(value, CACHE_BYTES, each=0, entry=400)
 
     def one(text: str):
         units = text.split(" ")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomstead.functions import props as P
 from loomstead.functions.text import dtype_name, dtype_namespace
+from loomstead.plans.rounds import settled
 
 
 def _typed(manifest: DataFrame) -> DataFrame:
@@ -116,15 +117,33 @@ def fingerprint_of_lines(rows: DataFrame, key: str, line: Column) -> DataFrame:
     return rows.groupBy(key).agg(P.content_key(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 5).alias("fingerprint"))
 
 
+def numbered(rows: DataFrame, by: str, order: list[str], name: str) -> DataFrame:
+    """Rows with ``name``, their 1-based number within ``by`` in the given order.
+
+    Rows are dealt out in ranges of (by, order) and written, then numbered within a range: a hot group is spread
+    over many tasks. What comes before a range's first group in earlier ranges is added to that group's numbers;
+    there is at most one such row for each range.
+    """
+    placed = settled(rows.repartitionByRange(by, *order).withColumn("__range", F.spark_partition_id()))
+    sizes = placed.groupBy(by, "__range").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    carried = sizes.select(F.struct(by).alias("__by"), F.col("__range").alias("__at"), before.alias("__before")).where("__before > 0")
+    mine = placed.withColumn(name, F.row_number().over(Window.partitionBy(by, "__range").orderBy(*order)))
+    both = mine.join(carried, (F.struct(by) == F.col("__by")) & (F.col("__range") == F.col("__at")), "left")
+    return both.select(*rows.columns, (F.col(name) + F.coalesce("__before", F.lit(0))).cast("int").alias(name))
+
+
 def step_order(steps: DataFrame, target: str, order: list[str]) -> DataFrame:
     """Steps with their 1-based number within a target's plan."""
-    return steps.withColumn("step", F.row_number().over(Window.partitionBy(target).orderBy(*order)))
+    return numbered(steps, target, order, "step")
 
 
 def process_dedupe(steps: DataFrame, target: str = "target") -> DataFrame:
     """The first step of each process (transform and key) in a plan."""
-    w = Window.partitionBy(target, "transform", "key").orderBy("step")
-    return steps.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    process = [target, "transform", "key"]
+    rest = [c for c in steps.columns if c not in process]
+    first = steps.groupBy(*process).agg(F.min_by(F.struct(*rest), F.struct("step")).alias("__first"))
+    return first.select(*(F.col(c) if c in process else F.col("__first").getField(c).alias(c) for c in steps.columns))
 
 
 def plan_lengths(steps: DataFrame, target: str = "target") -> DataFrame:
@@ -133,7 +152,7 @@ def plan_lengths(steps: DataFrame, target: str = "target") -> DataFrame:
 
 def solutions_ranked(solutions: DataFrame, target: str, cost: str, tie: str) -> DataFrame:
     """Alternatives of each target with their rank: fewest steps first, ties by name."""
-    return solutions.withColumn("rank", F.row_number().over(Window.partitionBy(target).orderBy(cost, tie)))
+    return numbered(solutions, target, [cost, tie], "rank")
 
 
 def best_solution(targets: DataFrame, solutions: DataFrame, target: str, cost: str, tie: str) -> tuple[DataFrame, DataFrame]:

@@ -67,11 +67,15 @@ def satisfies_lineage(candidates_: DataFrame, protos: DataFrame, ancestors: Data
     """Those candidates (id, need) all of whose parent prototypes some ancestor meets.
 
     protos: (need, proto, props), ancestors: (id, ancestor, props). A need without prototypes is met by all.
+    Different property sets of ancestors are matched with prototypes, and candidates look their ancestors' sets up
+    in what met: prototypes are never multiplied with the candidates of a hot need.
     """
-    wanted = candidates_.join(protos.select("need", "proto", F.col("props").alias("__req")), "need")
-    has = wanted.join(ancestors.select("id", F.col("props").alias("__have")), "id").where(F.size(F.array_except("__req", "__have")) == 0).select("id", "need", "proto").distinct()
-    missing = wanted.select("id", "need", "proto").join(has, ["id", "need", "proto"], "left_anti")
-    return candidates_.join(missing.select("id", "need").distinct(), ["id", "need"], "left_anti")
+    have = ancestors.select("id", F.array_sort(F.array_distinct(F.coalesce("props", F.array().cast("array<string>")))).alias("__set"))
+    met = containment_join(have.select("__set").distinct(), protos, ["__set"], ["need", "proto"], inst_props="__set").distinct()
+    has = candidates_.select("id", "need").distinct().join(have.distinct(), "id").join(met, ["need", "__set"]).groupBy("id", "need").agg(F.count_distinct("proto").alias("__met"))
+    asked = protos.groupBy("need").agg(F.count_distinct("proto").alias("__asked"))
+    both = candidates_.join(asked, "need", "left").join(has, ["id", "need"], "left")
+    return both.where(F.coalesce("__met", F.lit(0)) >= F.coalesce("__asked", F.lit(0))).select(*candidates_.columns)
 
 
 def lineage_acceptable(candidates_: DataFrame, bound: DataFrame, nearest: DataFrame) -> DataFrame:

@@ -330,3 +330,43 @@ def test_batch_of_1000_roots(spark):
         ["table"],
     )
     assert sorted((r["root"], r["n_steps"]) for r in best.collect()) == sorted((f"g{k}", 2) for k in range(n))
+
+
+def test_numbers_of_a_hot_group(spark):
+    r = random.Random(4)
+    rows = [("hot", k) for k in range(3000)] + [(None, k) for k in range(500)] + [(f"t{k % 90}", k) for k in range(1000)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "target string, at int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        numbers = C.step_order(df.repartition(7), "target", ["at"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = sorted(((x["target"] or "", x["at"], x["step"]) for x in numbers.collect()))
+    seen: dict = {}
+    want = []
+    for target, at in sorted((t or "", k) for t, k in rows):
+        seen[target] = seen.get(target, 0) + 1
+        want.append((target, at, seen[target]))
+    assert got == want and numbers.columns == ["target", "at", "step"]
+    assert C.step_order(df.limit(0), "target", ["at"]).count() == 0
+    assert C.solutions_ranked(df, "target", "at", "at").where("rank = 1").count() == 92
+
+
+def test_first_step_of_each_process(spark):
+    steps = spark.createDataFrame([("t", "f", "k", 2, ["b"]), ("t", "f", "k", 1, ["a"]), ("t", "f", None, 4, None), ("t", "f", None, 3, ["c"]), ("u", "f", "k", 5, [])], "target string, transform string, key string, step int, uses array<string>")
+    got = C.process_dedupe(steps)
+    assert got.columns == steps.columns and sorted((x["target"], x["step"], x["uses"]) for x in got.collect()) == [("t", 1, ["a"]), ("t", 3, ["c"]), ("u", 5, [])]
+
+
+def test_lineage_is_the_naive_filter(spark):
+    r = random.Random(5)
+    cands = [(i, n) for i in range(30) for n in range(4) if r.random() < 0.7] + [(3, 1), (98, 1), (99, 7)]
+    protos = [(n, p, r.sample("abcd", r.randint(0, 2))) for n in range(3) for p in range(2)] + [(0, 1, ["zz"]), (1, 0, None)]
+    ancestors = [(i, k, r.sample("abcd", r.randint(0, 4))) for i in range(30) for k in range(r.randint(0, 3))] + [(1, 9, None)]
+    df = M.satisfies_lineage(spark.createDataFrame(cands, "id int, need int"), spark.createDataFrame(protos, "need int, proto int, props array<string>"), spark.createDataFrame(ancestors, "id int, ancestor int, props array<string>"))
+
+    def met(i, n, p):
+        return any(set(need or ()) <= set(have or ()) for m, q, need in protos if (m, q) == (n, p) for j, _, have in ancestors if j == i)
+
+    assert sorted(map(tuple, df.collect())) == sorted((i, n) for i, n in cands if all(met(i, n, p) for m, p, _ in protos if m == n))

@@ -6,12 +6,16 @@ props), ``targets`` (target_ix, props). Properties are arrays of strings.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 #: Parts into which one side of a product is dealt; the other side goes to each.
 SALTS = 32
+#: More choices than this aren't listed without a scope.
+MOST_CHOICES = 1_000_000_000
 
 
 def product(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -102,13 +106,22 @@ def lineage_join(children: DataFrame, edges: DataFrame, protos: DataFrame, bound
     return nearest.join(bound.select("proto", "ancestor").distinct(), ["proto", "ancestor"]).select("child", "proto", "ancestor")
 
 
+def _check_choices(candidates_: DataFrame, free: list[int]) -> None:
+    """Refuses requirements whose candidates multiply beyond ``MOST_CHOICES``; one number comes to the driver."""
+    log = candidates_.where(F.col("req_ix").isin(free)).groupBy("req_ix").count().agg(F.sum(F.log10("count"))).first()[0]
+    if log is not None and log > math.log10(MOST_CHOICES) + 1e-9:
+        raise ValueError(f"without a scope there are more than {MOST_CHOICES} choices")
+
+
 def bindings_all(candidates_: DataFrame, requirements: int, scope: list[str] | None = None, pinned: dict[int, str] | None = None) -> DataFrame:
     """Every choice of one candidate (id) for each requirement 0, 1, ...: columns ``b0``, ``b1``, ...
 
     Choices are made within ``scope`` columns, such as a root; ``pinned`` fixes some requirements' ids. The result
-    is as large as the product of the candidates within a scope: without one, it is for small tables.
+    is as large as the product of the candidates within a scope; without one, more than ``MOST_CHOICES`` are refused.
     """
     scope = scope or []
+    if not scope:
+        _check_choices(candidates_, [k for k in range(requirements) if k not in (pinned or {})])
     out = None
     for k in range(requirements):
         mine = candidates_.where(F.col("req_ix") == k)
@@ -126,9 +139,12 @@ def bindings_valid(candidates_: DataFrame, parent_ix: dict[int, list[int]], near
 
     ``parent_ix`` names, for a requirement, those that must be bound to its ancestors; nearest: (child, proto,
     ancestor) with the parent's requirement number as proto. A linked requirement is joined on its ancestor, an
-    equality, so no product is made over links.
+    equality, so no product is made over links. Requirements with neither links nor a scope multiply, and more than
+    ``MOST_CHOICES`` of their choices are refused.
     """
     scope = scope or []
+    if not scope:
+        _check_choices(candidates_, [k for k in range(requirements) if not parent_ix.get(k)])
     out = None
     for k in range(requirements):
         mine = candidates_.where(F.col("req_ix") == k).select(*scope, F.col("id").alias(f"b{k}"))

@@ -72,11 +72,11 @@ FOREIGN = {
 }
 
 
-def postings(spark, d):
-    """Postings of the foreign keys of all tables, with their table."""
+def postings(spark, d, build=S.si_rows):
+    """Postings of the foreign keys of all tables, with their table; traces make their hops distinct themselves."""
     out = None
     for name, (keys, indexes) in FOREIGN.items():
-        one = S.si_build(table(spark, d, name), keys, {n: c for n, (c, _) in indexes.items()}).withColumn("table_name", F.lit(name))
+        one = build(table(spark, d, name), keys, {n: c for n, (c, _) in indexes.items()}).withColumn("table_name", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -210,7 +210,7 @@ def tables_registry(spark, d):
 
 def sizes(spark, d):
     """Rows of postings of each table."""
-    return postings(spark, d).groupBy("table_name").agg(F.count("*").alias("n_postings"))
+    return postings(spark, d, S.si_build).groupBy("table_name").agg(F.count("*").alias("n_postings"))
 
 
 SIZES = "SELECT 'customer' AS name, count(*) AS n_postings FROM (SELECT DISTINCT c_custkey, c_nationkey FROM customer) UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'orders', count(*) FROM (SELECT DISTINCT o_orderkey, o_custkey FROM orders) UNION ALL SELECT 'supplier', count(*) FROM (SELECT DISTINCT s_suppkey, s_nationkey FROM supplier) UNION ALL SELECT 'lineitem', 3 * count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)"

@@ -44,26 +44,30 @@ def absent_entries(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return keys.join(docs, "key", "left_anti")
 
 
-def si_build(df: DataFrame, keys: list[str], indexes: dict[str, str]) -> DataFrame:
-    """Postings of rows, from index name to column, in one pass; array columns give one posting a member.
+def si_rows(df: DataFrame, keys: list[str], indexes: dict[str, str]) -> DataFrame:
+    """Postings of rows, from index name to column, in one pass and without a shuffle; equal rows give them again.
 
-    Members that are arrays are joined by ``_``.
+    Array columns give one posting a member; members that are arrays are joined by ``_``.
     """
-    def values(column: str) -> Column:
-        kind = df.schema[column].dataType
-        if not isinstance(kind, T.ArrayType):
-            return F.array(df[column].cast("string"))
-        if isinstance(kind.elementType, T.ArrayType):
-            return F.transform(df[column], index_value)
-        return df[column].cast("array<string>")
-
-    def named(name: str, column: str) -> Column:
-        present = F.coalesce(values(column), F.array().cast("array<string>"))
-        return F.transform(present, lambda v: F.struct(F.lit(name).alias("si_name"), v.alias("si_key")))
-
-    each = F.flatten(F.array(*(named(n, c) for n, c in indexes.items())))
-    rows = df.select(key_of(df, keys).alias("parent_key"), F.explode(each).alias("p"))
-    return rows.select("p.si_name", "p.si_key", "parent_key").where("si_key is not null").dropDuplicates(POSTING)
+    def posting(name: str, value: Column) -> Column:
+        return F.struct(F.lit(name).alias("si_name"), value.alias("si_key"))
+
+    def listed(name: str, column: str) -> Column:
+        inner = isinstance(df.schema[column].dataType.elementType, T.ArrayType)
+        values = F.transform(df[column], index_value) if inner else df[column].cast("array<string>")
+        return F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: posting(name, v))
+
+    many = {n: c for n, c in indexes.items() if isinstance(df.schema[c].dataType, T.ArrayType)}
+    # Plain columns need no function of members, so that they stay in generated code.
+    plain = [posting(n, df[c].cast("string")) for n, c in indexes.items() if n not in many]
+    each = [*([F.array(*plain)] if plain else []), *(listed(n, c) for n, c in many.items())]
+    rows = df.select(key_of(df, keys).alias("parent_key"), F.inline(F.concat(*each) if many else each[0]))
+    return rows.where("si_key is not null").select(*POSTING)
+
+
+def si_build(df: DataFrame, keys: list[str], indexes: dict[str, str]) -> DataFrame:
+    """Postings of rows, each once: ``si_rows`` as a set."""
+    return si_rows(df, keys, indexes).dropDuplicates(POSTING)
 
 
 def key_catalog(docs: DataFrame, table_name: str) -> DataFrame:

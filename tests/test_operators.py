@@ -262,7 +262,7 @@ def test_protocols(spark):
     assert [tuple(r) for r in c.transform_catalog(spark).collect()] == [("count", 1, 1)]
 
 
-def test_bindings(spark):
+def test_bindings(spark, monkeypatch):
     c = spark.createDataFrame([("a", 0), ("b", 0), ("a", 1), ("c", 1)], "id string, req_ix int")
     pairs = lambda df: sorted((r["b0"], r["b1"]) for r in df.collect())
     assert pairs(M.bindings_all(c, 2)) == [("a", "a"), ("a", "c"), ("b", "a"), ("b", "c")]
@@ -270,6 +270,13 @@ def test_bindings(spark):
     assert pairs(M.bindings_valid(c, {}, None, 2)) == [("a", "c"), ("b", "a"), ("b", "c")]
     near = spark.createDataFrame([("c", 0, "b")], "child string, proto int, ancestor string")
     assert pairs(M.bindings_valid(c, {1: [0]}, near, 2)) == [("b", "c")]
+    monkeypatch.setattr(M, "MOST_CHOICES", 3)
+    assert pairs(M.bindings_all(c, 2, pinned={0: "b"})) == [("b", "a"), ("b", "c")]
+    assert pairs(M.bindings_valid(c, {1: [0]}, near, 2)) == [("b", "c")]
+    for refused in (lambda: M.bindings_all(c, 2), lambda: M.bindings_valid(c, {}, None, 2)):
+        with pytest.raises(ValueError, match="more than 3 choices"):
+            refused()
+    monkeypatch.undo()
     with pytest.raises(ValueError):
         M.bindings_valid(c, {0: [1]}, near, 2)
 

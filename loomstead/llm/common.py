@@ -170,3 +170,21 @@ class TwoGenerations(dict):
         self.held = held
         self[key] = value
         return value
+
+
+def numbered(df: DataFrame, order: list[Column], name: str, tag: str) -> DataFrame:
+    """``df`` with ``name``, the 1-based number (long) of each row in the given order over the whole table.
+
+    Rows are dealt out in ranges of the order, sorted, and written with their place in the range; only the sizes
+    of the ranges, one number for each, are added up. Rows equal in the order are numbered in either order.
+    """
+    place, part, n, before = (free_name(df, x) for x in ("place", "part", "n", "before"))
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(place, F.monotonically_increasing_id())
+    rows = kept(dealt.withColumn(part, F.shiftright(place, 33).cast("int")).withColumn(place, F.col(place).bitwiseAND((1 << 33) - 1)), tag)
+    sizes = {r[0]: r[1] for r in rows.groupBy(part).agg(F.count("*").alias(n)).collect()}
+    total, starts = 0, []
+    for k in sorted(sizes):
+        starts.append((k, total))
+        total += sizes[k]
+    offsets = df.sparkSession.createDataFrame(starts, f"{part} int, {before} long")
+    return rows.join(F.broadcast(offsets), part).withColumn(name, F.col(place) + F.col(before) + 1).select(*("`" + c.replace("`", "``") + "`" for c in df.columns), name)

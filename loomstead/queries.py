@@ -17,6 +17,7 @@ from loomstead.operators import transfers as V
 from loomstead.operators.protocols import TransformCatalog
 from loomstead.operators.select import select
 from loomstead.plans import derive as D
+from loomstead.plans import goals as G
 from loomstead.plans.rounds import checkpoint_root
 from loomstead.sources import documents as S
 from loomstead.sources import libraries as L
@@ -757,10 +758,13 @@ def _index(pdf):
     return pdf
 
 
-def closure(spark, d):
+def texts(spark, d):
     pairs = F.create_map(F.lit("data"), F.array(F.lit("text")), F.lit("lang"), F.array("lang"))
-    givens = table(spark, d, "documents").select(F.col("doc_id").alias("root"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), P.props_encode(pairs).alias("props"))
-    return D.derive_closure(givens, TRANSFORMS.requirements(spark), TRANSFORMS.products(spark))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("root"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), P.props_encode(pairs).alias("props"))
+
+
+def closure(spark, d):
+    return D.derive(texts(spark, d), TRANSFORMS.requirements(spark), TRANSFORMS.products(spark))
 
 
 CLOSURE = """WITH RECURSIVE t(src, dst, lang, step) AS (VALUES ('text', 'tokens', '%', 1), ('tokens', 'text2', '%', 1), ('tokens', 'index', 'en', 1)),
@@ -769,50 +773,116 @@ CLOSURE = """WITH RECURSIVE t(src, dst, lang, step) AS (VALUES ('text', 'tokens'
 
 @query(CLOSURE + "SELECT doc_id AS root, what, min(round) AS round FROM r GROUP BY 1, 2")
 def derive_closure(spark, d):
-    endpoints, _ = closure(spark, d)
     what = F.when(F.col("transform").isNull(), "text").when(F.col("transform") == "tokenize", "tokens").when(F.col("transform") == "detokenize", "text2").otherwise("index")
-    return endpoints.groupBy("root", what.alias("what")).agg(F.min("round").alias("round"))
+    return closure(spark, d).endpoints().groupBy("root", what.alias("what")).agg(F.min("round").alias("round"))
 
 
 @query("SELECT doc_id AS root, 'tokens' AS child_of, 1 AS n FROM documents UNION ALL SELECT doc_id, 'text2', 2 FROM documents UNION ALL SELECT doc_id, 'index', 2 FROM documents WHERE lang = 'en'")
 def lineage_propagate(spark, d):
-    endpoints, _ = closure(spark, d)
-    edges = D.lineage_propagate(endpoints)
+    known = closure(spark, d)
     what = F.when(F.col("transform") == "tokenize", "tokens").when(F.col("transform") == "detokenize", "text2").otherwise("index")
-    named = endpoints.where("transform is not null").select("root", F.col("id").alias("child"), what.alias("child_of"))
-    return edges.join(named, ["root", "child"]).groupBy("root", "child_of").agg(F.count("*").cast("int").alias("n"))
-
+    named = known.endpoints().where("transform is not null").select("root", F.col("id").alias("child"), what.alias("child_of"))
+    return known.lineage().join(named, ["root", "child"]).groupBy("root", "child_of").agg(F.count("*").cast("int").alias("n"))
 
-TARGETS = [(0, ['{"data":"index"}']), (1, ['{"from":"tokens"}'])]
 
-
-def plans(spark, d):
-    endpoints, applications = closure(spark, d)
-    return D.derivation_plan(endpoints, applications, spark.createDataFrame(TARGETS, "target_ix int, props array<string>"))
+def goals(spark, *targets):
+    """Targets (goal, target_ix, props, parents) as rows."""
+    return spark.createDataFrame(list(targets), G.TARGETS)
 
 
 @query("SELECT doc_id AS root, 0 AS target_ix, 1 AS step, 'tokenize' AS transform FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, 0, 2, 'index' FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, 1, 1, 'tokenize' FROM documents UNION ALL SELECT doc_id, 1, 2, 'detokenize' FROM documents")
 def derivation_plan(spark, d):
-    return plans(spark, d)[1].select("root", "target_ix", "step", "transform")
+    """Two goals of one target each."""
+    want = goals(spark, (0, 0, ['{"data":"index"}'], []), (1, 0, ['{"from":"tokens"}'], []))
+    steps = G.solve(texts(spark, d), TRANSFORMS.requirements(spark), TRANSFORMS.products(spark), want)[1]
+    return steps.select("root", F.col("goal").alias("target_ix"), "step", "transform")
+
+
+@query("SELECT doc_id AS root, step, transform FROM documents, (VALUES (1, 'tokenize'), (2, 'detokenize'), (3, 'index')) v(step, transform) WHERE lang = 'en'")
+def derivation_joint(spark, d):
+    """An index and a text from tokens, wanted together: the tokens are made once."""
+    want = goals(spark, (0, 0, ['{"data":"index"}'], []), (0, 1, ['{"from":"tokens"}'], []))
+    return G.solve(texts(spark, d), TRANSFORMS.requirements(spark), TRANSFORMS.products(spark), want)[1].select("root", "step", "transform")
 
 
 @query("SELECT doc_id AS root, 2 AS n_steps FROM documents WHERE lang = 'en'")
 def batch_derivation(spark, d):
-    best, _ = plans(spark, d)
-    return best.where("target_ix = 0").select("root", "n_steps")
+    return D.batch_derivation(texts(spark, d), TRANSFORMS.requirements(spark), TRANSFORMS.products(spark), ['{"data":"index"}'])
+
+
+#: Three ways to a summary, and a translation before them for texts that aren't English.
+ROUTES = TransformCatalog()
+
+
+@ROUTES.register("summarize", [(['{"data":"text"}', '{"lang":"en"}'], [])], [(['{"data":"summary"}'], "summary")])
+def _summarize(pdf):
+    return pdf
+
+
+@ROUTES.register("shorten", [(['{"data":"text"}', '{"lang":"en"}'], [])], [(['{"data":"short"}'], "short")])
+def _shorten(pdf):
+    return pdf
+
+
+@ROUTES.register("condense", [(['{"data":"short"}'], [])], [(['{"data":"summary"}'], "summary")])
+def _condense(pdf):
+    return pdf
+
+
+@ROUTES.register("translate", [(['{"data":"text"}', '{"lang":"de"}'], [])], [(['{"data":"text"}', '{"lang":"en"}'], "english")])
+def _translate(pdf):
+    return pdf
+
+
+@query("WITH w(lang, rank, steps) AS (VALUES ('en', 1, 'summarize'), ('en', 2, 'shorten,condense'), ('de', 1, 'translate,summarize'), ('de', 2, 'translate,shorten,condense')) SELECT doc_id AS root, w.rank::INT AS rank, len(string_split(steps, ','))::INT AS n_steps, steps, true AS exact FROM documents JOIN w USING (lang)")
+def derivation_alternatives(spark, d):
+    """The ways to a summary, shortest first."""
+    plans, steps = G.solve(texts(spark, d), ROUTES.requirements(spark), ROUTES.products(spark), goals(spark, (0, 0, ['{"data":"summary"}'], [])), k=3)
+    named = steps.groupBy("root", "rank").agg(F.array_sort(F.collect_list(F.struct("step", "transform"))).alias("s")).select("root", "rank", F.array_join(F.col("s.transform"), ",").alias("steps"))
+    return plans.join(named, ["root", "rank"]).select("root", "rank", "n_steps", "steps", "exact")
+
+
+#: What is done with an order: its lines are packed one by one, a parcel gets a label, an order an invoice.
+SHIPPING = TransformCatalog()
+
+
+@SHIPPING.register("pack", [(['{"data":"order"}'], []), (['{"data":"line"}'], [0])], [(['{"data":"parcel"}'], "parcel")])
+def _pack(pdf):
+    return pdf
+
+
+@SHIPPING.register("label", [(['{"data":"parcel"}'], [])], [(['{"data":"label"}'], "label")])
+def _label(pdf):
+    return pdf
+
+
+@SHIPPING.register("invoice", [(['{"data":"order"}', '{"status":"F"}'], [])], [(['{"data":"invoice"}'], "invoice")])
+def _invoice(pdf):
+    return pdf
+
+
+@query("WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag FROM lineitem), g AS (SELECT l_orderkey, count(DISTINCT (l_linenumber, l_partkey, l_suppkey)) AS n FROM l WHERE l_returnflag = 'R' GROUP BY 1)"
+ " SELECT o_orderkey AS root, 3 AS n_steps, true AS exact, true AS returned FROM orders JOIN g ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F'")
+def derivation_linked(spark, d):
+    """Finished orders: a returned line, a parcel and label made from that very line, and the order's invoice."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("root"), F.lit("order").alias("id"), P.props_encode(F.create_map(F.lit("data"), F.array(F.lit("order")), F.lit("status"), F.array("o_orderstatus"))).alias("props"), F.array().cast("array<string>").alias("parents"))
+    flags = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.max("l_returnflag").alias("flag"), F.collect_set("l_returnflag").alias("flags"))
+    pairs = F.create_map(F.lit("data"), F.array(F.lit("line")), F.lit("flag"), "flags")
+    lines = flags.join(orders.select("root"), F.col("l_orderkey") == F.col("root"), "left_semi").select(F.col("l_orderkey").alias("root"), F.concat_ws("_", "flag", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), P.props_encode(pairs).alias("props"), F.array(F.lit("order")).alias("parents"))
+    want = goals(spark, (0, 0, ['{"flag":"R"}'], []), (0, 1, ['{"data":"parcel"}'], [0]), (0, 2, ['{"data":"label"}'], [1]), (0, 3, ['{"data":"invoice"}'], []))
+    plans, _ = G.solve(orders.unionByName(lines), SHIPPING.requirements(spark), SHIPPING.products(spark), want)
+    return plans.select("root", "n_steps", "exact", F.get("uses", F.lit(0)).startswith("R").alias("returned"))
 
 
 @query("SELECT doc_id AS root, 'tokenize' AS transform, 1 AS round FROM documents UNION ALL SELECT doc_id, 'detokenize', 2 FROM documents UNION ALL SELECT doc_id, 'index', 2 FROM documents WHERE lang = 'en'")
 def plan_consolidate(spark, d):
-    _, applications = closure(spark, d)
-    return D.plan_consolidate(applications).select("root", "transform", "round")
+    return D.plan_consolidate(closure(spark, d).applications()).select("root", "transform", "round")
 
 
 @query("SELECT doc_id AS root, CASE WHEN lang = 'en' THEN 4 ELSE 3 END AS n_endpoints, 2 AS last_round FROM documents")
 def cycle_guard(spark, d):
     """The cycle of tokens and text ends."""
-    endpoints, _ = closure(spark, d)
-    return endpoints.groupBy("root").agg(F.count("*").cast("int").alias("n_endpoints"), F.max("round").alias("last_round"))
+    return closure(spark, d).endpoints().groupBy("root").agg(F.count("*").cast("int").alias("n_endpoints"), F.max("round").alias("last_round"))
 
 
 @query("SELECT doc_id AS root, 1 AS produced FROM documents")

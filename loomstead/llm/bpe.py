@@ -4,7 +4,8 @@ A text of more than ``leaf_chars`` code points is cut into leaves of equal lengt
 are encoded alone and joined pairwise: a window around the join is encoded
 again and grows until, at either edge, its tokens agree with those of the side exactly, which holds where the
 edge is a place that no piece crosses, or where the token there is the same inside one run of equal kind, as
-every two neighbouring tokens of a piece are then merge-valid. Special strings stand alone in any case, so
+every two neighbouring tokens of a piece are then merge-valid. Edges are where a whole character begins; tokens there
+may be parts of characters, whose kinds are then looked at. Special strings stand alone in any case, so
 the stretches between them are encoded each as such a tree.
 
 Texts of more than ``spread_chars`` code points are dealt out as leaf rows, so that many tasks encode one
@@ -103,8 +104,9 @@ class Tree:
             held += len(known[k])
             if held >= size and known[k][0] & 0xC0 != 0x80:
                 whole = k if whole < 0 else whole
-                if known[k][0] == 32 and 32 < known[k - 1][-1] < 127:
-                    spaced = k  # before a space, after what is none: no piece crosses
+                # Before a space, after what is none, and where the kind changes: no piece crosses.
+                if known[k][0] == 32 and 32 < known[k - 1][-1] < 127 or self._free(ids, i + k, n):
+                    spaced = k
                     break
         k = spaced if spaced >= 0 else whole
         if k < 0:  # all of it; where there is more, it may only not begin with a whole character
@@ -122,7 +124,7 @@ class Tree:
             held += len(known[k - 1])
             if held >= size and known[k][0] & 0xC0 != 0x80:
                 whole = k if whole < 0 else whole
-                if known[k][0] == 32 and 32 < known[k - 1][-1] < 127:
+                if known[k][0] == 32 and 32 < known[k - 1][-1] < 127 or self._free(ids, k, m):
                     spaced = k
                     break
         k = spaced if spaced >= 0 else whole
@@ -132,31 +134,42 @@ class Tree:
             k = m
         return k, b"".join(known[:k]), spaced >= 0
 
-    def _near(self, ids: bytes, a: int, b: int, n: int) -> tuple[str, int, int]:
-        """The text of tokens a to b with up to four code points on both sides, and how many there are on each."""
-        before = self._bytes(ids, max(0, a - 16), a).decode("utf-8", "ignore")[-4:]
-        after = self._bytes(ids, b, min(n, b + 16)).decode("utf-8", "ignore")[:4]
-        return before + self._bytes(ids, a, b).decode() + after, len(before), len(after)
-
-    def _same_run(self, ids: bytes, k: int, n: int) -> bool:
-        """Whether token k and four code points on either side are a run of one kind without an apostrophe."""
-        try:
-            text, before, after = self._near(ids, k, k + 1, n)
-        except UnicodeDecodeError:
-            return False
-        return before == 4 and after == 4 and "'" not in text and len({kind_of(c) for c in text}) == 1
+    def _near(self, ids: bytes, k: int, n: int) -> tuple[str, int]:
+        """Four code points before and after the place before token k, where a whole character begins, and how many are before."""
+        before = self._bytes(ids, max(0, k - 16), k).decode("utf-8", "ignore")[-4:]
+        return before + self._bytes(ids, k, min(n, k + 16)).decode("utf-8", "ignore")[:4], len(before)
+
+    def _free(self, ids: bytes, k: int, n: int) -> bool:
+        near, before = self._near(ids, k, n)
+        return 0 < before < len(near) and free_cut(near, before)
+
+    def _same_run(self, ids: bytes, k: int, n: int, begins: bool) -> bool:
+        """Whether token k, with the characters that it has a part of, and four code points on either side are a run of one kind without an apostrophe.
+
+        The token begins (or else ends) where a whole character does; its other end may be inside one.
+        """
+        own = len(self.token[unpacked(ids[4 * k : 4 * k + 4])[0]])
+        before, after = self._bytes(ids, max(0, k - 20), k + (not begins)), self._bytes(ids, k + (not begins), min(n, k + 21))
+        before, after = before.decode("utf-8", "ignore"), after.decode("utf-8", "ignore")
+        # As many code points as hold the token's bytes, on the side where they are.
+        mine, held = 0, 0
+        for c in after if begins else reversed(before):
+            if held >= own:
+                break
+            mine, held = mine + 1, held + len(c.encode())
+        text = before[-4 - (0 if begins else mine) :] + after[: 4 + (mine if begins else 0)]
+        return held >= own and len(text) == 8 + mine and "'" not in text and len({kind_of(c) for c in text}) == 1
 
     def _agrees_left(self, left: bytes, i: int, ids: bytes) -> bool:
         if i == 0:
             return True
-        near, before, _ = self._near(left, i, i, len(left) // 4)
-        return free_cut(near, before) or ids[:4] == left[4 * i : 4 * i + 4] and self._same_run(left, i, len(left) // 4)
+        n = len(left) // 4
+        return self._free(left, i, n) or ids[:4] == left[4 * i : 4 * i + 4] and self._same_run(left, i, n, True)
 
     def _agrees_right(self, right: bytes, j: int, m: int, ids: bytes) -> bool:
         if j == m:
             return True
-        near, before, _ = self._near(right, j, j, m)
-        return free_cut(near, before) or ids[-4:] == right[4 * j - 4 : 4 * j] and self._same_run(right, j - 1, m)
+        return self._free(right, j, m) or ids[-4:] == right[4 * j - 4 : 4 * j] and self._same_run(right, j - 1, m, False)
 
 
 @functools.lru_cache(maxsize=2)

@@ -78,7 +78,10 @@ def version_of(rule: tuple) -> str:
 
 
 class Ledger:
-    """What has been scanned, as Parquet batches below one folder."""
+    """What has been scanned, as Parquet batches below one folder.
+
+    Scans at once may both find a content that is in no batch yet; what they write is the same, and counts once.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or shared_dir(spark, "ledger")
@@ -91,7 +94,7 @@ class Ledger:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             return None
-        return read.groupBy("digest").agg(F.flatten(F.collect_list("versions")).alias("versions"), F.flatten(F.collect_list("spans")).alias("spans"))
+        return read.groupBy("digest").agg(F.array_distinct(F.flatten(F.collect_list("versions"))).alias("versions"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
 
     def scan(self, texts: DataFrame, rules: list[tuple] = RULES) -> None:
         """Scan the contents of ``texts`` (digest, text) for those rule versions that the ledger lacks."""

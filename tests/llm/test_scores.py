@@ -372,6 +372,22 @@ def test_ledger_scans_only_what_it_lacks(spark):
     assert sorted(spark.read.schema(secrets.LEDGER).parquet(f"{ledger.path}/batch-*").where("size(versions) = 1").select("versions").first()[0]) == ["assign@2"]
 
 
+def test_scans_at_once_count_once(spark, monkeypatch):
+    """Two scans that both saw an empty ledger, then the query's operator twice over it: nothing is doubled, nothing scanned anew."""
+    ledger, docs = secrets.Ledger(spark), docs_of(spark, [(1, "password=abcdefgh1 token=abcdefgh2"), (2, None), (3, "x")])
+    want = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(docs).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(secrets.Ledger, "rows", lambda self: None)
+        for _ in range(2):
+            ledger.scan(docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.coalesce("text", F.lit("")).alias("text")))
+    assert sorted(len(r["versions"]) for r in ledger.rows().collect()) == [len(secrets.RULES)] * 3
+    assert sum(len(r["spans"]) for r in ledger.rows().collect()) == 2
+    other = secrets.Ledger(spark)
+    for _ in range(2):
+        assert {r["doc_id"]: r["spans"] for r in secrets.find_secrets(docs, ledger=other).collect()} == want
+    assert spark.read.schema(secrets.LEDGER).parquet(f"{other.path}/batch-*").count() == 3
+
+
 def test_masks(spark):
     df = docs_of(spark, [(1, "é password=abcdefgh1 end"), (2, None), (3, "clean"), (4, "password=" + "ab" * 20)])
     got = {r["doc_id"]: (r["text"], r["source"]) for r in secrets.mask_secrets(df).collect()}

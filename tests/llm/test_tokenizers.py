@@ -86,6 +86,26 @@ def test_tree_concatenation_joins_exactly():
         assert unpacked(bpe.tree_of(BYTES, 16).encode(long)) == library.encode(long).ids
 
 
+@pytest.mark.parametrize("script", ["Chinese", "Thai", "emoji", "Cyrillic", "words", "one"])
+def test_windows_stay_short_in_every_script(script):
+    """100,000 code points are encoded hardly more than once, in windows that don't grow, whatever tokens are parts of characters."""
+    pick = {
+        "Chinese": lambda r: chr(r.randint(0x4E00, 0x9FFF)) if r.random() < 0.95 else "，",
+        "Thai": lambda r: chr(r.randint(0xE01, 0xE3A)),
+        "emoji": lambda r: chr(r.randint(0x1F300, 0x1F5FF)),
+        "Cyrillic": lambda r: chr(r.randint(0x430, 0x44F)),
+        "words": lambda r: chr(r.randint(0x430, 0x44F)) if r.random() < 0.85 else " ",
+        "one": lambda r: "\u4e2d",
+    }[script]
+    r, sizes = random.Random(1), []
+    text = "".join(pick(r) for _ in range(100_000))
+    code = coder(public_tokenizers.path("byte_bpe_50k.json"))
+    tree = bpe.Tree(code, lambda t: (sizes.append(len(t)), code.packed_text(t))[1])
+    got = list(unpacked(tree.encode(text)))
+    assert got == Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert sum(sizes) < 1.3 * len(text) and max(sizes) <= bpe.LEAF_CHARS
+
+
 def test_given_texts_are_joined_from_halves(spark):
     """On the given table, too, longer texts come from joins; none is encoded as a whole."""
     library, tree = Tokenizer.from_file(BYTES), bpe.tree_of(BYTES, bpe.LEAF_CHARS)

@@ -24,17 +24,22 @@ def link_graph(links: DataFrame) -> DataFrame:
     return there.unionByName(back)
 
 
-def trace_path(links: DataFrame, source: str, target: str, via: list[str] | None = None) -> list[tuple[str, str, str, bool]]:
+def trace_path(links: DataFrame | list[tuple[str, str, str, int]], source: str, target: str, via: list[str] | None = None) -> list[tuple[str, str, str, bool]]:
     """Steps (from, to, si_name, forward) of a shortest path; ties by (table, index) order, forward links first.
 
-    ``via`` names tables to pass in order. No path is a LookupError; from a table to itself there are no steps.
+    Links are a table, or declared rows (table_name, si_name, target, ord), for which no job runs. ``via`` names
+    tables to pass in order. No path is a LookupError; from a table to itself there are no steps.
     """
-    rows = link_graph(links).limit(MOST_LINKS + 1).collect()
+    if isinstance(links, list):
+        last = {(a, b): name for a, name, b, _ in sorted(links, key=lambda x: x[3])}
+        rows = [x for (a, b), name in last.items() for x in ((a, b, name, True), (b, a, name, False))]
+    else:
+        rows = [tuple(r) for r in link_graph(links).limit(MOST_LINKS + 1).collect()]
     if len(rows) > MOST_LINKS:
         raise ValueError(f"there are more than {MOST_LINKS} links")
     around: dict[str, list[tuple[str, str, str, bool]]] = {}
-    for r in sorted(rows, key=lambda r: (not r["forward"], r["target"], r["si_name"])):
-        around.setdefault(r["source"], []).append((r["source"], r["target"], r["si_name"], r["forward"]))
+    for step in sorted(rows, key=lambda r: (not r[3], r[1], r[2])):
+        around.setdefault(step[0], []).append(step)
     out = []
     stops = [source, *(via or ()), target]
     for a, b in zip(stops, stops[1:]):  # noqa: B905
@@ -105,16 +110,18 @@ def trace_maps(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def reachable(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """All (source, target) pairs joined by one edge or more, on a graph that may have cycles.
 
-    Semi-naive rounds: only new pairs are extended, and each round is written to the checkpoint folder.
+    Paths double in each round, so there are as many rounds as the longest distance has binary digits. A pair keeps
+    its distance; pairs beyond the last round's reach are made of one at exactly that distance and a nearer one, so
+    that each round joins what lies at one distance only with what is known, and writes only what is new.
     """
     from loomstead.plans.rounds import settled
 
-    seen = settled(edges.select("source", "target").distinct())
-    new = seen
-    for _ in range(most_rounds):
-        more = new.join(edges.select(F.col("source").alias("target"), F.col("target").alias("__next")), "target").select("source", F.col("__next").alias("target")).distinct()
-        new = settled(more.join(seen, ["source", "target"], "left_anti"))
+    seen = settled(edges.select("source", "target").where("source is not null and target is not null").distinct().withColumn("far", F.lit(1).cast("long")))
+    for n in range(most_rounds):
+        at = seen.where(F.col("far") == 1 << n).select("source", F.col("target").alias("__at"))
+        more = at.join(seen.select(F.col("source").alias("__at"), "target", "far"), "__at").groupBy("source", "target").agg((F.min("far") + (1 << n)).alias("far"))
+        new = settled(more.join(seen.select("source", "target"), ["source", "target"], "left_anti"))
         if new.isEmpty():
-            return seen
-        seen = settled(seen.unionByName(new))
+            return seen.select("source", "target")
+        seen = seen.unionByName(new)  # all parts are checkpointed
     raise RuntimeError(f"reachability did not settle in {most_rounds} rounds")

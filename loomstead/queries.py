@@ -19,9 +19,11 @@ from loomstead.operators.select import select
 from loomstead.plans import derive as D
 from loomstead.plans import goals as G
 from loomstead.plans.rounds import checkpoint_root
+from loomstead.plans.store import ClosureStore
 from loomstead.sources import documents as S
 from loomstead.sources import libraries as L
 from loomstead.sources import logs
+from loomstead.sources.index import StoredIndex
 from loomstead.streaming import logs as streams
 
 QUERIES: dict = {}
@@ -82,21 +84,22 @@ def postings(spark, d, build=S.si_rows):
     return out
 
 
-def declared(spark, d):
-    """Links as declared, checked against the tables' schemas; no data are read."""
+def declared(spark, d) -> list[tuple[str, str, str, int]]:
+    """Links as declared (table, index, target, number), checked against the tables' schemas; no data are read."""
     rows = []
     for name, (_, indexes) in FOREIGN.items():
         columns = table(spark, d, name).columns
         for index, (column, target) in indexes.items():
             if column not in columns or target not in ("part", *FOREIGN, "region"):
                 raise ValueError(f"the link {index} has no column {column} or no table {target}")
-            rows.append((name, column, index, target, len(rows)))
-    return spark.createDataFrame(rows, "table_name string, column string, si_name string, target string, ord int")
+            rows.append((name, index, target, len(rows)))
+    return rows
 
 
 def links(spark, d):
     """Declared links that have postings in the data."""
-    return declared(spark, d).join(postings(spark, d).select("table_name", "si_name").distinct(), ["table_name", "si_name"])
+    rows = spark.createDataFrame(declared(spark, d), "table_name string, si_name string, target string, ord int")
+    return rows.join(postings(spark, d).select("table_name", "si_name").distinct(), ["table_name", "si_name"])
 
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS key, CAST(json_object('c_custkey', c_custkey, 'c_name', c_name, 'c_nationkey', c_nationkey, 'c_mktsegment', c_mktsegment) AS VARCHAR) AS json FROM customer")
@@ -203,6 +206,14 @@ def si_lookup_wildcard(spark, d):
     return S.si_lookup(*part_index(spark, d), "brand#1*")
 
 
+@query(PART_JSON + "p_brand ILIKE 'brand#1%' UNION ALL " + PART_JSON + "p_type ILIKE '%ass%'")
+def si_lookup_trigram(spark, d):
+    """Patterns over a stored index of brands and types: only trigrams of the patterns are read."""
+    docs, si = part_index(spark, d)
+    index = StoredIndex(spark, scratch(spark, "index")).write(si)
+    return index.lookup(docs, "brand#1*", "brand").unionByName(index.lookup(docs, "*ass*"))
+
+
 def tables_registry(spark, d):
     names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
     keys = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"], "lineitem": FOREIGN["lineitem"][0], "events": ["event_id"]}
@@ -785,6 +796,16 @@ def lineage_propagate(spark, d):
     return known.lineage().join(named, ["root", "child"]).groupBy("root", "child_of").agg(F.count("*").cast("int").alias("n"))
 
 
+@query(CLOSURE + "SELECT doc_id AS root, what, min(round) AS round FROM r GROUP BY 1, 2")
+def derive_incremental(spark, d):
+    """English and German texts first, then all: what the first ones' kinds lead to is looked up."""
+    store = ClosureStore(spark, scratch(spark, "closures"), TRANSFORMS.requirements(spark), TRANSFORMS.products(spark))
+    every = texts(spark, d)
+    store.extend(every.where(F.exists("props", lambda p: p.isin('{"lang":"en"}', '{"lang":"de"}'))))
+    what = F.when(F.col("transform").isNull(), "text").when(F.col("transform") == "tokenize", "tokens").when(F.col("transform") == "detokenize", "text2").otherwise("index")
+    return store.extend(every).endpoints().groupBy("root", what.alias("what")).agg(F.min("round").alias("round"))
+
+
 def goals(spark, *targets):
     """Targets (goal, target_ix, props, parents) as rows."""
     return spark.createDataFrame(list(targets), G.TARGETS)

@@ -89,7 +89,7 @@ def types_load(spark: SparkSession, path: str) -> DataFrame:
 
 def types_packed(types: DataFrame) -> DataFrame:
     """(namespace, document): one JSON document a namespace, from (namespace, name, props[, ontology])."""
-    ontology = F.first("ontology") if "ontology" in types.columns else F.struct(F.lit("EDAM").alias("name"), F.lit(1.25).alias("version"), F.lit("").alias("doi"), F.lit(True).alias("strict"))
+    ontology = F.min("ontology") if "ontology" in types.columns else F.struct(F.lit("EDAM").alias("name"), F.lit(1.25).alias("version"), F.lit("").alias("doi"), F.lit(True).alias("strict"))
     one = F.struct("name", "props")
     got = types.groupBy("namespace").agg(F.array_sort(F.collect_list(one)).alias("t"), ontology.alias("ontology"))
     # Property strings are JSON already: {"k":v} or [v].

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomstead.plans import derive as D
 from loomstead.plans import goals as G
 from loomstead.plans import shapes as H
+from loomstead.plans import store as ST
 
 REQUIREMENTS = "transform string, req_ix int, props array<string>, parent_ix array<int>"
 PRODUCTS = "transform string, prod_ix int, props array<string>"
@@ -250,6 +251,31 @@ def test_large_roots_keep_their_ids(spark, monkeypatch):
     assert got[0] == got[1] and len(got[0][0]) == 4
 
 
+def test_stored_closures_derive_only_new_shapes(spark, tmp_path, monkeypatch):
+    """Any split of the givens leads to what one run over all of them leads to."""
+    rng = random.Random(2)
+    rows = [(f"r{k}", f"p{k}{x}", [x], [f"p{k}a"] if x == "b" else None) for k in range(12) for x in sorted(rng.sample("abcd", rng.randint(1, 3)) + ["a"])]
+    rows = list({r[1]: r for r in rows}.values())
+    g = spark.createDataFrame(rows, GIVENS)
+    _, rq, pr, _ = tables(spark, [], {"f": ([("a", []), ("b", [0])], ["x"]), "g": ([("x", []), ("c", [])], ["y"])}, [[("y", [])]])
+    ends = lambda c: sorted((r["root"], r["id"], r["transform"] or "", r["round"]) for r in c.endpoints().collect())
+    edges = lambda c: sorted(map(tuple, c.lineage().collect()))
+    full = D.derive(g, rq, pr)
+    store = ST.ClosureStore(spark, tmp_path.as_uri(), rq, pr)
+    some = F.col("root").isin([f"r{k}" for k in range(5)])
+    store.extend(g.where(some))
+    seen, real = [], ST.rounds
+    monkeypatch.setattr(ST, "rounds", lambda new, *a: (seen.append(new.select("root").distinct().count()), real(new, *a))[1])
+    kinds = lambda df: H.shapes_of(df, store.matter).roots.select("shape").distinct()
+    fresh = kinds(g).join(kinds(g.where(some)), "shape", "left_anti").count()
+    again = store.extend(g)
+    assert seen == ([fresh] if fresh else []) and ends(again) == ends(full) and edges(again) == edges(full)
+    seen.clear()
+    more = store.extend(g.where("root = 'r7'"))
+    assert not seen and ends(more) == [e for e in ends(full) if e[0] == "r7"]
+    assert ST.ClosureStore(spark, tmp_path.as_uri(), rq.where("transform = 'f'"), pr).path != store.path
+
+
 def test_nothing_given(spark):
     g, rq, pr, ts = tables(spark, [], one(("a", "b")), [[("b", [])]])
     plans, steps = G.solve(g, rq, pr, ts)

@@ -18,6 +18,7 @@ from loomstead.plans import derive as D
 from loomstead.sources import documents as S
 from loomstead.sources import libraries as L
 from loomstead.sources import logs
+from loomstead.sources.index import StoredIndex
 from loomstead.streaming import logs as streams
 
 STRINGS = "array<string>"
@@ -169,6 +170,47 @@ def test_reachability_with_a_cycle(spark):
     assert got == {(a, b) for a in [*places, "inn"] for b in places}
 
 
+def test_patterns_by_trigrams_are_those_of_a_scan(spark, tmp_path):
+    r = random.Random(12)
+    keys = ["", "ab", "Abc", "ABCD", "x_abc_y", "a%c", "aé日bc", "ßSS", "\u212aelvin", "back\\slash"] + ["".join(r.choice("abcAB#1_") for _ in range(r.randint(0, 9))) for _ in range(120)]
+    si = spark.createDataFrame([(r.choice("nm"), k, str(n)) for n, k in enumerate(keys)] + [("n", None, "0"), ("n", "Abc", "2")], "si_name string, si_key string, parent_key string")
+    docs = spark.createDataFrame([(str(n), "{}") for n in range(len(keys))], "key string, json string")
+    index = StoredIndex(spark, f"{tmp_path.as_uri()}/index").write(si)
+    for pattern, name in (("*abc*", None), ("abc*", "n"), ("*a_c", None), ("%b#1%", "m"), ("*", None), ("Abc", None), ("kelv*", None), ("*k\\sl*", None), ("*abcab*", "none"), ("*bc*ab*", None)):
+        assert sorted(map(tuple, index.lookup(docs, pattern, name).collect())) == sorted(map(tuple, S.si_lookup(docs, si, pattern, name).collect())), pattern
+    plan = index.lookup(docs, "abca*", "n")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan or "part#" in plan.split("PartitionFilters: [", 1)[1][:300]
+    assert index.lookup(docs, "*abc*", distinct=True).count() <= index.lookup(docs, "*abc*").count()
+    with pytest.raises(Exception, match="exists"):
+        index.write(si)
+
+
+def test_declared_links_need_no_job(spark):
+    df = spark.createDataFrame(LINKS, "table_name string, si_name string, target string, ord int")
+    for ends in (("a", "d"), ("d", "b"), ("a", "b"), ("a", "a"), ("a", "d", ["b"])):
+        assert R.trace_path(LINKS, *ends) == R.trace_path(df, *ends)
+    with pytest.raises(LookupError):
+        R.trace_path(LINKS, "a", "y")
+
+
+def test_long_chains_and_cycles(spark):
+    """Longer than any number of rounds: distances double."""
+    n = 200
+    chain = [(k, k + 1) for k in range(n)] + [(None, 1), (3, None)]
+    got = {tuple(r) for r in R.reachable(spark.createDataFrame(chain, "source int, target int"), most_rounds=9).collect()}
+    assert got == {(a, b) for a in range(n) for b in range(a + 1, n + 1)}
+    ring = spark.createDataFrame([(k, (k + 1) % n) for k in range(n)], "source int, target int")
+    assert R.reachable(ring, most_rounds=9).count() == n * n
+    r = random.Random(6)
+    edges = {(r.randint(0, 25), r.randint(0, 25)) for _ in range(40)}
+    want = set(edges)
+    while more := {(a, d) for a, b in want for c, d in edges if b == c} - want:
+        want |= more
+    assert {tuple(x) for x in R.reachable(spark.createDataFrame(sorted(edges), "source int, target int")).collect()} == want
+    with pytest.raises(RuntimeError):
+        R.reachable(ring, most_rounds=3)
+
+
 def test_upsert_policies(spark):
     old = spark.createDataFrame([("l", "a", "t::1", 0), ("l", "b", "t::1", 1)], "lib string, path string, dtype_name string, ord int")
     new = spark.createDataFrame([("l", "b", "t::2", 5), ("l", "c", "t::2", 6)], "lib string, path string, dtype_name string, ord int")

@@ -2,14 +2,16 @@
 
 A page becomes a stream of tokens: block elements that begin or end, and text slots, which are known by the
 block elements around them. Neighbouring repeats of a run of tokens fold into a repeated group. The streams of
-a host are aligned: a longest common subsequence stays, what one side has alone becomes optional. The result
-is the host's wrapper, a sequence of tokens each with a mark for optional and for repeated; neighbours of equal
+a host are aligned: a longest common subsequence stays, what one side has alone becomes optional, and optional
+blocks that come in any order and number become one repeated group with each kind of block once, so that a wrapper
+is as long as a host has kinds of blocks, not pages. The result is the host's wrapper, a sequence of tokens each with a mark for optional and for repeated; neighbours of equal
 marks are its groups (``regex_of`` writes them out).
 
 Every page is then matched with its host's wrapper, which gives each of its texts a slot. Slots are judged by
 what they hold over the host: a slot with one and the same text on all pages that have it, while those pages
 differ, is the template's; a slot in an element that never holds an article (menus, asides, footers, forms; or
-one whose class, id or role is exactly such a word, unless the article is inside it) is none; of what is left, the slots in an article or main element are content,
+one whose class, id or role is exactly such a word, unless the article is inside it) is none; inside an article, a
+word that may as well be its subject (``social``) counts only where the element holds links or a fixed text; of what is left, the slots in an article or main element are content,
 and where the host has none, those of the smallest element that holds most of the host's varying text beside
 links, and its headings. A page with no text in its host's content slots is judged by its own slots alone.
 
@@ -21,14 +23,17 @@ are at most ``most_bytes`` long, by a join on the host beyond.
 Null, empty or tagless pages give the text without markup (none: empty); a null URL is a host of its own;
 repeated rows have their own results, and count once where the template is told from the rest; other columns
 aren't read. Pages are read in linear time; an unclosed tag, comment or script hides what follows, as in
-browsers. Memory: one page, one wrapper and the streams of one group.
+browsers, but an unclosed menu or aside doesn't. Memory: one page, one wrapper and the streams of one group.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html as entities
+import itertools
 import json
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -55,7 +60,11 @@ IN_HEAD = VOID | RAW | {"template"}
 #: Elements that never hold a part of the article, blocks and others; and the same said by a class, id or role.
 NO_CONTENT = set("nav aside footer form dialog menu head search".split())
 SKIPPED = set("button select datalist svg template".split())
-NO_WORDS = set("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies footer header masthead menu modal nav navbar navigation newsletter notice popup promo related search share sharing sidebar social sponsor sponsored subscribe toolbar".split())
+NO_WORDS = set("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies footer masthead menu modal nav navbar navigation newsletter notice popup promo sidebar sponsor sponsored subscribe toolbar".split())
+#: Words that say so outside of an article, but inside one may as well be what a part of it is about.
+MAYBE_WORDS = set("header related search share sharing social".split())
+#: Elements of the page's frame that hide the rest of a page if their end is missing; they are then taken for nothing.
+UNENDED = set("nav aside dialog menu search".split())
 MAIN = {"article", "main"}
 HEADINGS = {"h1", "h2"}
 #: Elements of text that are not gone into when the one with most text is looked for; nor are those without blocks.
@@ -65,21 +74,29 @@ LETTERS = re.compile(r"[^a-z]+")
 DEPTH = 32
 GROUP = 16
 OPTIONAL, REPEATED = 1, 2
+#: A run of optional tokens that has one slot, or one tag, more often than this is a group in any order.
+SLOTS, TAGS = 2, 16
 
 
 def label(name: str, rest: str) -> str:
-    """An element as part of a slot's name: ``tag.words``; a ``!`` first if its marks say it holds no article."""
+    """An element as part of a slot's name: ``tag.words``; first a ``!`` if its marks say it holds no article, a ``?`` if they may."""
     if not rest:
         return name
     words = [w for v in MARKED.findall(rest) for w in v.strip("\"'").lower().split()]
     out = ".".join([name, *sorted({x for w in words for x in LETTERS.split(w) if x})])
-    return "!" + out if name not in ("html", "body") and not NO_WORDS.isdisjoint(words) else out
+    if name in ("html", "body"):
+        return out
+    return "!" + out if not NO_WORDS.isdisjoint(words) else "?" + out if not MAYBE_WORDS.isdisjoint(words) else out
 
 
-def tokens_of(page: str) -> list[tuple[str, str, int]]:
-    """(token, text, code points in links) of a page: ``+tag``, ``-tag``, or ``#path`` with its text, undecoded."""
+def tokens_of(page: str, ignored: frozenset[int] = frozenset()) -> list[tuple[str, str, int]]:
+    """(token, text, code points in links) of a page: ``+tag``, ``-tag``, or ``#path`` with its text, undecoded.
+
+    Where menus and the like never end, the page is read once more with these elements, by their places, ignored.
+    """
     out: list[tuple[str, str, int]] = []
     names, paths, solid, skips = [""], ["#"], [0], 0  # open elements, their slots, which are blocks, and how many are skipped
+    places, lost = [-1], set()  # where the open elements begin; which of the frame's never end
     open_, held, links = Counter(), [], 0
     at, n, plain = 0, len(page), False
 
@@ -95,8 +112,12 @@ def tokens_of(page: str) -> list[tuple[str, str, int]]:
     def close(k: int):
         """Ends the elements from the k-th on."""
         nonlocal skips
+        whole = names[k] in ("html", "body")
         while len(names) > k:
             name = names[-1]
+            begun = places.pop()
+            if whole and name in UNENDED:
+                lost.add(begun)
             if solid[-1] == len(names) - 1 and len(solid) > 1:
                 flush()
                 solid.pop()
@@ -160,7 +181,7 @@ def tokens_of(page: str) -> list[tuple[str, str, int]]:
             close(solid[-1])
             if name == "tr" and names[solid[-1]] == "tr":
                 close(solid[-1])
-        block = name in BLOCK
+        block = name in BLOCK and begin not in ignored
         if block:
             flush()
             out.append(("+" + name, "", 0))
@@ -170,10 +191,12 @@ def tokens_of(page: str) -> list[tuple[str, str, int]]:
         else:
             paths.append(paths[-1])
         names.append(name)
+        places.append(begin)
         open_[name] += 1
         skips += name in SKIPPED
     flush()
-    return out
+    lost.update(b for b, name in zip(places, names, strict=True) if name in UNENDED)
+    return tokens_of(page, frozenset(lost)) if lost and not ignored else out
 
 
 @functools.lru_cache(maxsize=64)
@@ -218,10 +241,11 @@ def _folded(items: list, size: int) -> list:
     return out
 
 
-def common(a: list[str], b: list[str], most_bits: int = 1 << 30) -> list[tuple[int, int]]:
+def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Index pairs of a longest common subsequence: rows of its table are bits of whole numbers.
 
-    Beyond ``most_bits`` table cells only the common beginning and end are paired.
+    Only one row in about the square root of their number is kept; the rows between two of these are made again on
+    the way back, so memory is len(b) * sqrt(len(a)) bits for lists of any length.
     """
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
@@ -231,25 +255,35 @@ def common(a: list[str], b: list[str], most_bits: int = 1 << 30) -> list[tuple[i
         tail += 1
     inner_a, inner_b = a[head : len(a) - tail], b[head : len(b) - tail]
     pairs: list[tuple[int, int]] = []
-    if inner_a and inner_b and len(inner_a) * len(inner_b) <= most_bits:
+    if inner_a and inner_b:
         places: dict[str, int] = defaultdict(int)
         for k, t in enumerate(inner_b):
             places[t] |= 1 << k
-        full = (1 << len(inner_b)) - 1
-        row, rows = full, []
-        for t in inner_a:
-            found = row & places.get(t, 0)
-            row = ((row + found) | (row - found)) & full
-            rows.append(row)
-        i, j = len(inner_a), len(inner_b)
-        while i and j:
-            if rows[i - 1] >> (j - 1) & 1:
-                j -= 1
-            else:
-                i -= 1
-                if i == 0 or rows[i - 1] >> (j - 1) & 1:
+        full, size = (1 << len(inner_b)) - 1, math.isqrt(len(inner_a)) + 1
+
+        def rows_of(row: int, part: list[str]):
+            for t in part:
+                found = row & places.get(t, 0)
+                row = ((row + found) | (row - found)) & full
+                yield row
+
+        first = [full]  # the rows before each part of ``size`` tokens
+        for k in range(0, len(inner_a) - size, size):
+            *_, last = rows_of(first[-1], inner_a[k : k + size])
+            first.append(last)
+        j = len(inner_b)
+        for part in range(len(first) - 1, -1, -1):
+            begin = part * size
+            rows = [first[part], *rows_of(first[part], inner_a[begin : begin + size])]
+            i = len(rows) - 1
+            while i and j:
+                if rows[i] >> (j - 1) & 1:
                     j -= 1
-                    pairs.append((head + i, head + j))
+                else:
+                    i -= 1
+                    if rows[i] >> (j - 1) & 1:
+                        j -= 1
+                        pairs.append((head + begin + i, head + j))
         pairs.reverse()
     return [(k, k) for k in range(head)] + pairs + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
 
@@ -258,7 +292,7 @@ Wrapper = tuple[list[str], list[int]]
 
 
 def align(a: Wrapper, b: Wrapper) -> Wrapper:
-    """The wrapper of two: what both have, and, marked optional, what one has alone."""
+    """The wrapper of two: what both have, and, marked optional, what one has alone, generalised."""
     tokens: list[str] = []
     marks: list[int] = []
     i = j = 0
@@ -269,9 +303,42 @@ def align(a: Wrapper, b: Wrapper) -> Wrapper:
             tokens.append(a[0][x])
             marks.append(a[1][x] | b[1][y])
         i, j = x + 1, y + 1
+    return general((tokens, marks))
+
+
+def general(wrapper: Wrapper) -> Wrapper:
+    """A wrapper whose size is bounded by its kinds of blocks, however many pages it stands for.
+
+    Where a run of optional tokens has a slot more than ``SLOTS`` times (or a tag more than ``TAGS``), its blocks come
+    in any order and number: the run becomes one repeated group of optional tokens, each once. Tokens that all pages
+    have stay between two such groups only if one of the groups lacks them.
+    """
+    runs: list[tuple[bool, list[str], list[int]]] = []  # (is a group of optional tokens, tokens, marks)
+    for optional, part in itertools.groupby(zip(*wrapper, strict=True), key=lambda x: bool(x[1] & OPTIONAL)):
+        tokens, marks = map(list, zip(*part, strict=True))
+        runs.append((optional and _any_order(tokens, marks), tokens, marks))
+    out: list[tuple[bool, list[str], list[int]]] = []
+    for run in runs:
+        out.append(run)
+        while len(out) > 2 and out[-1][0] and out[-3][0] and set(out[-2][1]) <= set(out[-1][1]) & set(out[-3][1]):
+            tokens = [t for part in out[-3:] for t in part[1]]
+            out[-3:] = [(True, tokens, [OPTIONAL | REPEATED] * len(tokens))]
+    tokens, marks = [], []
+    for group, part, of in out:
+        names = list(dict.fromkeys(part)) if group else part
+        tokens += names
+        marks += [OPTIONAL | REPEATED] * len(names) if group else of
     return tokens, marks
 
 
+def _any_order(tokens: list[str], marks: list[int]) -> bool:
+    """Whether a run has something too often; a run that is a group already, and nothing more, stays one."""
+    counts = Counter(tokens)
+    if any(n > (SLOTS if t[0] == "#" else TAGS) for t, n in counts.items()):
+        return True
+    return len(counts) == len(tokens) and all(m == OPTIONAL | REPEATED for m in marks)
+
+
 def regex_of(wrapper: Wrapper) -> str:
     """A wrapper written out: groups with ``?``, ``+`` or ``*`` (optional and repeated); text slots as ``#``."""
     out, k, (tokens, marks) = [], 0, wrapper
@@ -286,27 +353,56 @@ def regex_of(wrapper: Wrapper) -> str:
 
 
 def slots_of(stream: list[str], wrapper: list[str]) -> list[int]:
-    """For each token of a stream its place in the wrapper: by alignment, else the first place of an equal token, else -1."""
+    """For each token of a stream its place in the wrapper: by alignment, else that of an equal token nearest to where it lies, else -1."""
     out = [-1] * len(stream)
     for i, j in common(stream, wrapper):
         out[i] = j
-    first: dict[str, int] = {}
+    places: dict[str, list[int]] = defaultdict(list)
     for k, t in enumerate(wrapper):
-        first.setdefault(t, k)
-    return [first.get(t, -1) if k < 0 and t[0] == "#" else k for k, t in zip(out, stream, strict=True)]
+        if t[0] == "#":
+            places[t].append(k)
+    before = -1
+    for k, t in enumerate(stream):
+        if out[k] >= 0:
+            before = out[k]
+        elif t in places:
+            at = bisect.bisect(places[t], before)
+            out[k] = min(places[t][max(at - 1, 0) : at + 1], key=lambda p: abs(p - before))
+    return out
 
 
 def no_content(path: list[str]) -> bool:
-    """Whether a slot's elements say that it holds no part of an article: marks outside of the article don't count."""
+    """Whether a slot's elements say that it holds no part of an article: marks, and forms, outside of the article don't count."""
     inner = next((k for k in range(len(path) - 1, -1, -1) if is_main(path[k])), -1)
-    names = [p.lstrip("!").split(".")[0] for p in path]
-    return any(p[0] == "!" for p in path[inner + 1 :]) or any(x in NO_CONTENT for x in names) or inner < 0 and "header" in names
+    names = [p.lstrip("!?").split(".")[0] for p in path]
+    marked = any(p[0] == "!" for p in path[inner + 1 :]) or inner < 0 and any(p[0] == "?" for p in path)
+    return marked or "form" in names[inner + 1 :] or any(x in NO_CONTENT and x != "form" for x in names) or inner < 0 and "header" in names
 
 
 def is_main(element: str) -> bool:
     """An article or main element that isn't marked as something else, such as a reader's comment."""
     name, *words = element.split(".")
-    return name in MAIN or name[0] != "!" and words == ["main"]
+    return name in MAIN or name[0] not in "!?" and words == ["main"]
+
+
+def doubtful(slots: dict[int, list[str]], figures: dict[int, tuple]) -> set[int]:
+    """Slots inside elements of an article that may be none of it, by their marks, and aren't by what they hold.
+
+    Such an element is no part of the article if more than half of its text is in links, or on 3 differing pages the same.
+    """
+    parts: dict[tuple, list[int]] = defaultdict(list)
+    for k, p in slots.items():
+        inner = max((n for n, x in enumerate(p) if is_main(x)), default=-1)
+        at = next((n for n in range(inner + 1, len(p)) if p[n][0] == "?"), None)
+        if at is not None:
+            parts[tuple(p[: at + 1])].append(k)
+    out: set[int] = set()
+    for of in parts.values():
+        total = sum(figures[k][0] for k in of)
+        fixed = sum(figures[k][0] for k in of if figures[k][2] and figures[k][3] >= 3)
+        if 2 * sum(figures[k][1] for k in of) > total or 2 * fixed > total:
+            out.update(of)
+    return out
 
 
 def content_slots(wrapper: list[str], figures: dict[int, tuple], share: float = 0.6) -> list[int]:
@@ -316,6 +412,8 @@ def content_slots(wrapper: list[str], figures: dict[int, tuple], share: float =
     """
     slots = {k: wrapper[k].split("/")[1:] for k in figures if wrapper[k][0] == "#"}
     slots = {k: p for k, p in slots.items() if not no_content(p)}
+    doubts = doubtful(slots, figures)
+    slots = {k: p for k, p in slots.items() if k not in doubts}
     inside = {k: p for k, p in slots.items() if any(map(is_main, p))}
     fixed = lambda k, least: figures[k][2] and figures[k][3] >= least
     if inside:

@@ -2,9 +2,14 @@
 
 A base verdict comes first (too few words, or too many in repeated windows). Beyond it each document has one
 score: a logistic function of shares counted in its text (symbols, marks, capitals, repeated lines and words,
-length of words), fitted on a part of the labelled documents, drawn by a hash of the id and bounded by
+length of words), fitted on a part of the labelled documents, drawn by a hash of the text and bounded by
 ``most_fit`` rows, the only rows that come to the driver.
 
+Copies aren't independent trials: of the documents of one stratum and label whose smallest hash of a window of
+eight words is the same, one counts (that with the smallest hash of its id). That makes one of all exact copies, of
+near copies as likely as their windows are alike (about 0.7 at five-word similarity 0.8), and hardly of any others;
+what is made one is also on one side, in the fitting part or outside it.
+
 The other labelled documents certify. In each stratum cutoffs are tested from the mildest on a fixed grid: one
 is certified while the exact (Clopper-Pearson) upper bound of the rate at which it rejects documents labelled
 good stays within ``risk``, at confidence 1 - ``error`` / strata (Bonferroni); testing stops at the first
@@ -16,11 +21,11 @@ Of a stratum's certified cutoffs the one is used that gains most over all strata
 documents rejected less ``cost`` times the share of good ones. ``cost`` is a preference, not part of the
 guarantee: a lost good document weighs as ten kept bad ones do. Where none gains, nothing is rejected.
 
-Certifying counts are made in Spark over all labelled rows, and only counts by stratum and grid step come to
-the driver, for the ``most_strata`` strata with most labelled rows (the rest, and null, is one stratum more).
+Counts and cutoffs of the strata, of any number, are tables in Spark, joined back to the rows; null is a stratum
+like others. The driver sees two rows of totals.
 
 Null and empty texts have no words and fail the base verdict; every row has its own result, repeated and null
-ids too; a document with several labels counts once for each; ids missing from the labels are judged like
+ids too; a document with both labels counts once for each; ids missing from the labels are judged like
 others; an empty label table certifies nothing, so that all that pass the base verdict are kept; other columns
 pass through ``keep_good`` as they are. Memory: one text a task.
 """
@@ -28,15 +33,17 @@ pass through ``keep_good`` as they are. Memory: one text a task.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstead.llm.common import beside, col_of, kept
+from loomstead.llm.common import beside, col_of, kept, per_batch
 
 SYMBOLS, SPACE = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
-COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_marks long"
+COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_marks long, sketch long"
+NAMES = [c.split()[0] for c in COUNTS.split(", ")]
 #: What the score is made of, as SQL over the counts; all lie between 0 and 1.
 PARTS = {
     "symbols": "least(1, 4 * n_symbols / greatest(word_chars, 1))",
@@ -48,20 +55,26 @@ PARTS = {
     "repeated_words": "least(1, 5 * n_repeat_words / greatest(n_words, 1))",
     "long_words": "least(1, word_chars / greatest(n_words, 1) / 40)",
 }
+#: How many words the windows have whose smallest hash tells copies.
+SKETCH = 8
 #: Cutoffs of the score from mild to strict; a document is rejected from the cutoff on.
 GRID = [k / 200 for k in range(199, 9, -1)]
 
 
-def repeated_words(words: list[bytes], size: int = 5) -> int:
-    """How many words are in windows of ``size`` words that are found twice or more."""
-    n = len(words) - size + 1
-    if n < 2:
-        return 0
-    codes = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+def windows(codes: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of each window of ``size`` words, from 32-bit hashes of words."""
+    n = max(0, len(codes) - size + 1)
     mixed = np.zeros(n, np.uint64)
     for k in range(size):
-        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + (codes[k : k + n] ^ (codes[k : k + n] >> np.uint64(29)))
-    _, back, times = np.unique(mixed, return_inverse=True, return_counts=True)
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n]
+    return mixed
+
+
+def repeated_words(words: list[bytes], hashes: np.ndarray, size: int = 5) -> int:
+    """How many words are in windows of ``size`` words that are found twice or more."""
+    if len(hashes) < 2:
+        return 0
+    _, back, times = np.unique(hashes, return_inverse=True, return_counts=True)
     maybe = np.flatnonzero(times[back] > 1)
     if not len(maybe):
         return 0
@@ -85,15 +98,16 @@ def counted(text: str) -> tuple[int, ...]:
     lines = [x for x in raw.split(b"\n") if x.strip(SPACE)]
     plain = bare.translate(None, b"!?;:=~^@{}[]()\\/_-+\"'`")
     upper = sum(map(str.isupper, text)) if not text.isascii() else len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    return len(words), len(text) - (len(raw) - len(bare)), len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words), len(lines), upper, len(bare) - len(plain)
+    codes = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+    hashes = windows(codes, SKETCH)
+    sketch = int(hashes.min().view(np.int64)) if len(hashes) else 0
+    return len(words), len(text) - (len(raw) - len(bare)), len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words, windows(codes, 5)), len(lines), upper, len(bare) - len(plain), sketch
 
 
 def _counter():
-    names = [c.split()[0] for c in COUNTS.split(", ")]
-
     def step(rows):
-        got = list(zip(*(counted(t or "") for t in rows["text"]), strict=True)) or [()] * len(names)
-        return dict(zip(names, map(list, got), strict=True))
+        got = list(zip(*(counted(t or "") for t in rows["text"]), strict=True)) or [()] * len(NAMES)
+        return dict(zip(NAMES, map(list, got), strict=True))
 
     return step
 
@@ -171,43 +185,48 @@ def score(weights: list[float]) -> Column:
     return F.round(1 / (1 + F.exp(-total)), 9)
 
 
-def verdicts(rows: DataFrame, labels: DataFrame, id_col: str, risk: float, error: float, cost: float, most_strata: int, most_fit: int) -> Column:
-    """Whether a row of counts (id, stratum, base_failed) is kept, learned from those of ``rows`` that are labelled."""
+def verdicts(rows: DataFrame, labels: DataFrame, id_col: str, risk: float, error: float, cost: float, most_fit: int) -> DataFrame:
+    """Rows of counts (id, stratum, base_failed and others) with ``kept``, learned from those that are labelled."""
+    stratum = F.coalesce(F.concat(F.lit("="), "stratum"), F.lit("null"))
     known = labels.where("quality in (0, 1)").select(col_of(labels, id_col).alias("id"), (F.col("quality") == 1).alias("good"))
-    held = kept(rows.where(~F.col("base_failed")).select("id", "stratum", *(c.split()[0] for c in COUNTS.split(", "))).join(known, "id"), "labelled")
-    order = F.xxhash64(F.col("id").cast("string"))
-    to_fit = F.pmod(order, F.lit(4)) == 0
-    fit = held.where(to_fit).select("good", F.array(*(F.expr(p).cast("double") for p in PARTS.values())).alias("parts"), order.alias("order")).orderBy("order", "good", "parts").limit(most_fit)
+    order = F.xxhash64(F.col("id").cast("string")).alias("order")
+    labelled = rows.where(~F.col("base_failed")).select("id", stratum.alias("s"), *NAMES).join(known, "id").select("s", "good", F.struct(order, *NAMES).alias("row"))
+    one = labelled.groupBy("s", "good", "row.sketch").agg(F.min("row").alias("row"))
+    held = kept(one.select("s", "good", "row.*", (F.pmod(F.xxhash64("sketch"), F.lit(4)) == 0).alias("fit")), "labelled")
+    fit = held.where("fit").select("good", F.array(*(F.expr(p).cast("double") for p in PARTS.values())).alias("parts"), "order").orderBy("order", "good", "parts").limit(most_fit)
     scored = held.withColumn("score", score(weights := fitted([(r["good"], r["parts"]) for r in fit.collect()])))
-    large = [r[0] for r in held.where("stratum is not null").groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(most_strata).collect()]
-    named = F.when(F.col("stratum").isin(large), F.concat(F.lit("="), "stratum")).otherwise(F.lit("other")) if large else F.lit("other")
-    steps = [F.count_if(F.col("score") >= cut) for cut in GRID]
-    counts = scored.groupBy(named.alias("s"), "good", to_fit.alias("fit")).agg(F.count("*").alias("n"), F.array(*steps).alias("out")).collect()
+    counts = [F.count("*").alias("n"), F.array(*(F.count_if(F.col("score") >= cut) for cut in GRID)).alias("out")]
     gain = np.zeros(len(GRID))
-    for good, sign in ((True, -cost), (False, 1.0)):
-        of = [r for r in counts if r["good"] == good]
-        gain += sign * np.sum([r["out"] for r in of], axis=0, initial=0) / max(1, sum(r["n"] for r in of)) if of else 0
-    strata = {r["s"] for r in counts}
-    bad = F.lit(False)
-    for r in counts:
-        if r["good"] and not r["fit"]:
-            n = certified(r["n"], r["out"], risk, error / len(strata))
-            if n and gain[:n].max() > 0:
-                bad = bad | ((named == r["s"]) & (score(weights) >= GRID[int(gain[:n].argmax())]))
-    return F.when(F.col("base_failed"), False).otherwise(~bad)
-
-
-def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", risk: float = 0.05, error: float = 0.05, cost: float = 10.0, most_strata: int = 64, most_fit: int = 20_000) -> DataFrame:
+    for r in scored.groupBy("good").agg(*counts).collect():
+        gain += np.array(r["out"]) * (-cost if r["good"] else 1.0) / r["n"]
+    share = error / max(1, scored.agg(F.count_distinct("s")).first()[0])
+
+    def make():
+        def step(rows):
+            cuts = []
+            for n, out in zip(rows["n"], rows["out"], strict=True):
+                steps = certified(n, out, risk, share)
+                cuts.append(GRID[int(gain[:steps].argmax())] if steps and gain[:steps].max() > 0 else None)
+            yield {"s": rows["s"], "cut": cuts}
+
+        return step
+
+    cuts = kept(per_batch(scored.where("good and not fit").groupBy("s").agg(*counts), make, "s string, cut double"), "cutoffs")
+    judged = rows.withColumn("s", stratum).join(cuts, "s", "left")
+    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(score(weights) < F.col("cut"), F.lit(True))).drop("s", "cut")
+
+
+def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", risk: float = 0.05, error: float = 0.05, cost: float = 10.0, most_fit: int = 20_000) -> DataFrame:
     """id, the counts, base_failed and kept for every row; ``labels`` has the id and quality (1: good, 0: bad)."""
     rows = kept(measures(df, id_col, text_col, stratum_col), "measures").withColumn("base_failed", base_failed())
-    return rows.withColumn("kept", verdicts(rows, labels, id_col, risk, error, cost, most_strata, most_fit)).withColumnRenamed("id", id_col)
+    return verdicts(rows, labels, id_col, risk, error, cost, most_fit).withColumnRenamed("id", id_col)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", risk: float = 0.05, error: float = 0.05, cost: float = 10.0, most_strata: int = 64, most_fit: int = 20_000) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", risk: float = 0.05, error: float = 0.05, cost: float = 10.0, most_fit: int = 20_000) -> DataFrame:
     """``docs`` without the rows that are rejected, each by its own text; columns stay as they are."""
     plain = [f"c{k}" for k in range(len(docs.columns))]  # names that clash with none of the counts
     of = {c: col_of(docs, c) for c in docs.columns}
     rows = docs.select(*(of[c].alias(n) for c, n in zip(docs.columns, plain, strict=True)), of[id_col].alias("id"), of[stratum_col].cast("string").alias("stratum"))
     rows = kept(beside(rows, {"text": plain[docs.columns.index(text_col)]}, _counter, COUNTS), "measured").withColumn("base_failed", base_failed())
-    good = rows.where(verdicts(rows, labels, id_col, risk, error, cost, most_strata, most_fit))
+    good = verdicts(rows, labels, id_col, risk, error, cost, most_fit).where("kept")
     return good.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, plain, strict=True)))

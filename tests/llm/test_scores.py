@@ -1,10 +1,12 @@
 """Toxicity, quality rules, near-duplicates, secrets and the pipeline."""
 
+import functools
 import hashlib
 import itertools
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -177,6 +179,29 @@ def test_quality_decides_rows(spark):
     assert sorted((r["doc_id"] or 0, len(r["text"].split())) for r in got.collect()) == [(0, 10), (7, 10)]
 
 
+def test_copies_are_one_trial(spark):
+    """50 good texts, each 40 times, certify no more than 50 good texts do."""
+    r = random.Random(4)
+    words = [f"w{k}" for k in range(500)]
+    texts = [" ".join(r.choices(words, k=60)) for _ in range(50)]
+    bad = [(9000 + k, " ".join(r.choices(["w#$%&", "o**", *words[:20]], k=60))) for k in range(50)]
+    for n, more, rejects in ((1, 0, False), (40, 0, False), (1, 400, True)):
+        good = [(k, texts[k % 50]) for k in range(50 * n)] + [(5000 + k, " ".join(r.choices(words, k=60))) for k in range(more)]
+        labels = spark.createDataFrame([(k, int(k < 9000)) for k, _ in good + bad], "doc_id long, quality int")
+        got = quality.judge(docs_of(spark, good + bad), labels)
+        assert (got.where("not kept and not base_failed").count() > 0) == rejects
+
+
+def test_many_strata_have_their_own_cutoffs(spark):
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(500)]
+    rows = [(k, " ".join(r.choices(words if k % 10 else ["w#$%&", "o**", *words], k=40)), str(k % 100) if k < 5000 else None) for k in range(10_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(k % 10 > 0)) for k, *_ in rows], "doc_id long, quality int")
+    by = {r_["lang"]: r_["n"] for r_ in quality.judge(docs, labels).where("not kept").groupBy(F.col("stratum").alias("lang")).agg(F.count("*").alias("n")).collect()}
+    assert set(by) <= {None} and quality.judge(docs, labels).count() == len(rows)  # 45 good labels certify nothing, a null stratum's 4,500 may
+
+
 def naive_verdicts(docs: dict, labels: list) -> dict:
     """doc_id -> kept, in plain Python: docs by id (text, lang), labels (doc_id, quality)."""
     import xxhash
@@ -190,9 +215,17 @@ def naive_verdicts(docs: dict, labels: list) -> dict:
         over = lambda a, b: a / max(1, b)
         parts = [4 * over(symbols, chars), 40 * over(symbols, chars), 4 * over(marks, chars), 20 * over(marks, chars), 2 * over(upper, chars), over(dup, lines), 5 * over(repeat, words), over(chars, words) / 40]
         counts[k] = words < 10 or 100 * repeat > 20 * words, [min(1.0, x) for x in parts]
-    held = [(k, q) for k, q in labels if k in docs and not counts[k][0]]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    fit = [(k, q) for k, q in held if signed(h(k)) % 4 == 0]
+    sketches, groups = {}, {}
+    for k, q in sorted(labels, key=lambda x: signed(h(x[0]))):
+        if k in docs and not counts[k][0]:
+            codes = [zlib.crc32(w) for w in docs[k][0].encode().split()]
+            hashes = [functools.reduce(lambda x, c: (x * 0x9E3779B97F4A7C15 + c) % (1 << 64), codes[j : j + 8], 0) for j in range(len(codes) - 7)]
+            sketches[k] = signed(min(hashes))
+            groups.setdefault((docs[k][1], q, sketches[k]), (k, q))
+    held = list(groups.values())
+    in_fit = lambda k: signed(xxhash.xxh64_intdigest(struct.pack("<q", sketches[k]), 42)) % 4 == 0
+    fit = [(k, q) for k, q in held if in_fit(k)]
     weights = quality.fitted([(bool(q), counts[k][1]) for k, q in sorted(fit, key=lambda x: signed(h(x[0])))])
     for k, (_, parts) in counts.items():
         scores[k] = round(1 / (1 + math.exp(-sum(w * x for w, x in zip(weights, [1.0, *parts], strict=True)))), 9)
@@ -201,7 +234,7 @@ def naive_verdicts(docs: dict, labels: list) -> dict:
     cuts = {}
     strata = {docs[k][1] for k, _ in held}
     for s in strata:
-        good = [k for k, q in held if q and docs[k][1] == s and signed(h(k)) % 4]
+        good = [k for k, q in held if q and docs[k][1] == s and not in_fit(k)]
         n = 0
         for cut in quality.GRID:
             out = sum(scores[k] >= cut for k in good)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,7 @@ from loomstead.sources import documents as S
 from loomstead.sources import libraries as L
 from loomstead.sources import logs
 from loomstead.sources.index import StoredIndex
+from loomstead.streaming import frames
 from loomstead.streaming import logs as streams
 
 QUERIES: dict = {}
@@ -1022,6 +1023,23 @@ def log_stream(spark, d):
     return spark.read.schema(lines.schema).parquet(out).groupBy("level").agg(F.count("*").alias("n"))
 
 
+@query(f"SELECT CAST(event_id // 1000 AS VARCHAR) AS feed, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, {LEVEL} AS level, event_id || chr(10) || props AS message FROM events")
+def log_frames(spark, d):
+    """Events as messages of two lines in feeds of a thousand, each in two chunks cut inside a line."""
+    line = logs.log_line(F.col("ts"), F.expr(LEVEL), F.concat(F.col("event_id").cast("string"), F.lit("\n"), "props", F.lit("\n")))
+    order = Window.partitionBy("feed").orderBy("event_id")
+    rows = table(spark, d, "events").select(F.expr("CAST(event_id DIV 1000 AS STRING)").alias("feed"), "event_id", F.encode(line, "UTF-8").alias("bytes"))
+    rows = rows.withColumn("n", F.row_number().over(order).cast("long"))
+    cut = F.pmod(F.col("event_id"), F.lit(29)).cast("int") + 1
+    halves = rows.select("feed", F.explode(F.array(F.struct((2 * F.col("n") - 2).alias("number"), F.substring("bytes", F.lit(1), cut).alias("content")), F.struct((2 * F.col("n") - 1).alias("number"), F.substring("bytes", cut + 1, F.octet_length("bytes")).alias("content")))).alias("c")).select("feed", "c.*")
+    ends = rows.groupBy("feed").agg((2 * F.max("n")).alias("number"), F.lit(None).cast("binary").alias("content"))
+    folder, out = scratch(spark, "chunks"), scratch(spark, "messages")
+    halves.unionByName(ends).write.parquet(folder)
+    messages = frames.log_frames(spark.readStream.schema("feed string, number long, content binary").parquet(folder))
+    messages.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(messages.schema).parquet(out).select("feed", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "level", "message")
+
+
 @query(f"SELECT CASE WHEN {LEVEL} = 'error' THEN 'err' ELSE 'out' END AS listener, count(*) AS n FROM events GROUP BY 1")
 def stream_split(spark, d):
     folder, out = log_folder(spark, d), scratch(spark, "split")

@@ -2,12 +2,14 @@
 
 A link says that postings named ``si_name`` of documents of ``table_name`` hold keys of ``target``. Links are
 tens of rows, and a path is searched on the driver; everything else is joins. Every hop of a trace that asks
-for its ends only is made distinct at once, so that fan-out doesn't multiply along the path.
+for its ends only and can multiply is made distinct at once, so that fan-out doesn't multiply along the path; a
+trace that keeps what lies between first drops all pairs that don't lead to the path's end.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Collection
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,27 +72,62 @@ def _none(si: DataFrame, columns: list[str]) -> DataFrame:
     return si.limit(0).select(*(F.lit(None).cast("string").alias(c) for c in columns))
 
 
-def trace_multi_hop(si: DataFrame, path: list[tuple[str, str, str, bool]]) -> DataFrame:
+def _pairs(si: DataFrame, step: tuple[str, str, str, bool]) -> DataFrame:
+    """Postings of a step as (source, target), repeated where postings are."""
+    a, b, name, forward = step
+    mine = si.where((F.col("table_name") == (a if forward else b)) & (F.col("si_name") == name))
+    here, there = ("parent_key", "si_key") if forward else ("si_key", "parent_key")
+    return mine.select(F.col(here).alias("source"), F.col(there).alias("target"))
+
+
+def trace_multi_hop(si: DataFrame, path: list[tuple[str, str, str, bool]], single: Collection[str] = ()) -> DataFrame:
     """Distinct (source, target) pairs of keys over a path; no steps give no rows.
 
-    ``si`` has postings of all tables, with their ``table_name``.
+    ``si`` has postings of all tables, with their ``table_name``. ``single`` names indexes with one value a document:
+    steps forward over these can't multiply, and aren't made distinct before the end. The result is the same
+    where a document has several values after all.
     """
     out = None
-    for a, b, name, forward in path:
-        hop = trace_one_hop(si.where(F.col("table_name") == (a if forward else b)), name, forward)
-        out = hop if out is None else out.join(hop.select(F.col("source").alias("target"), F.col("target").alias("__next")), "target").select("source", F.col("__next").alias("target")).distinct()
-    return out if out is not None else _none(si, ["source", "target"])
+    for step in path:
+        alone = step[3] and step[2] in single
+        hop = _pairs(si, step) if alone else _pairs(si, step).distinct()
+        if out is None:
+            out = hop
+        else:
+            out = out.join(hop.select(F.col("source").alias("target"), F.col("target").alias("__next")), "target").select("source", F.col("__next").alias("target"))
+            out = out if alone else out.distinct()
+    return out.distinct() if out is not None else _none(si, ["source", "target"])
+
+
+def live_hops(si: DataFrame, path: list[tuple[str, str, str, bool]]) -> list[DataFrame]:
+    """Distinct pairs of each step (``k0``, ``k1``), (``k1``, ``k2``), ... whose target leads to the path's end.
+
+    Semi-joins from the end to the beginning; joined in the order of the path, every row that they make is the
+    beginning of a row of the result, so dead ends are never multiplied.
+    """
+    out, alive = [], None
+    for n in range(len(path) - 1, -1, -1):
+        hop = _pairs(si, path[n]).select(F.col("source").alias(f"k{n}"), F.col("target").alias(f"k{n + 1}")).distinct()
+        hop = hop if alive is None else hop.join(alive, f"k{n + 1}", "left_semi")
+        alive = hop.select(f"k{n}").distinct()
+        out.append(hop)
+    return out[::-1]
 
 
 def trace_intermediates(si: DataFrame, path: list[tuple[str, str, str, bool]]) -> DataFrame:
-    """Distinct keys along a path, one column ``k0``, ``k1``, ... for each table passed."""
-    out = None
-    for n, (a, b, name, forward) in enumerate(path):
-        hop = trace_one_hop(si.where(F.col("table_name") == (a if forward else b)), name, forward).select(F.col("source").alias(f"k{n}"), F.col("target").alias(f"k{n + 1}"))
-        out = hop if out is None else out.join(hop, f"k{n}")
-    if out is None:
+    """Distinct keys along a path, one column ``k0``, ``k1``, ... for each table passed; no steps give no rows.
+
+    Hops are reduced by semi-joins before they are joined where a step but the last goes back, which
+    may multiply what leads nowhere; joins of distinct hops are distinct.
+    """
+    if not path:
         return _none(si, ["k0", "k1"])
-    return out.select(*(f"k{n}" for n in range(len(path) + 1))).distinct()
+    backward = any(not forward for *_, forward in path[:-1])
+    hops = live_hops(si, path) if backward else [_pairs(si, s).select(F.col("source").alias(f"k{n}"), F.col("target").alias(f"k{n + 1}")).distinct() for n, s in enumerate(path)]
+    out = hops[0]
+    for n, hop in enumerate(hops[1:], 1):
+        out = out.join(hop, f"k{n}")
+    return out.select(*(f"k{n}" for n in range(len(path) + 1)))
 
 
 def trace_explain(links: DataFrame, source: str, target: str) -> DataFrame:

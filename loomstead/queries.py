@@ -23,6 +23,7 @@ from loomstead.plans.store import ClosureStore
 from loomstead.sources import documents as S
 from loomstead.sources import libraries as L
 from loomstead.sources import logs
+from loomstead.sources.commits import CommitLog
 from loomstead.sources.index import StoredIndex
 from loomstead.streaming import frames
 from loomstead.streaming import logs as streams
@@ -76,6 +77,10 @@ FOREIGN = {
 }
 
 
+#: Indexes of one value a document: all of the given tables'.
+SINGLE = {n for _, indexes in FOREIGN.values() for n in indexes}
+
+
 def postings(spark, d, build=S.si_rows):
     """Postings of the foreign keys of all tables, with their table; traces make their hops distinct themselves."""
     out = None
@@ -272,6 +277,21 @@ def checked_append(spark, d):
     return rejected.select("o_orderkey", "reason")
 
 
+@query(
+    "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 WHEN o_orderpriority = '1-URGENT' THEN 2 ELSE 3 END AS version, "
+    "CAST(o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' AS INTEGER) + CAST(o_orderstatus = 'F' OR o_orderpriority = '1-URGENT' AS INTEGER) AS n_refused FROM orders"
+)
+def append_commits(spark, d):
+    """Two writers append to what both have read: urgent orders, then all of them."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    log = CommitLog(spark, scratch(spark, "commits"), T.StructType([T.StructField("o_orderkey", T.LongType(), False), T.StructField("o_orderstatus", T.StringType()), T.StructField("o_orderpriority", T.StringType())]), ["o_orderkey"])
+    first, _ = log.append(orders.where("o_orderstatus = 'F'"))
+    _, one = log.append(orders.where("o_orderpriority = '1-URGENT'"), at=first)
+    _, two = log.append(orders, at=first)
+    refused = one.unionByName(two).groupBy("o_orderkey").agg(F.count("*").alias("n"))
+    return log.history().join(refused, "o_orderkey", "left").select("o_orderkey", F.col("version").cast("int").alias("version"), F.coalesce("n", F.lit(0)).cast("int").alias("n_refused"))
+
+
 # Traces ----------------------------------------------------------------------------------------------------
 
 
@@ -303,12 +323,19 @@ def traced(spark, d, source, target, via=None):
 
 @query("SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS source, CAST(n_regionkey AS VARCHAR) AS target FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def trace_multi_hop(spark, d):
-    return R.trace_multi_hop(*traced(spark, d, "customer", "region"))
+    return R.trace_multi_hop(*traced(spark, d, "customer", "region"), SINGLE)
 
 
 @query(f"SELECT DISTINCT {LINE_KEY} AS source, CAST(n_regionkey AS VARCHAR) AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
 def trace_four_hops(spark, d):
-    return R.trace_multi_hop(*traced(spark, d, "lineitem", "region", ["orders", "customer", "nation"]))
+    return R.trace_multi_hop(*traced(spark, d, "lineitem", "region", ["orders", "customer", "nation"]), SINGLE)
+
+
+@query("SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS k0, CAST(s_suppkey AS VARCHAR) AS k2, CAST(n_nationkey AS VARCHAR) AS k3, count(DISTINCT (l_orderkey, l_linenumber)) OVER (PARTITION BY p_partkey, s_suppkey) AS n_lines FROM part JOIN lineitem ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey")
+def trace_reduced(spark, d):
+    """Lines between parts and the nations that supply them: a step back, reduced before the joins."""
+    whole = R.trace_intermediates(*traced(spark, d, "part", "nation", ["lineitem", "supplier"]))
+    return whole.groupBy("k0", "k2", "k3").agg(F.count("*").alias("n_lines"))
 
 
 @query("SELECT DISTINCT CAST(r_regionkey AS VARCHAR) AS source, CAST(s_suppkey AS VARCHAR) AS target FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey")
@@ -516,6 +543,19 @@ def manifest_upsert(spark, d):
     return C.manifest_upsert(manifest(spark, d), items.unionByName(pages), "skip").select("path", "dtype_name", "action")
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'new::labelled' ELSE lang || '::' || source END AS dtype_name FROM documents UNION ALL SELECT 'page-' || page_id, 'new::page' FROM pages")
+def upsert_commits(spark, d):
+    """Two writers replace entries of a manifest that both have read: neither loses what the other wrote."""
+    first = manifest(spark, d)
+    log = CommitLog(spark, scratch(spark, "manifest"), T.StructType([T.StructField(f.name, f.dataType) for f in first.schema]), ["lib", "path"])
+    read = log.update(lambda _: first)
+    items = listing(spark, d).select("lib", "path", F.lit("new::labelled").alias("dtype_name"), F.lit(0).cast("long").alias("ord"))
+    pages = table(spark, d, "pages").select(F.lit("docs").alias("lib"), F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("path"), F.lit("new::page").alias("dtype_name"), F.col("page_id").alias("ord"))
+    for more in (items, pages):
+        log.update(lambda rows, more=more: C.manifest_upsert(rows, more, "replace").drop("action"), at=read)
+    return log.rows().select("path", "dtype_name")
+
+
 @query("SELECT DISTINCT lang AS namespace, source AS name FROM documents WHERE source <> 'src3' UNION SELECT DISTINCT 'segments', c_mktsegment FROM customer")
 def namespace_add(spark, d):
     more = table(spark, d, "customer").groupBy("c_mktsegment").agg(F.min("c_custkey").alias("ord")).select(F.lit("segments").alias("namespace"), F.col("c_mktsegment").alias("name"), F.array(P.encode_pair(F.lit("segment"), F.col("c_mktsegment"))).alias("props"), "ord")

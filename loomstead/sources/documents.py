@@ -145,11 +145,11 @@ def info_table(values: DataFrame) -> DataFrame:
     return values.select(F.inline(each))
 
 
-def checked_append(existing: DataFrame, batch: DataFrame, schema: T.StructType, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(table with the good rows, rejected rows with a reason) of appending a batch to a declared table.
+def checked_rows(existing: DataFrame, batch: DataFrame, schema: T.StructType, keys: list[str]) -> DataFrame:
+    """The rows of a batch in the declared types with ``reason``, why they can't be appended; null for good rows.
 
-    Values are cast to the declared types. Reasons, the first that holds: ``type`` (a value doesn't cast), ``null``
-    (a field that may not be null), ``duplicate`` (another row of the batch has the key), ``exists``.
+    Reasons, the first that holds: ``type`` (a value doesn't cast), ``null`` (a field that may not be null),
+    ``duplicate`` (another row of the batch has the key), ``exists``.
     """
     if missing := {f.name for f in schema} ^ set(batch.columns):
         raise ValueError(f"the batch has other fields than declared: {sorted(missing)}")
@@ -165,5 +165,11 @@ def checked_append(existing: DataFrame, batch: DataFrame, schema: T.StructType,
     judged = counted.join(known, keys, "left")
     reason = F.when(F.col("__mistyped"), "type").when(F.col("__absent"), "null").when(F.col("__n") > 1, "duplicate").when(F.col("__known"), "exists")
     names = [f.name for f in schema]
-    judged = judged.select(*names, reason.alias("reason"))
+    return judged.select(*names, reason.alias("reason"))
+
+
+def checked_append(existing: DataFrame, batch: DataFrame, schema: T.StructType, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(table with the good rows, rejected rows with a reason) of appending a batch to a declared table."""
+    judged = checked_rows(existing, batch, schema, keys)
+    names = [f.name for f in schema]
     return existing.select(*names).unionByName(judged.where("reason is null").select(*names)), judged.where("reason is not null")

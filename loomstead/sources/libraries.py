@@ -109,8 +109,11 @@ def packed_props(props):
 
 
 def save_documents(documents: DataFrame, name_col: str, path: str) -> None:
-    """One text file a document, below ``path/name=.../``; the document must have no line end."""
-    documents.select(F.col(name_col).alias("name"), F.col("document")).write.partitionBy("name").text(path)
+    """One text file a document, below ``path/name=.../``; the document must have no line end.
+
+    A task may hold several documents of a name: each still gets a file of its own, as files are read whole.
+    """
+    documents.select(F.col(name_col).alias("name"), F.col("document")).write.partitionBy("name").option("maxRecordsPerFile", 1).text(path)
 
 
 def manifest_load(spark: SparkSession, path: str) -> DataFrame:

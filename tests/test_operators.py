@@ -252,6 +252,16 @@ def test_libraries_on_disk(spark, tmp_path):
     assert L.file_listing(spark, str(lib)).count() == 1
 
 
+def test_manifests_of_several_documents_come_back_whole(spark, tmp_path):
+    manifest = spark.range(40).select(F.concat(F.lit("lib"), (F.col("id") % 2).cast("string")).alias("lib"), F.col("id").cast("string").alias("path"), F.lit("n::a").alias("dtype_name"), F.col("id").alias("ord"))
+    packed = L.manifest_packed(manifest, per_file=3)
+    assert packed.count() > 4
+    L.save_documents(packed.coalesce(1), "lib", f"{tmp_path}/saved")
+    got = L.manifest_load(spark, f"{tmp_path}/saved/name=*/*.txt").collect()
+    assert all(r["error"] is None for r in got)
+    assert sorted((r["lib"], int(r["path"])) for r in got) == sorted((f"lib{k % 2}", k) for k in range(40))
+
+
 def test_addresses(spark):
     cases = ["globus://ep:/a/b:c", "https://app.globus.org/file-manager?destination_id=e%2D1&destination_path=%2Fx%2Fy.txt", "ssh://h:/p/q.tar.gz", "https://h.org/a/b.html?x=1#y", "/local/file", "ftp://f/z", "host:/p"]
     assert column(spark, cases, "string", X.address_type) == ["GLOBUS", "GLOBUS", "SSH", "HTTP", "DIRECT", "HTTP", "DIRECT"]

@@ -252,6 +252,24 @@ def test_libraries_on_disk(spark, tmp_path):
     assert L.file_listing(spark, str(lib)).count() == 1
 
 
+def test_postings_are_made_distinct_before_rows_are_spread(spark):
+    rng = random.Random(3)
+    one = lambda n: rng.choice([None, *range(n)])
+    rows = [(one(3), one(3), one(12), rng.choice([None, "x", "0", "1_2"])) for _ in range(600)]
+    df = spark.createDataFrame(rows * 2, "a int, b bigint, c int, t string")
+    for keys, indexes in ((["a", "b", "c"], {"ia": "a", "ic": "c"}), (["a", "b"], {"ib": "b", "it": "t"}), (["a"], {"ic": "c"}), (["a", "b"], {"ic": "c", "it": "t"}), (["a", "t"], {"ia": "a", "it": "t"})):
+        built = S.si_build(df, keys, indexes)
+        want = set()
+        for r in rows:
+            r = dict(zip("abct", r, strict=True))
+            want |= {(n, str(r[c]), "_".join(str(r[k]) for k in keys if r[k] is not None)) for n, c in indexes.items() if r[c] is not None}
+        got = [(r["si_name"], r["si_key"], r["parent_key"]) for r in built.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    # The aggregate of plain values is below what spreads them: only the distinct rows are spread.
+    plan = S.si_build(df, ["a", "b", "c"], {"ia": "a", "ib": "b", "ic": "c"})._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Generate(?:(?!Generate).)*Aggregate \[a#\d+, b#\d+L, c#\d+\]", plan, re.S)
+
+
 def test_manifests_of_several_documents_come_back_whole(spark, tmp_path):
     manifest = spark.range(40).select(F.concat(F.lit("lib"), (F.col("id") % 2).cast("string")).alias("lib"), F.col("id").cast("string").alias("path"), F.lit("n::a").alias("dtype_name"), F.col("id").alias("ord"))
     packed = L.manifest_packed(manifest, per_file=3)

@@ -21,6 +21,8 @@ from loomstead.plans.rounds import settled
 
 #: Givens of a root that are numbered; properties that are told apart as mattering, beyond which all of them do.
 MOST_GIVENS, MOST_PROPS = 64, 1000
+#: So many properties that matter are looked for one by one.
+FEW_PROPS = 32
 
 
 def mattering(*props: DataFrame) -> list[str] | None:
@@ -55,21 +57,29 @@ def _name(x: Column) -> Column:
 def shapes_of(givens: DataFrame, matter: list[str] | None = None) -> Shapes:
     """Shapes of givens (root, id, props[, parents])."""
     parents = F.coalesce("parents", F.array()).cast("array<string>") if "parents" in givens.columns else F.array().cast("array<string>")
-    have = F.array_sort(F.array_distinct(F.coalesce("props", F.array().cast("array<string>"))))
-    if matter is not None:
+    # sort_array stays in generated code, array_sort compares by a function of two members.
+    have = F.sort_array(F.array_distinct(F.coalesce("props", F.array().cast("array<string>"))))
+    if matter is not None and len(matter) <= FEW_PROPS:
+        have = F.array_compact(F.array(*(F.when(F.array_contains("props", p), F.lit(p)) for p in sorted(matter)))).cast("array<string>")
+    elif matter is not None:
         have = F.array_intersect(have, F.array(*map(F.lit, matter)).cast("array<string>"))
     rows = givens.select("root", F.col("id").cast("string").alias("id"), have.alias("props"), parents.alias("parents"))
-    many = givens.groupBy("root").count().where(F.col("count") > MOST_GIVENS).select("root")
-    few = rows.join(many, "root", "left_anti")
-    entries = few.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("props", F.size("parents").alias("n"), "id", "parents"))).alias("e"))
+    # Mostly there are none, and then the givens are read once more and not three times, and joined with nothing.
+    many = settled(givens.groupBy("root").count().where(F.col("count") > MOST_GIVENS).select("root"))
+    some = not many.isEmpty()
+    few = rows.join(many, "root", "left_anti") if some else rows
+    entries = few.groupBy("root").agg(F.sort_array(F.collect_list(F.struct("props", F.size("parents").alias("n"), "id", "parents"))).alias("e"))
     gids = F.transform("e", lambda x: x["id"])
     number = lambda x: F.array_position("gids", x)
     label = lambda x: F.when(number(x) > 0, F.concat(F.lit("#"), (number(x) - 1).cast("string"))).otherwise(F.concat(F.lit("?"), x))
     drawn = entries.select("root", "e", gids.alias("gids")).withColumn("canon", F.transform("e", lambda x: F.struct(x["props"].alias("props"), F.transform(x["parents"], label).alias("parents"))))
     numbered = settled(drawn.select("root", F.sha2(F.to_json("canon"), 256).alias("shape"), "gids", "canon"))
-    own = F.concat(F.lit("="), F.col("root").cast("string"))
-    big = rows.join(many, "root", "left_semi")
-    roots = numbered.select("root", "shape", "gids").unionByName(big.select("root", own.alias("shape"), F.lit(None).cast("array<string>").alias("gids")).distinct())
+    roots = numbered.select("root", "shape", "gids")
     reps = numbered.groupBy("shape").agg(F.any_value("canon").alias("canon")).select(F.col("shape").alias("root"), F.posexplode("canon").alias("at", "x"))
     small = reps.select("root", F.concat(F.lit("#"), F.col("at").cast("string")).alias("id"), "x.props", "x.parents")
+    if not some:
+        return Shapes(roots, small)
+    own = F.concat(F.lit("="), F.col("root").cast("string"))
+    roots = roots.unionByName(many.select("root", own.alias("shape"), F.lit(None).cast("array<string>").alias("gids")).where("root is not null"))
+    big = rows.join(many, "root", "left_semi")
     return Shapes(roots, small.unionByName(big.select(own.alias("root"), "id", "props", "parents")))

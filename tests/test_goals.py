@@ -283,3 +283,22 @@ def test_nothing_given(spark):
     none = rq.limit(0)
     given = spark.createDataFrame([("r", "g", ["b"], None), ("s", "h", None, None)], GIVENS)
     assert [(r["root"], r["n_steps"], r["uses"]) for r in G.solve(given, none, pr.limit(0), ts)[0].collect()] == [("r", 0, ["g"])]
+
+
+def test_without_large_roots_givens_are_joined_with_nothing(spark, monkeypatch):
+    """Shapes of small roots are read from what was written: neither joins nor a second reading of the givens."""
+    rows = [(f"r{k}", f"{k}-{j}", [p] * 2 + [None], ["top"] if j else []) for k in range(6) for j, p in enumerate(("b", "a", "c")[: 1 + k % 3])]
+    givens = spark.createDataFrame([*rows, ("r9", "none", None, None)], GIVENS)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    told = {}
+    for matter in (["a", "b"], None, [f"p{k}" for k in range(40)] + ["a", "b"]):
+        shapes = H.shapes_of(givens, matter)
+        assert "Join" not in plan(shapes.roots) and "Join" not in plan(shapes.givens)
+        shape = {r["root"]: r["shape"] for r in shapes.roots.collect()}
+        told[len(matter or ())] = {frozenset(r for r in shape if shape[r] == s) for s in shape.values()}
+    alike = {frozenset(("r0", "r3")), frozenset(("r1", "r4")), frozenset(("r2", "r5")), frozenset(("r9",))}
+    assert told == {2: alike, 0: alike, 42: alike}
+    monkeypatch.setattr(H, "MOST_GIVENS", 2)
+    shapes = H.shapes_of(givens, ["a", "b"])
+    own = {r["root"] for r in shapes.roots.where("gids is null").collect()}
+    assert own == {"r2", "r5"} and shapes.givens.where("root in ('=r2', '=r5')").count() == 6
